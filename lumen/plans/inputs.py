@@ -38,6 +38,20 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEASURE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+PRICED_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "revenue", "saving", "kept_share"]
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem price measures plus derived amounts, so that strong,
+    moderate and negative correlations exist (the raw measures are independent)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_quantity", "l_extendedprice", "l_discount",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        (F.col("l_extendedprice") * F.col("l_discount")).alias("saving"),
+        (1 - F.col("l_discount")).alias("kept_share"))
+
+
 def odd_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with NaN and +-Inf planted by line number, for C8."""
     li = table(spark, sf_dir, "lineitem")

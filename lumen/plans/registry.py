@@ -12,11 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumen.operators import charts as C
-from lumen.operators import profile as P
-from lumen.plans import inputs as I
-from lumen.plans import sqlparts as S
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -32,8 +27,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# ------------------------------------------------------------------ charts
-
-register("chart_histogram", S.with_(S.MEASURES) + S.histogram_sql(
-    "measures", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))(
-    lambda spark, d: C.chart_histogram(I.measures(spark, d), include=I.MEASURE_COLUMNS))
+def load() -> tuple[dict[str, Query], dict[str, str]]:
+    """Import every query module (each registers itself) and return both maps."""
+    from lumen.plans import q_profile  # noqa: F401
+    return QUERIES, ORACLE

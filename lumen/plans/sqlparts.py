@@ -20,6 +20,14 @@ measures AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_dis
              FROM lineitem)
 """
 
+PRICED = """
+priced AS (SELECT l_quantity, l_extendedprice, l_discount,
+                  l_extendedprice * (1 - l_discount) AS revenue,
+                  l_extendedprice * l_discount AS saving,
+                  1 - l_discount AS kept_share
+           FROM lineitem)
+"""
+
 ODD_FLOATS = """
 odd AS (
   SELECT l_orderkey, l_linenumber,
