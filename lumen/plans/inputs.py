@@ -74,3 +74,47 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(dirty, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("price_text"),
         F.when(dirty, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
          .alias("date_text"))
+
+
+# ----------------------------------------------------------------- risk
+
+def risk_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic stand-in for model output over customer: the score is
+    the account balance scaled to [0, 1]; churn = negative balance."""
+    c = table(spark, sf_dir, "customer")
+    lo, hi = c.agg(F.min("c_acctbal"), F.max("c_acctbal")).collect()[0]
+    return c.select(
+        "c_custkey", "c_name", "c_mktsegment",
+        ((F.col("c_acctbal") - F.lit(lo)) / F.lit(hi - lo)).alias("risk_score"),
+        F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("churn"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of the conversations, as questions to the risk assistant."""
+    return (table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+            .select("conv_id", "turn", F.col("text").alias("prompt")))
+
+
+# ----------------------------------------------------------------- market
+
+def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumen.operators.market import daily_prices
+    o = table(spark, sf_dir, "orders")
+    return daily_prices(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"),
+                        F.col("o_orderkey"))
+
+
+def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumen.operators.market import daily_prices
+    e = table(spark, sf_dir, "events")
+    return daily_prices(e, F.col("event_type"), F.col("ts"), F.col("value"), F.col("event_id"))
+
+
+def symbol_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company profiles: the English document whose id is the code point of
+    the symbol's first letter (symbols without one get the defaults)."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    return (e.join(d, F.ascii("symbol") == F.col("doc_id"))
+            .select("symbol", F.concat(F.upper("symbol"), F.lit(" Holdings")).alias("long_name"),
+                    F.col("text").alias("summary")))
