@@ -118,3 +118,77 @@ def symbol_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (e.join(d, F.ascii("symbol") == F.col("doc_id"))
             .select("symbol", F.concat(F.upper("symbol"), F.lit(" Holdings")).alias("long_name"),
                     F.col("text").alias("summary")))
+
+
+# ----------------------------------------------------------------- catalog
+
+def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("ord"),
+        F.col("l_quantity").alias("qty"), F.to_date("l_shipdate").alias("day"))
+
+
+def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as a catalog: a 0-10 rating from the size."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item"), F.col("p_name").alias("title"),
+        (F.col("p_size") / 5.0).alias("vote_average"))
+
+
+def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_lines(spark, sf_dir).groupBy("item").agg(F.sum("qty").alias("popularity"))
+
+
+def best_sellers(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+    """The n items on most order lines (ties by key): recommendation targets."""
+    return (sales_lines(spark, sf_dir).groupBy("item").count()
+            .orderBy(F.desc("count"), F.asc("item")).limit(n).select("item"))
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as catalog actions: click toggles, error removes, view rates."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        "user_id", (F.col("event_id") % 20).alias("item_id"),
+        F.when(F.col("event_type") == "click", "toggle").when(F.col("event_type") == "error", "remove")
+         .when(F.col("event_type") == "view", "rate").otherwise(F.col("event_type")).alias("action"),
+        (1 + F.col("event_id") % 5).cast("int").alias("rating"), "ts", F.col("event_id").alias("id"))
+
+
+# ----------------------------------------------------------------- snippets
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
+                    F.col("p_brand").alias("code"),
+                    F.concat(F.lower("p_type"), F.lit(",size"), F.col("p_size").cast("string")).alias("tags"))
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("owner"), F.col("p_name").alias("repo"),
+                    F.when(F.col("p_size") > 45, F.col("p_type")).alias("language"))
+
+
+# ----------------------------------------------------------------- exposure
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets to check: one per user in the corpus's own format, plus the
+    benchmark texts."""
+    users = (table(spark, sf_dir, "events").select("user_id").distinct()
+             .select(F.concat(F.lit('{"k": '), F.col("user_id").cast("string"), F.lit("}")).alias("secret")))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("text").alias("secret"))
+    return users.unionAll(bench)
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumen.operators.exposure import extract_emails
+    return extract_emails(table(spark, sf_dir, "documents"), "text")
+
+
+def breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breach records for two of every three addresses (by length)."""
+    e = emails(spark, sf_dir)
+    n = F.length("email") % 3
+    return (e.where(n != 0).select("email", F.lit("Adobe").alias("breach"))
+            .unionAll(e.where(n == 1).select("email", F.lit("Canva").alias("breach"))))
