@@ -192,3 +192,26 @@ def breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("email") % 3
     return (e.where(n != 0).select("email", F.lit("Adobe").alias("breach"))
             .unionAll(e.where(n == 1).select("email", F.lit("Canva").alias("breach"))))
+
+
+# ----------------------------------------------------------------- models
+
+def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their labels where known (quality/toxic null otherwise)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+def churn_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with order history features; churn = no order since 1999."""
+    c = table(spark, sf_dir, "customer")
+    o = (table(spark, sf_dir, "orders").groupBy("o_custkey")
+         .agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spent"),
+              F.max("o_orderdate").alias("last_order")))
+    j = c.join(o, c["c_custkey"] == o["o_custkey"], "left")
+    return j.select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation"),
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"),
+        F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("spent", F.lit(0.0)).alias("spent"),
+        F.when(F.col("last_order").isNull() | (F.col("last_order") < F.lit("1999-01-01").cast("timestamp_ntz")), 1)
+         .otherwise(0).alias("churn"))
