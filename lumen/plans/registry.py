@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module (each registers itself) and return both maps."""
-    from lumen.plans import q_catalog, q_clean, q_model, q_profile, q_risk  # noqa: F401
+    from lumen.plans import q_catalog, q_clean, q_io, q_model, q_profile, q_risk  # noqa: F401
     return QUERIES, ORACLE
