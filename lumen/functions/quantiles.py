@@ -64,53 +64,49 @@ def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
         if not pending:
             break
         # Targets sharing an interval share the scan.
-        intervals: dict[tuple, int] = {}
+        groups: dict[tuple, list[_Target]] = {}
         for t in pending:
-            intervals.setdefault((t.series, t.lo, t.hi), len(intervals))
-        structs = []
-        pos_map = []
-        for (s, lo, hi), j in intervals.items():
-            value, cond = series[s]
-            keep = value.isNotNull() & (value >= F.lit(lo)) & (value <= F.lit(hi))
-            if cond is not None:
-                keep = keep & cond
-            count = next(t.count for t in pending if (t.series, t.lo, t.hi) == (s, lo, hi))
-            final = count <= final_rows
-            if final:
-                b = F.lit(0)
-                rel = sorted({t.rank - t.below for t in pending
-                              if (t.series, t.lo, t.hi) == (s, lo, hi)})
-                pos_map += [F.lit(j), F.array(*[F.lit(p) for p in rel])]
-            else:
-                b = F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
-                            F.lit(bins - 1)).cast("int")
-            structs.append(F.when(keep, F.struct(F.lit(j).alias("j"), b.alias("b"),
-                                                 value.alias("x"), F.lit(final).alias("f"))))
-        long = df.select(F.inline(F.filter(F.array(*structs), lambda e: e.isNotNull())))
-        agg = long.groupBy("j", "b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-            F.sort_array(F.collect_list(F.when(F.col("f"), F.col("x")))).alias("s"))
-        if pos_map:
-            pos = F.coalesce(F.element_at(F.create_map(*pos_map), F.col("j")),
-                             F.array().cast("array<int>"))
-        else:
-            pos = F.array().cast("array<int>")
-        picked = agg.select("j", "b", "n", "mn", "mx",
-                            F.transform(pos, lambda p: F.element_at(F.col("s"), p + 1)).alias("v"),
-                            pos.alias("p"))
-        rows = picked.collect()
-        by_j: dict[int, list] = {}
-        for row in rows:
-            by_j.setdefault(row["j"], []).append(row)
-        for t in pending:
-            j = intervals[(t.series, t.lo, t.hi)]
-            buckets = sorted(by_j.get(j, []), key=lambda r: r["b"])
-            rel = t.rank - t.below
-            if t.count <= final_rows:
-                row = buckets[0]
-                t.value = dict(zip(row["p"], row["v"]))[rel]
-                continue
-            cum = 0
+            groups.setdefault((t.series, t.lo, t.hi), []).append(t)
+        wide = {k: g for k, g in groups.items() if g[0].count > final_rows}
+        small = {k: g for k, g in groups.items() if g[0].count <= final_rows}
+        if wide:
+            _histogram_round(df, series, wide, bins)
+        if small:
+            _final_round(df, series, small)
+    out: list[dict[int, float]] = [dict() for _ in series]
+    for t in targets:
+        out[t.series][t.rank] = t.value
+    return out
+
+
+def _rows_in(df: DataFrame, series, keyed: dict, extra) -> DataFrame:
+    structs = []
+    for j, ((s, lo, hi), _) in enumerate(keyed.items()):
+        value, cond = series[s]
+        keep = value.isNotNull() & (value >= F.lit(lo)) & (value <= F.lit(hi))
+        if cond is not None:
+            keep = keep & cond
+        structs.append(F.when(keep, F.struct(F.lit(j).alias("j"), extra(value, lo, hi).alias("b"),
+                                             value.alias("x"))))
+    return df.select(F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+
+
+def _histogram_round(df: DataFrame, series, wide: dict, bins: int) -> None:
+    """One pass: equal-width buckets inside every wide interval (plain hash
+    aggregate of count/min/max); each target moves into its bucket."""
+    def bucket(value, lo, hi):
+        return F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
+                       F.lit(bins - 1)).cast("int")
+    rows = (_rows_in(df, series, wide, bucket).groupBy("j", "b")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+            .collect())
+    by_j: dict[int, list] = {}
+    for row in rows:
+        by_j.setdefault(row["j"], []).append(row)
+    for j, (_, group) in enumerate(wide.items()):
+        buckets = sorted(by_j.get(j, []), key=lambda r: r["b"])
+        for t in group:
+            rel, cum = t.rank - t.below, 0
             for row in buckets:
                 if cum + row["n"] > rel:
                     t.below += cum
@@ -119,10 +115,24 @@ def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
                         t.value = row["mn"]
                     break
                 cum += row["n"]
-    out: list[dict[int, float]] = [dict() for _ in series]
-    for t in targets:
-        out[t.series][t.rank] = t.value
-    return out
+
+
+def _final_round(df: DataFrame, series, small: dict) -> None:
+    """One pass: the (at most ``final_rows``) values of each small interval
+    are sorted inside one task and only the wanted positions come back."""
+    pos_map = []
+    for j, (_, group) in enumerate(small.items()):
+        rel = sorted({t.rank - t.below for t in group})
+        pos_map += [F.lit(j), F.array(*[F.lit(p) for p in rel])]
+    pos = F.element_at(F.create_map(*pos_map), F.col("j"))
+    rows = (_rows_in(df, series, small, lambda v, lo, hi: F.lit(0)).groupBy("j")
+            .agg(F.sort_array(F.collect_list("x")).alias("s"))
+            .select("j", pos.alias("p"), F.transform(pos, lambda p: F.element_at(F.col("s"), p + 1)).alias("v"))
+            .collect())
+    got = {row["j"]: dict(zip(row["p"], row["v"])) for row in rows}
+    for j, (_, group) in enumerate(small.items()):
+        for t in group:
+            t.value = got[j][t.rank - t.below]
 
 
 def column_stats(df: DataFrame, exprs: list[Column]) -> list[tuple[int, float | None, float | None]]:
@@ -182,24 +192,40 @@ def exact_quantiles(df: DataFrame, exprs: list[Column], probs: list[float], *,
     return [[_interpolate(stats[i][0], p, found[i]) for p in probs] for i in range(len(exprs))]
 
 
-def distinct_upto(df: DataFrame, exprs: list[Column], cap: int) -> list[int]:
+def proving_rsd(cap: int) -> float:
+    """Largest relative SD (smallest sketch) whose linear-counting estimate
+    for ``cap`` distinct values still rounds to at most ``cap``: with m
+    registers, n values leave at least m - n registers empty, so the
+    estimate is at most m*ln(m/(m-n))."""
+    for rsd in (0.05, 0.03, 0.02, 0.01, 0.005):
+        m = 2 ** math.ceil(2 * math.log2(1.106 / rsd))
+        if m > cap and m * math.log(m / (m - cap)) < cap + 0.5:
+            return rsd
+    raise ValueError(f"cap {cap} too large for an exact sketch bound")
+
+
+def distinct_upto(df: DataFrame, exprs: list[Column], cap: int,
+                  estimates: list[int] | None = None) -> list[int]:
     """Exact ``min(count_distinct(e), cap)`` for each expression.
 
-    ``approx_count_distinct`` with rsd 0.01 uses linear counting over 16384
-    registers at small cardinalities: n distinct values fill at most n
-    registers, so an estimate above ``cap`` proves n > cap (for cap << 16384).
-    Only expressions whose estimate is <= cap are counted exactly, with a
-    grouped count whose size is the (small) number of distinct values.
+    ``approx_count_distinct`` uses linear counting at small cardinalities:
+    n distinct values fill at most n registers, so with a sketch chosen by
+    ``proving_rsd`` an estimate above ``cap`` proves n > cap. Only
+    expressions whose estimate is <= cap are counted exactly, with a grouped
+    count whose size is the (small) number of distinct values. Callers may
+    pass estimates they computed in their own aggregate.
     """
     if not exprs:
         return []
-    est = df.agg(*[F.approx_count_distinct(e, 0.01).alias(f"d{i}")
-                   for i, e in enumerate(exprs)]).collect()[0]
-    out = [cap if est[f"d{i}"] > cap else None for i in range(len(exprs))]
+    if estimates is None:
+        rsd = proving_rsd(cap)
+        row = df.agg(*[F.approx_count_distinct(e, rsd).alias(f"d{i}")
+                       for i, e in enumerate(exprs)]).collect()[0]
+        estimates = [row[f"d{i}"] for i in range(len(exprs))]
+    out = [cap if est > cap else None for est in estimates]
     small = [i for i, v in enumerate(out) if v is None]
     if small:
-        structs = F.array(*[F.struct(F.lit(i).alias("k"), exprs[i].cast("string").alias("x"))
-                            for i in small])
+        structs = F.array(*[F.struct(F.lit(i).alias("k"), exprs[i].alias("x")) for i in small])
         counted = (df.select(F.inline(structs)).where(F.col("x").isNotNull())
                    .groupBy("k", "x").count().groupBy("k").count().collect())
         got = {r["k"]: r["count"] for r in counted}

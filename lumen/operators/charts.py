@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.exprs import as_double, col, sanitize  # noqa: F401  (C8 lives in exprs)
-from lumen.functions.quantiles import distinct_upto, exact_quantiles
+from lumen.functions.quantiles import distinct_upto, exact_quantiles, proving_rsd
 from lumen.functions.roles import plot_roles
 from lumen.operators.profile import correlation_values, missing_profile, value_counts
 
@@ -57,14 +57,70 @@ def numeric_bounds(df: DataFrame, cols: list[str]) -> list[dict]:
     if not xs:
         return []
     aggs = []
+    rsd = proving_rsd(MAX_BINS)
     for i, x in enumerate(xs):
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
+                 F.approx_count_distinct(x, rsd).alias(f"e{i}")]
     row = df.agg(*aggs).collect()[0]
-    bounds = [dict(column=c, n=row[f"n{i}"], lo=row[f"a{i}"], hi=row[f"b{i}"])
+    bounds = [dict(column=c, n=row[f"n{i}"], lo=row[f"a{i}"], hi=row[f"b{i}"], est=row[f"e{i}"])
               for i, c in enumerate(cols)]
     # A column with min == max has one distinct value; only the rest need counting.
     varied = [i for i, b in enumerate(bounds) if b["n"] and b["lo"] < b["hi"]]
-    caps = distinct_upto(df, [xs[i] for i in varied], MAX_BINS)
+    caps = distinct_upto(df, [xs[i] for i in varied], MAX_BINS,
+                         estimates=[bounds[i]["est"] for i in varied])
+    for b in bounds:
+        b["distinct"] = 1 if b["n"] else 0
+    for i, d in zip(varied, caps):
+        bounds[i]["distinct"] = d
+    return bounds
+
+
+def _binned(df: DataFrame, cols: list[tuple[Column, float, float, int]]) -> DataFrame:
+    """(k, bin) rows: numpy.histogram's bin of each value on n equal bins over
+    [lo, hi]. Edges are lo + i*step (last edge = hi); a bin holds
+    [edge_i, edge_i+1) and the last bin also its right edge. The float guess
+    is corrected against the edges exactly as numpy does. Each step is its
+    own projection, so the guess is computed once per value instead of being
+    re-derived inside every later expression."""
+    def edge(i: Column, lo: float, hi: float, n: int) -> Column:
+        return F.when(i >= n, F.lit(hi)).otherwise(i.cast("double") * F.lit((hi - lo) / n) + F.lit(lo))
+
+    idx = range(len(cols))
+    xs = df.select(*[x.alias(f"x{k}") for k, (x, _, _, _) in enumerate(cols)])
+    g0 = xs.select("*", *[F.least(F.floor((F.col(f"x{k}") - F.lit(lo)) * F.lit(n / (hi - lo))).cast("int"),
+                                  F.lit(n - 1)).alias(f"g{k}")
+                          for k, (_, lo, hi, n) in enumerate(cols)])
+    g1 = g0.select(*[f"x{k}" for k in idx],
+                   *[F.when(F.col(f"x{k}") < edge(F.col(f"g{k}"), lo, hi, n), F.col(f"g{k}") - 1)
+                     .otherwise(F.col(f"g{k}")).alias(f"h{k}") for k, (_, lo, hi, n) in enumerate(cols)])
+    g2 = g1.select(*[f"x{k}" for k in idx],
+                   *[F.when((F.col(f"x{k}") >= edge(F.col(f"h{k}") + 1, lo, hi, n)) & (F.col(f"h{k}") != n - 1),
+                            F.col(f"h{k}") + 1).otherwise(F.col(f"h{k}")).alias(f"b{k}")
+                     for k, (_, lo, hi, n) in enumerate(cols)])
+    structs = [F.when(F.col(f"x{k}").isNotNull(), F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("bin")))
+               for k in idx]
+    return g2.select(F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+
+
+# --------------------------------------------------------------------- C2 / C3 shared
+
+def numeric_bounds(df: DataFrame, cols: list[str]) -> list[dict]:
+    """count/min/max and min(distinct, 12) per column (1-2 small jobs)."""
+    xs = [_x(df, c) for c in cols]
+    if not xs:
+        return []
+    aggs = []
+    rsd = proving_rsd(MAX_BINS)
+    for i, x in enumerate(xs):
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
+                 F.approx_count_distinct(x, rsd).alias(f"e{i}")]
+    row = df.agg(*aggs).collect()[0]
+    bounds = [dict(column=c, n=row[f"n{i}"], lo=row[f"a{i}"], hi=row[f"b{i}"], est=row[f"e{i}"])
+              for i, c in enumerate(cols)]
+    # A column with min == max has one distinct value; only the rest need counting.
+    varied = [i for i, b in enumerate(bounds) if b["n"] and b["lo"] < b["hi"]]
+    caps = distinct_upto(df, [xs[i] for i in varied], MAX_BINS,
+                         estimates=[bounds[i]["est"] for i in varied])
     for b in bounds:
         b["distinct"] = 1 if b["n"] else 0
     for i, d in zip(varied, caps):
@@ -100,14 +156,9 @@ def chart_histogram(df: DataFrame, include: list[str] | None = None,
     bounds = [b for b in numeric_bounds(df, cols) if b["distinct"] > 1]
     if not bounds:
         return spark.createDataFrame([], schema)
-    structs = []
-    for k, b in enumerate(bounds):
-        x = _x(df, b["column"])
-        nb = min(MAX_BINS, b["distinct"])
-        b["bins"] = nb
-        structs.append(F.when(x.isNotNull(), F.struct(
-            F.lit(k).alias("k"), _bin_expr(x, b["lo"], b["hi"], nb).alias("bin"))))
-    counts = (df.select(F.inline(F.filter(F.array(*structs), lambda e: e.isNotNull())))
+    for b in bounds:
+        b["bins"] = min(MAX_BINS, b["distinct"])
+    counts = (_binned(df, [(_x(df, b["column"]), b["lo"], b["hi"], b["bins"]) for b in bounds])
               .groupBy("k", "bin").agg(F.count(F.lit(1)).alias("count")))
     # All bins of all charted columns: at most 12 per column, built on the driver.
     grid_rows = []
