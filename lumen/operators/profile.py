@@ -301,7 +301,7 @@ def _pairs(cols: list[str]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
-def correlation_values(df: DataFrame, cols: list[str], chunk: int = 200) -> dict:
+def correlation_values(df: DataFrame, cols: list[str], chunk: int = 64) -> dict:
     """Unrounded pairwise-complete r for every pair i<j and each diagonal,
     in one aggregate per ``chunk`` pairs (keeps generated code small)."""
     xs = {c: _num(df, c) for c in cols}
@@ -316,16 +316,30 @@ def correlation_values(df: DataFrame, cols: list[str], chunk: int = 200) -> dict
     return out
 
 
-def correlation_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, col_a, col_b, r) for pairs i<=j as a relation (no collect)."""
+PAIRS_PER_AGG = 64
+
+
+def correlation_frame(df: DataFrame, cols: list[str], chunk: int = PAIRS_PER_AGG) -> DataFrame:
+    """(i, j, col_a, col_b, r) for pairs i<=j as a relation (no collect).
+
+    Pairs are split into aggregates of at most ``chunk`` pairs (each pair is
+    seven aggregate functions), so generated code and aggregation buffers
+    stay small however wide the table is; the chunks are unioned."""
     xs = {c: _num(df, c) for c in cols}
     jobs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[safe_corr(xs[cols[i]], xs[cols[j]]).alias(f"r{k}")
-                   for k, (i, j) in enumerate(jobs)])
-    structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                        F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                        F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(jobs)]
-    return _inline(row, structs)
+    parts = []
+    for s in range(0, len(jobs), chunk):
+        part = jobs[s:s + chunk]
+        row = df.agg(*[safe_corr(xs[cols[i]], xs[cols[j]]).alias(f"r{k}")
+                       for k, (i, j) in enumerate(part)])
+        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                            F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(part)]
+        parts.append(_inline(row, structs))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def correlation_matrix(df: DataFrame, include: list[str] | None = None) -> DataFrame:
