@@ -78,9 +78,21 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 def fmt2(c: Column) -> Column:
     """Python ``f"{x:,.2f}"`` after half-up rounding (rule R5)."""
-    return F.format_number(F.round(c, 2), 2)
+    return F.format_number(round_dp(c, 2), 2)
 
 
 def quote(name: str) -> str:
     """Name for use inside SQL text."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def round_dp(c, d: int) -> Column:
+    """Round half away from zero on the scaled binary value (x * 10^d).
+
+    Spark's ``round`` rounds the shortest decimal text of the double
+    (9588.085 -> 9588.09) while the binary value is below the tie; scaling
+    first agrees with DuckDB's ``round`` and, in more cases, with Python's
+    (rule R5)."""
+    c = F.col(c) if isinstance(c, str) else c
+    p = float(10 ** d)
+    return F.round(c * F.lit(p)) / F.lit(p)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import as_double, col, sanitize  # noqa: F401  (C8 lives in exprs)
+from lumen.functions.exprs import as_double, col, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
 from lumen.functions.quantiles import distinct_upto, exact_quantiles, proving_rsd
 from lumen.functions.roles import plot_roles
 from lumen.operators.profile import correlation_values, missing_profile, value_counts
@@ -169,8 +169,8 @@ def chart_histogram(df: DataFrame, include: list[str] | None = None,
         for i in range(nb):
             grid_rows.append((k, b["column"], i, float(edges[i]), float(edges[i + 1])))
     grid = spark.createDataFrame(grid_rows, "k int, column string, bin int, e0 double, e1 double")
-    label = F.concat(F.round("e0", 2).cast("string"), F.lit(" - "),
-                     F.round("e1", 2).cast("string"))
+    label = F.concat(round_dp("e0", 2).cast("string"), F.lit(" - "),
+                     round_dp("e1", 2).cast("string"))
     return (F.broadcast(grid).join(counts, ["k", "bin"], "left")
             .select("column", "bin", label.alias("range"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
@@ -199,8 +199,8 @@ def chart_boxplot(df: DataFrame, include: list[str] | None = None,
         aggs.append(F.count_if((x < F.lit(low)) | (x > F.lit(high))).alias(f"o{k}"))
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(b["column"]).alias("column"), F.lit(b["lo"]).alias("min"),
-                        F.round(F.lit(q[0]), 2).alias("q1"), F.round(F.lit(q[1]), 2).alias("median"),
-                        F.round(F.lit(q[2]), 2).alias("q3"), F.lit(b["hi"]).alias("max"),
+                        round_dp(F.lit(q[0]), 2).alias("q1"), round_dp(F.lit(q[1]), 2).alias("median"),
+                        round_dp(F.lit(q[2]), 2).alias("q3"), F.lit(b["hi"]).alias("max"),
                         F.col(f"o{k}").cast("long").alias("outliers_count"))
                for k, (b, q) in enumerate(zip(bounds, qs))]
     return row.select(F.inline(F.array(*structs)))
@@ -274,7 +274,7 @@ def chart_scatter(df: DataFrame, order_by: list[str], include: list[str] | None
                  .orderBy(*[F.col(f"k{i}") for i in range(len(order_by))]).limit(n))
         parts.append(first.select(
             F.lit(p).alias("pair"), F.lit(a).alias("x_col"), F.lit(b).alias("y_col"),
-            F.round(F.lit(score), 2).alias("score"),
+            round_dp(F.lit(score), 2).alias("score"),
             *[F.col(f"k{i}") for i in range(len(order_by))], "x", "y"))
     out = parts[0]
     for q in parts[1:]:
@@ -329,7 +329,7 @@ def chart_trend(df: DataFrame, time_col: str | None = None, value_col: str | Non
     return (pts.where(index < TREND_BUCKETS)
             .groupBy(bucket.alias("d")).agg(F.avg("v").alias("m"))
             .select(F.date_format("d", "yyyy-MM-dd").alias("date"),
-                    F.round("m", 2).alias("value")))
+                    round_dp("m", 2).alias("value")))
 
 
 # --------------------------------------------------------------------- C7

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumen.functions.exprs import round_dp
+
 # Fixed values from the reference's market page.
 UP_BAND = 5.0
 DOWN_BAND = -5.0
@@ -54,8 +56,8 @@ def latest_change(prices: DataFrame) -> DataFrame:
     pct = F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100
     return last.select(
         "symbol", F.date_format("day", "yyyy-MM-dd").alias("day"),
-        F.round("close", 2).alias("close"), F.round("prev_close", 2).alias("prev_close"),
-        F.round(pct, 2).alias("change_pct"),
+        round_dp("close", 2).alias("close"), round_dp("prev_close", 2).alias("prev_close"),
+        round_dp(pct, 2).alias("change_pct"),
         F.when(pct >= UP_BAND, "green").when(pct <= DOWN_BAND, "red").alias("band"))
 
 
@@ -63,7 +65,7 @@ def volatility(prices: DataFrame) -> DataFrame:
     """Sample std of daily returns x 100 (2 dp); a zero previous close
     gives no return for that day."""
     return (_with_returns(prices).groupBy("symbol")
-            .agg(F.round(F.stddev_samp("ret") * 100, 2).alias("volatility")))
+            .agg(round_dp(F.stddev_samp("ret") * 100, 2).alias("volatility")))
 
 
 def price_series(prices: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import as_double, col, fmt2, safe_corr
+from lumen.functions.exprs import as_double, col, fmt2, safe_corr, round_dp
 from lumen.functions.quantiles import column_stats, exact_quantiles
 from lumen.functions.roles import column_roles, is_numeric_type, plot_roles
 
@@ -88,7 +88,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                         F.col(f"m{i}").cast("long").alias("missing_count"),
-                        F.round(F.try_divide(F.col(f"m{i}") * 100.0, F.col("__n")), 2)
+                        round_dp(F.try_divide(F.col(f"m{i}") * 100.0, F.col("__n")), 2)
                         .alias("missing_pct"))
                for i, c in enumerate(df.columns)]
     return _inline(row, structs)
@@ -119,10 +119,10 @@ def numeric_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     med = _medians(df, cols, [0.5], approx)
     row = df.agg(*_numeric_aggs(df, cols))
     structs = [F.struct(F.lit(c).alias("column"),
-                        F.round(F.col(f"avg{i}"), 2).alias("mean"),
-                        F.round(F.lit(med[i][0]).cast("double"), 2).alias("median"),
-                        F.round(F.col(f"min{i}"), 2).alias("min"),
-                        F.round(F.col(f"max{i}"), 2).alias("max"))
+                        round_dp(F.col(f"avg{i}"), 2).alias("mean"),
+                        round_dp(F.lit(med[i][0]).cast("double"), 2).alias("median"),
+                        round_dp(F.col(f"min{i}"), 2).alias("min"),
+                        round_dp(F.col(f"max{i}"), 2).alias("max"))
                for i, c in enumerate(cols)]
     return _inline(row, structs)
 
@@ -268,8 +268,8 @@ def column_summary(df: DataFrame, approx: bool = False) -> DataFrame:
             m = med[numeric.index(c)][0]
             structs.append(F.struct(
                 F.lit(c).alias("column"), F.lit("numeric").alias("kind"),
-                F.round(F.col(f"avg{i}"), 2).alias("mean"),
-                F.round(F.lit(m).cast("double"), 2).alias("median"),
+                round_dp(F.col(f"avg{i}"), 2).alias("mean"),
+                round_dp(F.lit(m).cast("double"), 2).alias("median"),
                 F.lit(None).cast("long").alias("unique_values"),
                 F.col(f"m{i}").cast("long").alias("missing")))
     if structs:
@@ -349,9 +349,9 @@ def correlation_matrix(df: DataFrame, include: list[str] | None = None) -> DataF
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     cf = correlation_frame(df, cols)
-    upper = cf.select("col_a", "col_b", F.round("r", 2).alias("r"))
+    upper = cf.select("col_a", "col_b", round_dp("r", 2).alias("r"))
     lower = cf.where("i < j").select(F.col("col_b").alias("col_a"),
-                                     F.col("col_a").alias("col_b"), F.round("r", 2).alias("r"))
+                                     F.col("col_a").alias("col_b"), round_dp("r", 2).alias("r"))
     return upper.unionByName(lower)
 
 
@@ -399,7 +399,7 @@ def insights(df: DataFrame) -> DataFrame:
         parts.append(c.select(
             (F.lit(base) + F.col("i") * n + F.col("j")).alias("seq"),
             F.concat(F.lit("Detected a "), F.col("strength"), F.lit(" "), F.col("direction"),
-                     F.lit(" relationship ("), F.format_string("%.2f", F.round("r", 2)),
+                     F.lit(" relationship ("), F.format_string("%.2f", round_dp("r", 2)),
                      F.lit(") between '"), F.col("col_a"), F.lit("' and '"), F.col("col_b"),
                      F.lit("'.")).alias("sentence")))
     out = parts[0]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.functions.exprs import col
+from lumen.functions.exprs import col, round_dp
 from lumen.functions.quantiles import column_stats, exact_quantiles
 from lumen.functions.roles import TARGET_NAMES
 
@@ -60,9 +60,9 @@ def risk_kpis(df: DataFrame, value: int = REVENUE_PER_ACCOUNT) -> DataFrame:
     empty = F.col("n") == 0
     return agg.select(
         F.col("n").cast("long").alias("total_customers"),
-        F.when(empty, 0.0).otherwise(F.round(F.col("avg") * 100, 1)).alias("avg_risk"),
+        F.when(empty, 0.0).otherwise(round_dp(F.col("avg") * 100, 1)).alias("avg_risk"),
         F.col("high").cast("long").alias("high_risk_count"),
-        F.when(empty, 0.0).otherwise(F.round(F.try_divide(F.col("high"), F.col("n")) * 100, 1))
+        F.when(empty, 0.0).otherwise(round_dp(F.try_divide(F.col("high"), F.col("n")) * 100, 1))
         .alias("high_risk_pct"),
         _money(F.col("high") * value).alias("revenue_at_risk"))
 
@@ -77,7 +77,7 @@ def churn_summary(df: DataFrame) -> DataFrame:
     labels = [c for c in ("churn", "churned") if c in df.columns]
     label = F.coalesce(*[col(c).cast("double") for c in labels], F.lit(0.0))
     return df.agg(F.count(F.lit(1)).alias("total_customers"),
-                  (F.round(F.avg(label), 4) * 100).alias("churn_rate_pct"))
+                  (round_dp(F.avg(label), 4) * 100).alias("churn_rate_pct"))
 
 
 def top_risk(df: DataFrame, n: int = 10, key: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumen.functions.exprs import round_dp
 from lumen.operators import charts as C
 from lumen.operators import profile as P
 from lumen.plans import inputs as I
@@ -17,7 +18,7 @@ from lumen.sources.tables import standardize_names
 def rounded(df: DataFrame, dp: int = 6) -> DataFrame:
     """Round every double column (sums and averages depend on summation
     order in the last bits; the comparison is on rounded values)."""
-    return df.select(*[F.round(F.col(f"`{f.name}`"), dp).alias(f.name)
+    return df.select(*[round_dp(F.col(f"`{f.name}`"), dp).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
