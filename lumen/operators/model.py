@@ -355,7 +355,7 @@ def risk_drivers(trained: Trained, data: DataFrame, buckets_of: int = 1000) -> D
 
 # --------------------------------------------------------------------- churn pipeline
 
-def churn_pipeline(df: DataFrame, key: str) -> tuple[Trained, DataFrame]:
+def churn_pipeline(df: DataFrame, key: str, tiers: bool = True) -> tuple[Trained, DataFrame]:
     """The churn batch: target by name (F5), features by name rules (F6),
     codes for text, exact medians, stratified 80/20 split, a forest of 100
     trees of depth 10, AUC on the test part, then every row scored (H3) and
@@ -367,5 +367,6 @@ def churn_pipeline(df: DataFrame, key: str) -> tuple[Trained, DataFrame]:
     data = df.withColumn(target, col(target).cast("int"))
     trained, _ = fit_model(data, target, task="classification", features=feats, key=key,
                            trees=CHURN_TREES, depth=CHURN_DEPTH, stratify=True)
-    scored = risk_scores(score_batch(trained, data, keep=[key, target]))
-    return trained, risk_tiers(scored.select(key, target, "risk_score"))
+    scored = risk_scores(score_batch(trained, data, keep=[key, target])).select(key, target, "risk_score")
+    # Tiers follow pandas qcut: repeated edges (many equal scores) are an error.
+    return trained, (risk_tiers(scored) if tiers else scored)

@@ -96,7 +96,7 @@ register("risk_scores")(lambda spark, d: M.churn_pipeline(I.churn_customers(spar
 
 def _drivers(spark, d):
     cust = I.churn_customers(spark, d)
-    trained, _ = M.churn_pipeline(cust, "customer_id")
+    trained, _ = M.churn_pipeline(cust, "customer_id", tiers=False)
     prepared = M.prepare_features(cust, trained).withColumn("label", F.col("churn").cast("double"))
     return M.risk_drivers(trained, prepared)
 
