@@ -243,7 +243,7 @@ def chart_categories(df: DataFrame, include: list[str] | None = None,
 
 def ranked_pairs(df: DataFrame, cols: list[str]) -> list[tuple[str, str, float, float]]:
     """Pairs by |r| descending (null r counts as 0); ties keep column order."""
-    r = correlation_values(df, cols)
+    r = correlation_values(df, cols, diagonal=False)
     pairs = []
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):

@@ -301,11 +301,11 @@ def _pairs(cols: list[str]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
-def correlation_values(df: DataFrame, cols: list[str], chunk: int = 64) -> dict:
-    """Unrounded pairwise-complete r for every pair i<j and each diagonal,
+def correlation_values(df: DataFrame, cols: list[str], chunk: int = 64, diagonal: bool = True) -> dict:
+    """Unrounded pairwise-complete r for every pair i<j (and each diagonal),
     in one aggregate per ``chunk`` pairs (keeps generated code small)."""
     xs = {c: _num(df, c) for c in cols}
-    jobs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    jobs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
     out = {}
     for s in range(0, len(jobs), chunk):
         part = jobs[s:s + chunk]
@@ -319,14 +319,15 @@ def correlation_values(df: DataFrame, cols: list[str], chunk: int = 64) -> dict:
 PAIRS_PER_AGG = 64
 
 
-def correlation_frame(df: DataFrame, cols: list[str], chunk: int = PAIRS_PER_AGG) -> DataFrame:
+def correlation_frame(df: DataFrame, cols: list[str], chunk: int = PAIRS_PER_AGG,
+                      diagonal: bool = True) -> DataFrame:
     """(i, j, col_a, col_b, r) for pairs i<=j as a relation (no collect).
 
     Pairs are split into aggregates of at most ``chunk`` pairs (each pair is
     seven aggregate functions), so generated code and aggregation buffers
     stay small however wide the table is; the chunks are unioned."""
     xs = {c: _num(df, c) for c in cols}
-    jobs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    jobs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
     parts = []
     for s in range(0, len(jobs), chunk):
         part = jobs[s:s + chunk]
@@ -361,7 +362,7 @@ def correlation_insights(df: DataFrame) -> DataFrame:
     if len(cols) < 2:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, col_a string, col_b string, r double, strength string, direction string")
-    cf = correlation_frame(df, cols).where("i < j")
+    cf = correlation_frame(df, cols, diagonal=False)
     return (cf.where(F.abs("r") > MODERATE_R)
             .select("i", "j", "col_a", "col_b", "r",
                     F.when(F.abs("r") > STRONG_R, "strong").otherwise("moderate").alias("strength"),

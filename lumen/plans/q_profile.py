@@ -320,7 +320,35 @@ SELECT CAST(1 + 2 * (SELECT count(*) FROM (
        CAST(0 AS BIGINT) AS datetime_features, true AS has_missing_data,
        CAST(NULL AS VARCHAR) AS message""")(lambda spark, d: C.chart_summary(I.people(spark, d)))
 
-register("chart_catalog")(lambda spark, d: C.chart_catalog(I.table(spark, d, "orders")))
+ORD_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+ORD_CAT = ["o_orderstatus", "o_orderpriority"]
+
+
+def _catalog_sql():
+    pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
+    scores = _union([f"""SELECT {k} AS k, '{ORD_NUM[i]}' AS a, '{ORD_NUM[j]}' AS b,
+        coalesce(abs({_corr(ORD_NUM[i], ORD_NUM[j])}), 0.0) AS s FROM orders""" for k, (i, j) in enumerate(pairs)])
+    rows = []
+    for n, c in enumerate(ORD_NUM):
+        rows.append(f"""SELECT {2 * n} AS ord, 'hist_{c}' AS chart_id, 'histogram' AS chart_type,
+            'Distribution of {c}' AS title FROM orders HAVING count(DISTINCT {c}) > 1""")
+        rows.append(f"""SELECT {2 * n + 1}, 'boxplot_{c}', 'boxplot', '{c} Summary (Box Plot Specs)'
+            FROM orders HAVING count(DISTINCT {c}) > 1""")
+    for n, c in enumerate(ORD_CAT):
+        rows.append(f"""SELECT {10 + n}, 'cat_{c}',
+            CASE WHEN least(count(DISTINCT {c}), 7) <= 5 THEN 'donut' ELSE 'bar' END,
+            'Top Categories in {c}' FROM orders HAVING count({c}) > 0""")
+    rows.append("""SELECT 20 + rk, 'scatter_' || a || '_vs_' || b, 'scatter',
+        'Relationship: ' || a || ' vs ' || b || ' (Correlation: ' || CAST(round(s, 2) AS VARCHAR) || ')'
+        FROM sc WHERE rk < 2""")
+    rows.append("""SELECT 30, 'line_trend_o_orderdate', 'line', 'Trend of o_orderkey over Time (o_orderdate)'
+        FROM orders WHERE o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL HAVING count(*) > 0""")
+    return f"""WITH sc AS (SELECT k, a, b, s, row_number() OVER (ORDER BY s DESC, k) - 1 AS rk FROM ({scores})),
+rows AS ({_union(rows)})
+SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS seq, chart_id, chart_type, title FROM rows"""
+
+
+register("chart_catalog", _catalog_sql())(lambda spark, d: C.chart_catalog(I.table(spark, d, "orders")))
 
 register("sanitize", S.with_(S.ODD_FLOATS) + """
 SELECT l_orderkey, l_linenumber,
