@@ -21,7 +21,7 @@ def _people_with(col_name: str, expr: str) -> str:
 
 
 register("remove_duplicates", W_PEOPLE + "SELECT DISTINCT * FROM people")(
-    lambda spark, d: D.remove_duplicates(I.people(spark, d))[0])
+    lambda spark, d: D.drop_duplicate_rows(I.people(spark, d)))
 
 register("drop_missing_rows", W_PEOPLE +
          "SELECT * FROM people WHERE c_acctbal IS NOT NULL AND NOT isnan(c_acctbal)")(

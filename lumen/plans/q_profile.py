@@ -166,28 +166,30 @@ WHERE abs(raw) > 0.4""")(lambda spark, d: rounded(P.correlation_insights(I.price
 # --------------------------------------------------------------- P12 / P13
 
 
-def _sentence_sql():
+def _sentence_sql(with_=W_PEOPLE, src="people", text_cols=PEOPLE_TEXT, num_cols=PEOPLE_NUMERIC):
     cat = [f"""SELECT {i} AS seq, 'The column ''{c}'' is categorical with ' ||
         CAST(count(DISTINCT {c}) AS VARCHAR) || ' unique values. The most frequent value is ''' ||
-        coalesce({_mode_parts('people', c)}, 'N/A') || '''.' AS sentence FROM people"""
-           for i, c in enumerate(PEOPLE_TEXT)]
-    num = [f"""SELECT {len(PEOPLE_TEXT) + i} AS seq, 'For ''{c}'': values range from ' ||
+        coalesce({_mode_parts(src, c)}, 'N/A') || '''.' AS sentence FROM {src}"""
+           for i, c in enumerate(text_cols)]
+    num = [f"""SELECT {len(text_cols) + i} AS seq, 'For ''{c}'': values range from ' ||
         format('{{:,.2f}}', round(min(CAST({c} AS DOUBLE)), 2)) || ' to ' ||
         format('{{:,.2f}}', round(max(CAST({c} AS DOUBLE)), 2)) || ' (Average: ' ||
         format('{{:,.2f}}', round(avg(CAST({c} AS DOUBLE)), 2)) || ').' AS sentence
-        FROM people HAVING count({c}) > 0""" for i, c in enumerate(PEOPLE_NUMERIC)]
-    n = len(PEOPLE_NUMERIC)
-    base = len(PEOPLE_TEXT) + n
+        FROM {src} HAVING count({c}) > 0""" for i, c in enumerate(num_cols)]
+    n = len(num_cols)
+    base = len(text_cols) + n
     pairs = [f"""SELECT {base + i * n + j} AS seq, 'Detected a ' ||
         CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END || ' ' ||
         CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END || ' relationship (' ||
-        printf('%.2f', round(r, 2)) || ') between ''{PEOPLE_NUMERIC[i]}'' and ''{PEOPLE_NUMERIC[j]}''.'
-        AS sentence FROM (SELECT {_corr(PEOPLE_NUMERIC[i], PEOPLE_NUMERIC[j])} AS r FROM people)
+        printf('%.2f', round(r, 2)) || ') between ''{num_cols[i]}'' and ''{num_cols[j]}''.'
+        AS sentence FROM (SELECT {_corr(num_cols[i], num_cols[j])} AS r FROM {src})
         WHERE abs(r) > 0.4""" for i in range(n) for j in range(i + 1, n)]
-    return W_PEOPLE + "SELECT CAST(seq AS INTEGER) AS seq, sentence FROM (" + _union(cat + num + pairs) + ")"
+    return with_ + "SELECT CAST(seq AS INTEGER) AS seq, sentence FROM (" + _union(cat + num + pairs) + ")"
 
 
 register("insights", _sentence_sql())(lambda spark, d: P.insights(I.people(spark, d)))
+register("insights_correlated", _sentence_sql(S.with_(S.PRICED), "priced", [], PRICED))(
+    lambda spark, d: P.insights(I.priced(spark, d)))
 
 
 def _recommend_sql():
