@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumen.functions.exprs import as_double, col, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
 from lumen.functions.quantiles import distinct_upto, exact_quantiles, proving_rsd

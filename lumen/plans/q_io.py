@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lumen.operators import risk as H
 from lumen.plans import inputs as I
 from lumen.plans import sqlparts as S
 from lumen.plans.q_risk import RISK, predictions

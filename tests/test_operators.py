@@ -7,7 +7,6 @@ import os
 import zipfile
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK, SF_SMALL
