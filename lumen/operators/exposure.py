@@ -46,7 +46,14 @@ def secret_exposure(secrets: DataFrame, corpus: DataFrame, c: str = "secret") ->
         F.when(s == "", F.raise_error(F.lit("Password cannot be empty"))).otherwise(s).alias(c),
         F.substring(h, 1, PREFIX_LEN).alias("prefix"),
         F.substring(h, PREFIX_LEN + 1, SUFFIX_LEN).alias("suffix"))
-    hit = keyed.join(corpus, ["prefix", "suffix"], "left")
+    keys = ["prefix", "suffix"]
+    if "p2" in corpus.columns:
+        # A range table written by write_hash_corpus: joining on its partition
+        # column lets dynamic partition pruning skip directories whenever the
+        # secret side is filtered (Spark only prunes behind a selective side).
+        keyed = keyed.withColumn("p2", F.substring("prefix", 1, 2))
+        keys.append("p2")
+    hit = keyed.join(corpus, keys, "left")
     n = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     return hit.select(c, (n > 0).alias("breached"), n.alias("count"))
 

@@ -83,3 +83,18 @@ def _snippets(spark, d):
 register("insert_snippets", """
 SELECT p_partkey AS id, p_name AS title, p_brand AS code, '' AS tags, false AS is_favorite FROM part""")(
     _snippets)
+
+
+def _partitioned_exposure(spark, d):
+    """X1 written partitioned by the first two hex digits, then X2 against it."""
+    from lumen.operators import exposure as X
+    path = _scratch(spark, "hash-ranges")
+    X.write_hash_corpus(X.hash_corpus(I.table(spark, d, "events"), "props"), path)
+    corpus = spark.read.parquet(path)
+    return X.secret_exposure(I.secrets(spark, d), corpus)
+
+
+from lumen.plans.registry import ORACLE  # noqa: E402
+from lumen.plans import q_catalog  # noqa: E402,F401  (defines the secret_exposure oracle)
+
+register("secret_exposure_partitioned", ORACLE["secret_exposure"])(_partitioned_exposure)
