@@ -1,4 +1,4 @@
 """Imports every query module; each registers itself."""
 
-from lumen.llm import q_pii, q_secrets  # noqa: F401
+from lumen.llm import q_decontaminate, q_pii, q_secrets  # noqa: F401
 from lumen.llm.registry import ORACLE, QUERIES  # noqa: F401
