@@ -71,35 +71,25 @@ KINDS = tuple(r.kind for r in RULES)
 BASE_KINDS = 3
 
 
-@dataclass(frozen=True)
-class Scanner:
-    """all: every rule, matches anywhere; per rule: own (anchored), back
-    (anchored, reversed) and alone (matches anywhere)."""
-
-    rules: tuple[Rule, ...]
-    all: Dfa
-    own: tuple[Dfa, ...]
-    back: tuple[Dfa, ...]
-    alone: tuple[Dfa, ...]
-
-
 @lru_cache(maxsize=4)
-def compiled(rules: tuple[Rule, ...] = RULES) -> Scanner:
+def compiled(rules: tuple[Rule, ...] = RULES) -> list[tuple]:
+    """Transition arrays: every rule with matches anywhere, then per rule its
+    own (anchored), back (anchored, reversed) and alone (matches anywhere)."""
     exprs = [r.expr for r in rules]
-    return Scanner(rules, compile_dfa(exprs, True), tuple(compile_dfa([e], False) for e in exprs),
-                   tuple(compile_dfa([backward(e)], False) for e in exprs),
-                   tuple(compile_dfa([e], True) for e in exprs))
+    dfas = [compile_dfa(exprs, True), *(compile_dfa([e], False) for e in exprs),
+            *(compile_dfa([backward(e)], False) for e in exprs), *(compile_dfa([e], True) for e in exprs)]
+    return [(d.classes, d.step, d.accept, d.dead) for d in dfas]
 
 
 class Scan:
-    """A scanner's automata as linked rows, in a worker."""
+    """The automata as linked rows, in a worker."""
 
-    def __init__(self, scanner: Scanner) -> None:
-        self.rules = scanner.rules
-        self.classes = scanner.all.classes
-        self.all = scanner.all.rows()
-        self.own, self.back, self.alone = ([d.rows(by_byte=True) for d in dfas]
-                                           for dfas in (scanner.own, scanner.back, scanner.alone))
+    def __init__(self, rules: tuple[Rule, ...], arrays: list[tuple]) -> None:
+        self.rules, n = rules, len(rules)
+        every, *each = (Dfa(*a) for a in arrays)
+        self.classes, self.all = every.classes, every.rows()
+        rows = [d.rows(by_byte=True) for d in each]
+        self.own, self.back, self.alone = rows[:n], rows[n:2 * n], rows[2 * n:]
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
         """The one pass: (end, rules with a match that ends there)."""
@@ -171,7 +161,7 @@ def _scan_udf(spark, rules: tuple[Rule, ...], work: Callable, kind: str):
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scan = Scan(shared.value)
+        scan = Scan(rules, shared.value)
         for texts in batches:
             yield pd.Series([work(scan, t) for t in texts], dtype=object)
 
