@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.common import fresh
+
 WINDOW = 10
 # Benchmark words in one automaton (about 0.5 KB each in a worker).
 BLOCK_WORDS = 500_000
@@ -181,8 +183,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     words, by start), items (ids as strings, sorted) and n_hit."""
     spark = docs.sparkSession
     parts = []
-    for k, block in enumerate(_blocks(benchmark, item, item_text)):
-        parts.append(f"{out}_{k}")
+    for block in _blocks(benchmark, item, item_text):
+        parts.append(fresh(docs, f"{out}_{len(parts)}"))
         docs = docs.withColumn(parts[-1], _hits_udf(spark, block, window)(F.col(text)))
     one = F.col(parts[0])
     if len(parts) == 1:
@@ -238,7 +240,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                   item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without hit spans; a document goes if more than max_coverage of
     its words are hit. Texts without hits stay as they are."""
-    hit = find_hits(docs, benchmark, text, item, item_text, window, out="_hits")
-    kept = hit.where(F.col("_hits")["n_hit"] <= F.lit(max_coverage) * F.col("_hits")["n_words"])
-    return kept.withColumn(text, F.when(F.col("_hits")["n_hit"] > 0, _without()(F.col(text), F.col("_hits")["spans"]))
-                           .otherwise(F.col(text))).drop("_hits")
+    name = fresh(docs, "hits")
+    hit = find_hits(docs, benchmark, text, item, item_text, window, out=name)
+    hits = F.col(name)
+    kept = hit.where(hits["n_hit"] <= F.lit(max_coverage) * hits["n_words"])
+    return kept.withColumn(text, F.when(hits["n_hit"] > 0, _without()(F.col(text), hits["spans"]))
+                           .otherwise(F.col(text))).drop(name)

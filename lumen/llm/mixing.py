@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.common import written
+from lumen.llm.common import fresh, written
 
 TOPICS = 8
 # A word of at least so many letters can name a text's topic.
@@ -56,8 +56,9 @@ def with_topics(docs: DataFrame, text: str = "text", tokens: str = "tokens", top
         for texts in batches:
             yield pd.DataFrame([topic_of(t, topics) for t in texts], columns=["tokens", "topic"])
 
-    return docs.withColumn("_topic", run(F.col(text))).withColumns(
-        {tokens: F.col("_topic")["tokens"], topic: F.col("_topic")["topic"]}).drop("_topic")
+    both = fresh(docs, "tokens_topic")
+    return docs.withColumn(both, run(F.col(text))).withColumns(
+        {tokens: F.col(both)["tokens"], topic: F.col(both)["topic"]}).drop(both)
 
 
 def tempered(cells: DataFrame, dim: str, temper: float) -> DataFrame:
@@ -127,14 +128,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[st
     targets: shares for each of dims; by default the tempered ones.
     """
     spark = docs.sparkSession
-    known = with_topics(docs, text)
+    known = with_topics(docs.drop("weight", "probability", "sampled"), text)
     cells = written(spark, known.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: tempered(cells, d, TEMPER) for d in dims}
     raked = rake(cells, targets)
     c = _scale(raked, budget)
-    found = raked.select(*(F.col(d).alias(f"_{d}") for d in dims), "weight",
+    names = {d: fresh(known, f"cell_{d}") for d in dims}
+    found = raked.select(*(F.col(d).alias(n) for d, n in names.items()), "weight",
                          F.least(F.lit(1.0), F.col("weight") * F.lit(c)).alias("probability"))
-    on = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]
-    return known.join(found, on, "left").drop(*(f"_{d}" for d in dims)).withColumn(
+    on = [F.col(d).eqNullSafe(F.col(n)) for d, n in names.items()]
+    return known.join(found, on, "left").drop(*names.values()).withColumn(
         "sampled", draw(F.col(key), seed) < F.col("probability"))

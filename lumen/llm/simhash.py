@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.common import written
+from lumen.llm.common import fresh, written
 from lumen.llm.graph import components
 
 SHINGLE = 4
@@ -182,6 +182,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = near_duplicates(docs, key, text, shingle, max_bits)
     keep = written(spark, found.where(F.col(key) == F.col("component_id")).select(key).distinct(), "keep")
     order = Window.partitionBy(key).orderBy(F.xxhash64(text), *(F.col(c) for c in docs.columns if c not in (key, text)))
-    once = (docs.join(keep, key, "left_semi").withColumn("_row", F.row_number().over(order))
-            .where("_row = 1").drop("_row").select(*docs.columns))
+    row = fresh(docs, "row")
+    once = (docs.join(keep, key, "left_semi").withColumn(row, F.row_number().over(order))
+            .where(F.col(row) == 1).select(*docs.columns))
     return once.unionByName(docs.where(F.col(key).isNull()))
