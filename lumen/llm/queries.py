@@ -1,4 +1,4 @@
 """Imports every query module; each registers itself."""
 
-from lumen.llm import q_ann, q_decontaminate, q_html, q_language, q_mixing, q_pii, q_secrets, q_simhash, q_toxicity  # noqa: F401
+from lumen.llm import q_ann, q_decontaminate, q_html, q_language, q_mixing, q_pii, q_secrets, q_simhash, q_substrings, q_toxicity  # noqa: F401
 from lumen.llm.registry import ORACLE, QUERIES  # noqa: F401
