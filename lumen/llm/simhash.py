@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumen.llm.common import fresh, written
@@ -83,8 +83,8 @@ def _rotated(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
-def _turned(key: Column, flips: Column, m: int, start: int) -> Column:
-    return F.transform(flips, lambda f: key.bitwiseXOR(f) * m + start)
+def _turned(key: Column, flips: Column, start: int) -> Column:
+    return F.transform(flips, lambda f: F.struct(F.lit(start).alias("start"), key.bitwiseXOR(f).alias("key")))
 
 
 def _neighbours(nodes: DataFrame, max_bits: int, reach: int) -> DataFrame:
@@ -130,40 +130,32 @@ def _links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): every pair of components with fingerprints within max_bits."""
     ring, m = _ring(max_bits), max_bits + 1
     fp = F.col("fp")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     exact, turned = [], []
     for i, lengths in enumerate(ring):
-        first, second = lengths[0], lengths[1 % m]
-        if m == 1:
-            exact.append(fp)
-            turned.append(F.array(fp))
-            continue
-        key = F.shiftrightunsigned(_rotated(fp, sum(ring[0][:i])), 64 - first - second)
-        one = F.lit(1).cast("long")
-        flips = F.array(F.lit(0).cast("long"), *(F.shiftleft(one, j) for j in range(second)))
-        exact.append(key * m + i)
-        turned.append(_turned(key, flips, m, i))
-    left = nodes.select("fp", "comp", F.explode(F.array(*exact)).alias("key")).alias("l")
-    right = nodes.select("fp", "comp", F.explode(F.flatten(F.array(*turned))).alias("key")).alias("r")
+        second = lengths[1] if m > 1 else 0
+        key = F.shiftrightunsigned(_rotated(fp, sum(ring[0][:i])), 64 - lengths[0] - second)
+        flips = F.array(none, *(F.shiftleft(one, j) for j in range(second)))
+        exact.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
+        turned.append(_turned(key, flips, i))
+    left = nodes.select("fp", "comp", F.inline(F.array(*exact))).alias("l")
+    right = nodes.select("fp", "comp", F.inline(F.flatten(F.array(*turned)))).alias("r")
     differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     keep = (F.col("l.comp") < F.col("r.comp")) & (F.bit_count(differ) <= max_bits)
     chain = F.lit(False)
     for i, lengths in enumerate(ring):
         around = _rotated(differ, sum(ring[0][:i]))
-        within = F.pmod(F.col("l.key"), F.lit(m)) == i if m > 1 else F.lit(True)
+        within = F.col("l.start") == i
         for n in range(2, m):
             within &= F.bit_count(F.shiftrightunsigned(around, 64 - sum(lengths[:n]))) <= n * max_bits // m
         chain |= within
     # Turning one bit leads from either of a pair to the other: l < r loses none.
-    return (left.join(right, (F.col("l.key") == F.col("r.key")) & chain & keep)
+    return (left.join(right, (F.col("l.start") == F.col("r.start")) & (F.col("l.key") == F.col("r.key")) & chain & keep)
             .select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component_id) of each row: fp the fingerprint as a signed
-    long, component_id the smallest id that links reach."""
-    spark = docs.sparkSession
-    prints = written(spark, fingerprints(docs, key, text, shingle), "prints")
+def linked(spark: SparkSession, prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, fp, component_id) of each row of prints (id, fp)."""
     nodes = written(spark, prints.dropna().groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     first = components(spark, _neighbours(nodes, max_bits, REACH))
     nodes = written(spark, nodes.join(first.withColumnRenamed("node", "id"), "id", "left").select(
@@ -171,7 +163,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     second = components(spark, _links(nodes, max_bits))
     labels = written(spark, nodes.join(second.withColumnRenamed("node", "comp"), "comp", "left").select(
         "fp", F.coalesce("root", "comp").alias("component_id")), "labels")
-    return prints.join(labels, "fp", "left").select(F.col("id").alias(key), "fp", "component_id")
+    return prints.join(labels, "fp", "left").select("id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, fp, component_id) of each row: fp the fingerprint as a signed
+    long, component_id the smallest id that links reach."""
+    spark = docs.sparkSession
+    prints = written(spark, fingerprints(docs, key, text, shingle), "prints")
+    return linked(spark, prints, max_bits).withColumnRenamed("id", key)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
