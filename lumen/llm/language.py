@@ -112,7 +112,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Colu
 def identify(docs: DataFrame, prototypes: dict[str, list[int]], text: str = "text", out: str = "language") -> DataFrame:
     """docs with the struct column ``out``: lang and score (cosine, 0 to 1)."""
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
     matrix /= np.maximum(np.sqrt((matrix ** 2).sum(axis=1, keepdims=True)), 1e-300)
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
 
