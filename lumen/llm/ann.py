@@ -10,23 +10,25 @@ is estimated without bias, with an error that concentrates around
 A vector is reranked with the exact product unless its estimate plus EPSILON
 times that error stays below the k-th best lower bound of its block.
 
-Every row is coded. Blocks of queries meet blocks of vectors, both of fixed
-size, in tasks of bounded memory; each pair of blocks returns k rows a query
-at most, and the best k of all are taken at the end.
+Every row is coded. Queries are asked in blocks of fixed size: a block is
+broadcast, every task streams its part of the codes past it and keeps the
+best k of each query so far, whose last one raises the bar for the rest of
+the part. A task returns k rows a query; the best k of all are taken at the
+end. Memory holds a block of queries and a few thousand vectors.
 
 Defined cases: vectors that are null or zero, hold a null, NaN or infinite
 component, or have another length than most vectors, take no part, nor do
 null ids; rows of a query's own id are no candidates; repeated rows are
-candidates each; ties go to the smaller id; an empty table gives no rows.
+candidates each, but of a query's repeated rows one vector is asked; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,10 @@ from lumen.llm.common import written
 
 EPSILON = 3.0
 SEED = 20_241
-BLOCK = 1_024
-QUERY_BLOCK = 512
-CODES = "id long, block int, vector binary, bits binary, size double, cosine double"
+# Queries broadcast at once; queries and vectors multiplied at once.
+QUERY_BLOCK = 4_096
+ROWS, COLUMNS = 256, 1_024
+CODES = "id long, vector binary, bits binary, size double, cosine double"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -54,25 +57,51 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(turned > 0, axis=1), size, np.where(size > 0, cosine, 1.0)
 
 
-def search(ids, vectors, bits, size, cosine, query_ids, queries, centre, turn, k: int) -> Iterator[tuple]:
-    """(query, ids, scores) of up to k best of a block of vectors."""
-    n, d = vectors.shape
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    length = np.sqrt((queries ** 2).sum(axis=1))
-    guess = (queries @ turn).astype(np.float32) @ signs.T / np.sqrt(d)
-    guess = guess * (size / cosine)[None, :] + (queries @ centre)[:, None]
-    spread = size * np.sqrt(np.maximum(1 - cosine ** 2, 0)) / cosine / np.sqrt(max(d - 1, 1))
-    # The products of float32 round a little beyond the bound.
-    error = EPSILON * length[:, None] * spread[None, :] + 1e-5 * length[:, None] * size[None, :]
-    own = query_ids[:, None] == ids[None, :]
-    lower = np.where(own, -np.inf, guess - error)
-    least = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-    maybe = (guess + error >= least[:, None]) & ~own
-    for i, q in enumerate(queries):
-        at = np.flatnonzero(maybe[i])
-        exact = vectors[at] @ q
-        best = np.lexsort((ids[at], -exact))[:k]
-        yield query_ids[i], ids[at][best], exact[best]
+class Search:
+    """The best k of each query among the vectors seen so far."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = query_ids, queries, k
+        self.turned = (queries @ turn).astype(np.float32) / np.float32(np.sqrt(len(turn)))
+        self.base = queries @ centre
+        self.length = np.sqrt((queries ** 2).sum(axis=1))
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.found = np.full((len(queries), k), -1)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, size: np.ndarray, cosine: np.ndarray) -> None:
+        d = vectors.shape[1]
+        signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
+        spread = size * np.sqrt(np.maximum(1 - cosine ** 2, 0)) / cosine / np.sqrt(max(d - 1, 1))
+        for at in range(0, len(self.ids), ROWS):
+            part = slice(at, at + ROWS)
+            guess = (self.turned[part] @ signs.T) * (size / cosine) + self.base[part, None]
+            # The products of float32 round a little beyond the bound.
+            error = self.length[part, None] * (EPSILON * spread + 1e-5 * size)
+            own = self.ids[part, None] == ids
+            bar = self.scores[part, -1]
+            if len(ids) > self.k:
+                lower = np.where(own, -np.inf, guess - error)
+                bar = np.maximum(bar, np.partition(lower, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            row, col = np.nonzero((guess + error >= bar[:, None]) & ~own)
+            exact = np.einsum("ij,ij->i", vectors[col], self.queries[at + row])
+            self._merge(at, row, ids[col], exact)
+
+    def _merge(self, at: int, row: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> None:
+        n = len(self.scores[at:at + ROWS])
+        row = np.append(row, np.repeat(np.arange(n), self.k))
+        ids = np.append(ids, self.found[at:at + n].ravel())
+        exact = np.append(exact, self.scores[at:at + n].ravel())
+        order = np.lexsort((ids, -exact, row))
+        row, ids, exact = row[order], ids[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        self.scores[at + row[best], place[best]] = exact[best]
+        self.found[at + row[best], place[best]] = ids[best]
+
+    def rows(self) -> pd.DataFrame:
+        some = self.scores > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(self.ids, some.sum(axis=1)), "vec_id": self.found[some],
+                             "score": self.scores[some]})
 
 
 def _valid(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
@@ -97,46 +126,42 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     rows, d = _valid(vectors, key, vector)
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    means = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("int")).alias("q"),
-                     *(F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(d))).first()
-    centre, turn = np.array(means[2:], dtype=float), rotation(d)
-    n_blocks, n_query_blocks = -(-means["n"] // BLOCK), max(1, -(-(means["q"] or 0) // QUERY_BLOCK))
+    means = rows.agg(*(F.avg(F.get("v", F.lit(i))) for i in range(d))).first()
+    centre, turn = np.array(means, dtype=float), rotation(d)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows are dealt to the blocks in turn, whatever their ids or values.
-        turn_of = TaskContext.get().partitionId() * 7_919
         for b in batches:
             if len(b):
                 v = np.stack(b["v"].to_numpy()).astype(np.float64)
                 bits, size, cosine = encode(v, centre, turn)
-                yield pd.DataFrame({
-                    "id": b["id"], "block": (np.arange(len(b)) + turn_of) % n_blocks,
-                    "vector": [x.tobytes() for x in v], "bits": [x.tobytes() for x in bits],
-                    "size": size, "cosine": cosine})
-                turn_of += len(b)
+                yield pd.DataFrame({"id": b["id"], "vector": [x.tobytes() for x in v], "bits": [x.tobytes() for x in bits],
+                                    "size": size, "cosine": cosine})
 
     codes = written(spark, rows.mapInPandas(code, CODES), "codes")
-    queries = codes.where(is_query).select("id", "vector")
-    pairs = codes.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = queries.withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def meet(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or ask.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        v = np.frombuffer(b"".join(block["vector"]), np.float64).reshape(-1, d)
-        bits = np.frombuffer(b"".join(block["bits"]), np.uint8).reshape(len(block), -1)
-        found = []
-        for at in range(0, len(ask), QUERY_BLOCK):
-            part = ask.iloc[at:at + QUERY_BLOCK]
-            q = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(-1, d)
-            found += [pd.DataFrame({"query_id": i, "vec_id": ids, "score": scores}) for i, ids, scores in search(
-                block["id"].to_numpy(), v, bits, block["size"].to_numpy(), block["cosine"].to_numpy(),
-                part["id"].to_numpy(), q, centre, turn, k) if len(ids)]
-        return pd.concat(found) if found else meet(block.iloc[:0], ask)
-
+    queries = codes.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = written(spark, queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))), "queries")
+
+    def asked(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64),
+                                               b"".join(bytes(r["vector"]) for r in block)))
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, data = shared.value
+            search = Search(ids, np.frombuffer(data, np.float64).reshape(-1, d), centre, turn, k)
+            for b in batches:
+                for at in range(0, len(b), COLUMNS):
+                    c = b.iloc[at:at + COLUMNS]
+                    search.add(c["id"].to_numpy(), np.frombuffer(b"".join(c["vector"]), np.float64).reshape(-1, d),
+                               np.frombuffer(b"".join(c["bits"]), np.uint8).reshape(len(c), -1),
+                               c["size"].to_numpy(), c["cosine"].to_numpy())
+            yield search.rows()
+
+        return codes.mapInPandas(meet, FOUND)
+
+    # About QUERY_BLOCK queries reach the driver at once.
+    found = [written(spark, asked(blocks.where(F.col("block") == g).select("id", "vector").collect()), "found")
+             for g in range(n_blocks)]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (pairs.groupBy("block", "queries").cogroup(asked.groupBy("block", "queries")).applyInPandas(meet, FOUND)
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
