@@ -30,8 +30,28 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
 
 
-def not_nan(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+def is_missing(name: str, dt: T.DataType) -> Column:
+    """R1 for any column: null, and NaN or +-Inf in a float column."""
+    c = col(name)
+    if isinstance(dt, FLOAT_TYPES):
+        return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return c.isNull()
+
+
+def number_text(c: Column) -> Column:
+    """A float as Python prints it: plain decimals from 1e-4 to below 1e16,
+    else an exponent of at least two digits. (Spark's own text has an exponent
+    from 1e7 on.)"""
+    s = c.cast("string")
+    plain = F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.concat(
+        F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", ""), F.lit("e"),
+        F.when(F.contains(s, F.lit("E-")), "-").otherwise("+"),
+        F.regexp_replace(F.regexp_extract(s, r"(\d+)$", 1), r"^(\d)$", "0$1"))
+    size = F.abs(c)
+    return (F.when(~F.contains(s, F.lit("E")) & ((size >= 1e-4) | (size == 0)), s)
+            .when((size >= 1e-4) & (size < 1e16), plain)
+            .when(F.contains(s, F.lit("E")), power).otherwise(s))
 
 
 def sanitize(df: DataFrame) -> DataFrame:
@@ -54,16 +74,7 @@ def as_double(name: str, dt: T.DataType) -> Column:
     c = col(name)
     if isinstance(dt, T.BooleanType):
         c = c.cast("int")
-    c = c.cast("double")
-    return not_nan(c)
-
-
-def text_to_double(c: Column) -> Column:
-    """Number-looking text to double, anything else to null (R11 + R1)."""
-    s = F.trim(c.cast("string"))
-    # inf/nan words parse in pandas but are missing under R1, so both they and
-    # non-numbers end up null.
-    return F.when(s.rlike(NUMBER_PATTERN), finite(s.try_cast("double")))
+    return finite(c.cast("double"))
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -81,11 +92,6 @@ def fmt2(c: Column) -> Column:
     return F.format_number(round_dp(c, 2), 2)
 
 
-def quote(name: str) -> str:
-    """Name for use inside SQL text."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def round_dp(c, d: int) -> Column:
     """Round half away from zero on the scaled binary value (x * 10^d).
 

@@ -6,11 +6,13 @@ holds every distinct value. Instead we find the k-th smallest value by
 histogram refinement:
 
 1. one job: per series count/min/max (already known to most callers);
-2. one job per round: for every unresolved interval, an equal-width histogram
-   (``bins`` buckets) of the rows inside it, with each bucket's count, min and
-   max. Buckets are monotone in the value, so the bucket that holds rank k is
-   found by a running count on the driver (``bins`` x intervals rows, a
-   bounded result) and becomes the next interval [bucket min, bucket max];
+2. one job per round: for every unresolved interval, a histogram (``bins``
+   buckets) of the rows inside it, with each bucket's count, min and max.
+   Buckets are of equal width, or of equal ratio where the values span many
+   orders of magnitude, so that a few rounds are enough for any doubles. They
+   are monotone in the value, so the bucket that holds rank k is found by a
+   running count on the driver (``bins`` x intervals rows, a bounded result)
+   and becomes the next interval [bucket min, bucket max];
 3. once an interval holds at most ``final_rows`` rows its values are sorted
    inside one task (bounded by ``final_rows``) and the k-th is read off.
 
@@ -28,6 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# From this ratio of an interval's ends on, buckets are of equal ratio.
+WIDE_RATIO = 1e6
+
+
 @dataclass
 class _Target:
     series: int
@@ -37,12 +43,13 @@ class _Target:
     below: int           # rows of the series with value < lo
     count: int           # rows of the series with lo <= value <= hi
     value: float | None = None
+    rounds: int = 0
 
 
 def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
                      stats: list[tuple[int, float | None, float | None]],
                      ranks: list[list[int]], *, bins: int = 1024,
-                     final_rows: int = 50_000, max_rounds: int = 64) -> list[dict[int, float]]:
+                     final_rows: int = 50_000) -> list[dict[int, float]]:
     """k-th smallest values of several series in a few passes.
 
     series: (double value expression, optional row condition) per series.
@@ -59,10 +66,9 @@ def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
                 t.value = mn
             targets.append(t)
 
-    for _ in range(max_rounds):
-        pending = [t for t in targets if t.value is None]
-        if not pending:
-            break
+    # Each round leaves at most about a 1,000th of an interval's width or log
+    # width, so that the 64 bits of a double are through after a few.
+    while pending := [t for t in targets if t.value is None]:
         # Targets sharing an interval share the scan.
         groups: dict[tuple, list[_Target]] = {}
         for t in pending:
@@ -94,9 +100,18 @@ def _rows_in(df: DataFrame, series, keyed: dict, extra) -> DataFrame:
 def _histogram_round(df: DataFrame, series, wide: dict, bins: int) -> None:
     """One pass: equal-width buckets inside every wide interval (plain hash
     aggregate of count/min/max); each target moves into its bucket."""
+    split = {(lo, hi) for (_, lo, hi), g in wide.items() if g[0].rounds}
+
     def bucket(value, lo, hi):
-        return F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
-                       F.lit(bins - 1)).cast("int")
+        if lo <= 0 <= hi and ((lo, hi) in split or hi - lo == float("inf")):
+            return F.signum(value).cast("int")  # values of one sign have a ratio
+        low, high = (lo, hi) if lo >= 0 else (-hi, -lo)
+        if low > 0 and high / low > WIDE_RATIO:
+            part = (F.log(F.abs(value)) - F.lit(math.log(low))) / F.lit(math.log(high) - math.log(low))
+            part = part if lo > 0 else 1 - part
+        else:
+            part = (value - F.lit(lo)) / F.lit(hi - lo)
+        return F.greatest(F.least(F.floor(part * F.lit(bins)), F.lit(bins - 1)), F.lit(0)).cast("int")
     rows = (_rows_in(df, series, wide, bucket).groupBy("j", "b")
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
             .collect())
@@ -110,7 +125,7 @@ def _histogram_round(df: DataFrame, series, wide: dict, bins: int) -> None:
             for row in buckets:
                 if cum + row["n"] > rel:
                     t.below += cum
-                    t.lo, t.hi, t.count = row["mn"], row["mx"], row["n"]
+                    t.lo, t.hi, t.count, t.rounds = row["mn"], row["mx"], row["n"], t.rounds + 1
                     if row["mn"] == row["mx"]:
                         t.value = row["mn"]
                     break

@@ -2,23 +2,23 @@
 
 F1 column_roles   numeric (not bool) / temporal / else categorical
 F2 plot_roles     F1 minus identifier columns; bool is categorical
-F3 table_columns  column list
 F4 feature_columns all but target and identifiers
 F5 find_target    first known label name, else the last column
 F6 risk_features  drop id-like and customer-like names
-F7 as_chart_type  axis columns a chart type reads
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Fixed values that must equal the reference's behaviour.
-IDENTIFIER_NAMES = ("id", "index", "uuid", "unnamed: 0")
-IDENTIFIER_SUFFIX = "_id"
+# Fixed values that must equal the reference's behaviour: what names a column
+# of keys, and what names one that says nothing about risk.
+IDENTIFIER = re.compile(r"\s*(?:id|index|uuid|unnamed: 0|.*_id)\s*", re.IGNORECASE | re.DOTALL)
+NO_RISK_FEATURE = re.compile(r"id|customer", re.IGNORECASE)
 TARGET_NAMES = ("churn", "churned", "exited", "target")
 
 
@@ -39,10 +39,7 @@ def is_temporal_type(dt: T.DataType) -> bool:
 
 
 def is_identifier(name: str) -> bool:
-    if not name:
-        return False
-    low = str(name).lower().strip()
-    return low in IDENTIFIER_NAMES or low.endswith(IDENTIFIER_SUFFIX)
+    return IDENTIFIER.fullmatch(name or "") is not None
 
 
 def column_roles(df: DataFrame) -> Roles:
@@ -84,11 +81,6 @@ def plot_roles(df: DataFrame, include: list[str] | None = None) -> Roles:
     return r
 
 
-def table_columns(df: DataFrame) -> list[str]:
-    """F3."""
-    return list(df.columns)
-
-
 def feature_columns(df: DataFrame, target: str) -> list[str]:
     """all columns but the target and identifiers."""
     return [c for c in df.columns if c != target and not is_identifier(c)]
@@ -96,29 +88,11 @@ def feature_columns(df: DataFrame, target: str) -> list[str]:
 
 def find_target(df: DataFrame) -> str:
     """the first known label name present, else the last column."""
-    for name in TARGET_NAMES:
-        if name in df.columns:
-            return name
-    return df.columns[-1]
+    known = {name: place for place, name in enumerate(TARGET_NAMES)}
+    return min(reversed(df.columns), key=lambda c: known.get(c, len(known)))
 
 
 def risk_features(df: DataFrame, target: str) -> list[str]:
-    """drop names containing ``id``, or containing ``customer`` unless it
-    is the target. (Substring ``id`` also drops names such as ``paid``; kept.)"""
-    out = []
-    for c in df.columns:
-        low = c.lower()
-        if c == target:
-            continue
-        if "id" in low or ("customer" in low and c != target):
-            continue
-        out.append(c)
-    return out
-
-
-def as_chart_type(chart_type: str, x_axis: str | None, y_axis: str | None,
-                  x: str | None = None, y: str | None = None) -> tuple[str | None, str | None]:
-    """scatter charts read x/y when given, else the axis columns."""
-    if chart_type == "scatter":
-        return (x or x_axis, y or y_axis)
-    return (x_axis, y_axis)
+    """the columns but the target whose names hold neither ``id`` (so not
+    ``paid`` either) nor ``customer``."""
+    return [c for c in df.columns if c != target and not NO_RISK_FEATURE.search(c)]

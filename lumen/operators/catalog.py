@@ -48,7 +48,7 @@ def search_titles(items: DataFrame, popularity: DataFrame, q: str | None,
     q = (q or "").strip()
     if not q:
         return items.limit(0).select("item", "title", F.lit(0.0).alias("popularity"))
-    hits = items.where(F.col("title").ilike(f"%{q}%"))
+    hits = items.where(F.col("title").ilike("%" + q.replace("\\", "\\\\") + "%"))
     pop = popularity.join(hits.select("item"), "item", "left_semi")
     exact = (F.lower(F.col("title")) == q.lower()).cast("int")
     return (hits.join(pop, "item", "left")

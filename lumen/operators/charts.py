@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.functions.exprs import as_double, col, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
+from lumen.functions.exprs import as_double, col, number_text, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
 from lumen.functions.quantiles import distinct_upto, exact_quantiles, proving_rsd
 from lumen.functions.roles import plot_roles
 from lumen.operators.profile import correlation_values, missing_profile, value_counts
@@ -48,32 +48,6 @@ def chart_missing(df: DataFrame) -> DataFrame:
             .select("column", "missing_count", F.col("missing_pct").alias("missing_percentage")))
 
 
-# --------------------------------------------------------------------- C2 / C3 shared
-
-def numeric_bounds(df: DataFrame, cols: list[str]) -> list[dict]:
-    """count/min/max and min(distinct, 12) per column (1-2 small jobs)."""
-    xs = [_x(df, c) for c in cols]
-    if not xs:
-        return []
-    aggs = []
-    rsd = proving_rsd(MAX_BINS)
-    for i, x in enumerate(xs):
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
-                 F.approx_count_distinct(x, rsd).alias(f"e{i}")]
-    row = df.agg(*aggs).collect()[0]
-    bounds = [dict(column=c, n=row[f"n{i}"], lo=row[f"a{i}"], hi=row[f"b{i}"], est=row[f"e{i}"])
-              for i, c in enumerate(cols)]
-    # A column with min == max has one distinct value; only the rest need counting.
-    varied = [i for i, b in enumerate(bounds) if b["n"] and b["lo"] < b["hi"]]
-    caps = distinct_upto(df, [xs[i] for i in varied], MAX_BINS,
-                         estimates=[bounds[i]["est"] for i in varied])
-    for b in bounds:
-        b["distinct"] = 1 if b["n"] else 0
-    for i, d in zip(varied, caps):
-        bounds[i]["distinct"] = d
-    return bounds
-
-
 def _binned(df: DataFrame, cols: list[tuple[Column, float, float, int]]) -> DataFrame:
     """(k, bin) rows: numpy.histogram's bin of each value on n equal bins over
     [lo, hi]. Edges are lo + i*step (last edge = hi); a bin holds
@@ -127,22 +101,6 @@ def numeric_bounds(df: DataFrame, cols: list[str]) -> list[dict]:
     return bounds
 
 
-def _bin_expr(x: Column, lo: float, hi: float, n: int) -> Column:
-    """numpy.histogram's bin for x on n equal bins over [lo, hi]: edges are
-    lo + i*step (last edge = hi), a bin holds [edge_i, edge_i+1) and the last
-    bin also its right edge. The float guess is corrected against the edges
-    exactly as numpy does."""
-    step = (hi - lo) / n
-    norm = n / (hi - lo)
-
-    def edge(i: Column) -> Column:
-        return F.when(i >= n, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
-
-    i0 = F.least(F.floor((x - F.lit(lo)) * F.lit(norm)).cast("int"), F.lit(n - 1))
-    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
-    return F.when((x >= edge(i1 + 1)) & (i1 != n - 1), i1 + 1).otherwise(i1)
-
-
 # --------------------------------------------------------------------- C2
 
 def chart_histogram(df: DataFrame, include: list[str] | None = None,
@@ -168,8 +126,7 @@ def chart_histogram(df: DataFrame, include: list[str] | None = None,
         for i in range(nb):
             grid_rows.append((k, b["column"], i, float(edges[i]), float(edges[i + 1])))
     grid = spark.createDataFrame(grid_rows, "k int, column string, bin int, e0 double, e1 double")
-    label = F.concat(round_dp("e0", 2).cast("string"), F.lit(" - "),
-                     round_dp("e1", 2).cast("string"))
+    label = F.concat(number_text(round_dp("e0", 2)), F.lit(" - "), number_text(round_dp("e1", 2)))
     return (F.broadcast(grid).join(counts, ["k", "bin"], "left")
             .select("column", "bin", label.alias("range"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))

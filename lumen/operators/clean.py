@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import DATETIME_FORMATS, INTEGER_PATTERN, NUMBER_PATTERN, col, finite
+from lumen.functions.exprs import (DATETIME_FORMATS, FLOAT_TYPES, INTEGER_PATTERN, NUMBER_PATTERN, col, finite, is_missing,
+                                   number_text)
 from lumen.functions.quantiles import exact_quantiles
 from lumen.functions.roles import is_numeric_type
 from lumen.operators.profile import value_counts
@@ -50,12 +51,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- D2-D7
 
 def drop_missing_rows(df: DataFrame, c: str) -> DataFrame:
-    """Rows missing in c dropped (NaN counts as missing)."""
-    dt = _check(df, c)
-    cond = col(c).isNotNull()
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        cond = cond & ~F.isnan(col(c))
-    return df.where(cond)
+    """Rows missing in c dropped (NaN and +-Inf count as missing)."""
+    return df.where(~is_missing(c, _check(df, c)))
 
 
 def drop_column(df: DataFrame, c: str) -> DataFrame:
@@ -68,10 +65,16 @@ def _fill(df: DataFrame, c: str, value: Any) -> DataFrame:
     if value is None:
         return df
     dt = _check(df, c)
-    x = col(c)
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        x = F.when(~F.isnan(x), x)
-    return _replace(df, c, F.coalesce(x, F.lit(value).cast(dt)))
+    return _replace(df, c, F.coalesce(F.when(~is_missing(c, dt), col(c)).cast(_widened(dt, value)), F.lit(value)))
+
+
+def _widened(dt: T.DataType, value: Any) -> T.DataType:
+    """The column type that holds both the column and a fill value."""
+    if isinstance(value, str) or isinstance(dt, T.StringType):
+        return T.StringType()
+    if isinstance(value, float) and isinstance(dt, T.IntegralType):
+        return dt if value.is_integer() else T.DoubleType()
+    return dt
 
 
 def fill_mean(df: DataFrame, c: str) -> DataFrame:
@@ -84,8 +87,7 @@ def fill_mean(df: DataFrame, c: str) -> DataFrame:
     mean = df.agg(F.avg(x)).collect()[0][0]
     if mean is None:
         return df
-    return _replace(df, c, F.coalesce(F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")),
-                                      F.lit(mean)))
+    return _replace(df, c, F.coalesce(x, F.lit(mean)))
 
 
 def fill_median(df: DataFrame, c: str, approx: bool = False) -> DataFrame:
@@ -93,11 +95,11 @@ def fill_median(df: DataFrame, c: str, approx: bool = False) -> DataFrame:
     dt = _check(df, c)
     if not is_numeric_type(dt):
         return df
-    x = col(c).cast("double")
-    med = exact_quantiles(df, [F.when(~F.isnan(x), x)], [0.5], approx=approx)[0][0]
+    x = finite(col(c).cast("double"))
+    med = exact_quantiles(df, [x], [0.5], approx=approx)[0][0]
     if med is None:
         return df
-    return _replace(df, c, F.coalesce(F.when(~F.isnan(x), x), F.lit(med)))
+    return _replace(df, c, F.coalesce(x, F.lit(med)))
 
 
 def fill_mode(df: DataFrame, c: str) -> DataFrame:
@@ -107,11 +109,7 @@ def fill_mode(df: DataFrame, c: str) -> DataFrame:
         vc = value_counts(df, [c])
         best = vc.agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("value").alias("v")))).collect()[0][0]
         return df if best is None else _fill(df, c, best["v"])
-    x = col(c)
-    keep = x.isNotNull()
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        keep = keep & ~F.isnan(x)
-    best = (df.where(keep).groupBy(x.alias("v")).count()
+    best = (df.where(~is_missing(c, dt)).groupBy(col(c).alias("v")).count()
             .agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("v").alias("v")))).collect()[0][0])
     return df if best is None else _fill(df, c, best["v"])
 
@@ -153,6 +151,8 @@ def _as_number(c: str, dt: T.DataType):
 def cast_int(df: DataFrame, c: str) -> DataFrame:
     """Non-numbers become null; a fractional value is an error."""
     dt = _check(df, c)
+    if isinstance(dt, T.IntegralType):
+        return _replace(df, c, col(c).cast("long"))
     if isinstance(dt, T.StringType):
         s = F.trim(col(c))
         x = F.when(s.rlike(INTEGER_PATTERN), s.try_cast("long"))
@@ -177,8 +177,8 @@ def cast_float(df: DataFrame, c: str) -> DataFrame:
 
 def cast_str(df: DataFrame, c: str) -> DataFrame:
     """To text; null stays null (rule R7)."""
-    _check(df, c)
-    return _replace(df, c, col(c).cast("string"))
+    dt = _check(df, c)
+    return _replace(df, c, number_text(col(c)) if isinstance(dt, FLOAT_TYPES) else col(c).cast("string"))
 
 
 def cast_datetime(df: DataFrame, c: str) -> DataFrame:

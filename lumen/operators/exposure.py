@@ -8,7 +8,7 @@ table is built from a corpus with Spark and the lookup is an equi-join on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # SHA-1 hex split as the range protocol splits it.
@@ -35,15 +35,21 @@ def write_hash_corpus(corpus: DataFrame, path: str) -> None:
     """Persist the range table partitioned by the first two hex digits, so a
     lookup for a few secrets reads a few directories (partition pruning)."""
     (corpus.withColumn("p2", F.substring("prefix", 1, 2))
-     .repartition("p2").write.mode("overwrite").partitionBy("p2").parquet(path))
+     .hint("rebalance", "p2").write.mode("overwrite").partitionBy("p2").parquet(path))
+
+
+def read_hash_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The range table. Its schema is given: Spark would read prefixes that
+    happen to be digits as numbers."""
+    return spark.read.schema("prefix string, suffix string, count long, p2 string").parquet(path)
 
 
 def secret_exposure(secrets: DataFrame, corpus: DataFrame, c: str = "secret") -> DataFrame:
-    """Breached flag and count per secret; an empty secret is an error."""
+    """Breached flag and count per secret; an empty or null secret is an error."""
     s = F.col(c)
     h = sha1_upper(s)
     keyed = secrets.select(
-        F.when(s == "", F.raise_error(F.lit("Password cannot be empty"))).otherwise(s).alias(c),
+        F.when(s.isNull() | (s == ""), F.raise_error(F.lit("Password cannot be empty"))).otherwise(s).alias(c),
         F.substring(h, 1, PREFIX_LEN).alias("prefix"),
         F.substring(h, PREFIX_LEN + 1, SUFFIX_LEN).alias("suffix"))
     keys = ["prefix", "suffix"]

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.exprs import NUMBER_PATTERN, col, finite
-from lumen.functions.quantiles import column_stats, exact_quantiles, order_statistics
+from lumen.functions.quantiles import exact_quantiles
 from lumen.functions.roles import feature_columns, is_numeric_type
 from lumen.operators.profile import value_counts
 
@@ -37,6 +37,7 @@ TEST_SHARE = 0.2
 SMALL_TEST_SHARE = 0.4      # library rule for tables of at most 10 rows
 SERVICE_CLASS_MAX = 10      # service rule: <= 10 distinct target values is classification
 MISSING_CATEGORY = "nan"    # R7: missing text gets its own code instead of dropping the row
+HASH_BUCKETS = 2 ** 16      # of the hash space, for the ranks of the stratified split
 HASH_SPACE = 2 ** 52        # hash values kept exactly representable as doubles
 
 
@@ -77,10 +78,11 @@ def task_for(df: DataFrame, target: str, rule: str = "service") -> str:
 
 def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """M3 as a relation: (column, value, code) with alphabetical codes from 0
-    (what ``StringIndexer(stringOrderType='alphabetAsc')`` assigns). The rank
-    runs over each column's vocabulary of distinct values, not its rows."""
+    (what ``StringIndexer(stringOrderType='alphabetAsc')`` assigns); missing
+    text is a value of its own, as in ``encode_labels``. The rank runs over each column's vocabulary of distinct values, not its rows."""
     w = Window.partitionBy("position").orderBy("value")
-    return (value_counts(df, cols).select(
+    filled = df.select(*[F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in cols])
+    return (value_counts(filled, cols).select(
         "position", "column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
         .drop("position"))
 
@@ -128,26 +130,25 @@ def stratified_split(df: DataFrame, label: str, key: str, train_share: float = 1
                      seed: int = SEED) -> DataFrame:
     """M6: adds ``is_train`` keeping each class's share exactly: a row is
     train when its hash rank in its class r satisfies r <= train_share*(n-1)
-    (percent_rank <= share). The per-class threshold is an order statistic
-    of the hash, found by histogram refinement, so no class is ever gathered
-    into one task however large it is."""
+    (percent_rank <= share). The threshold of each class comes from grouped
+    counts of hash buckets and a sort of the one bucket that holds the rank,
+    so neither the number of classes nor the size of one is bounded."""
     h = _unit_hash(col(key), seed)
-    counts = df.groupBy(col(label).alias("c")).count().collect()
-    if len(counts) > 10_000:
-        raise ValueError("too many classes to stratify on")
-    classes = [r["c"] for r in counts]
-    series = [(h, (col(label) == F.lit(c)) if c is not None else col(label).isNull()) for c in classes]
-    stats = column_stats(df, [F.when(cond, x) for x, cond in series])
-    ranks = [[int(train_share * (s[0] - 1))] if s[0] else [] for s in stats]
-    found = order_statistics(df, series, stats, ranks)
-    cond = F.lit(False)
-    for c, (n, _, _), f, rk in zip(classes, stats, found, ranks):
-        if not rk:
-            continue
-        thr = f[rk[0]]
-        same = (col(label) == F.lit(c)) if c is not None else col(label).isNull()
-        cond = cond | (same & (h <= F.lit(thr)))
-    return df.withColumn("is_train", cond)
+    hashed = df.select(col(label).alias("__c"), h.alias("__h"),
+                       F.floor(h / float(HASH_SPACE // HASH_BUCKETS)).alias("__b"))
+    counts = hashed.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("n"))
+    by_class = Window.partitionBy("__c")
+    upto = F.sum("n").over(by_class.orderBy("__b"))
+    rank = F.floor(F.lit(train_share) * (F.sum("n").over(by_class) - 1))
+    edge = (counts.select("__c", "__b", (upto - F.col("n")).alias("below"), upto.alias("upto"), rank.alias("rank"))
+            .where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+            .select(F.col("__c").alias("c"), F.col("__b").alias("b"), (F.col("rank") - F.col("below") + 1).alias("k")))
+    place = F.row_number().over(Window.partitionBy("c").orderBy("__h"))
+    limits = (hashed.join(edge, F.col("__c").eqNullSafe(F.col("c")) & (F.col("__b") == F.col("b")))
+              .withColumn("place", place).where(F.col("place") == F.col("k"))
+              .select(F.col("c").alias("__class"), F.col("__h").alias("__limit")))
+    return (df.join(limits, col(label).eqNullSafe(F.col("__class")), "left")
+            .withColumn("is_train", F.coalesce(h <= F.col("__limit"), F.lit(False))).drop("__class", "__limit"))
 
 
 def split_shares(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -221,8 +222,12 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
                                     labelCol="label", featuresCol="features")
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__code", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in text]
-    asm = VectorAssembler(inputCols=numeric + [f"{c}__code" for c in text], outputCol="features")
-    pipe = Pipeline(stages=label_stage + idx + [asm, est])
+    # Codes are plain ordered numbers: the sum drops the indexers' nominal
+    # metadata, which would bound the number of values by the forest's maxBins.
+    plain = SQLTransformer(statement="SELECT *" + "".join(
+        f", `{c}__code` + 0D AS `{c}__number`" for c in text) + " FROM __THIS__")
+    asm = VectorAssembler(inputCols=numeric + [f"{c}__number" for c in text], outputCol="features")
+    pipe = Pipeline(stages=label_stage + idx + [plain, asm, est])
     if stratify:
         if not key:
             raise ValueError("a stratified split needs a key column")
@@ -305,7 +310,9 @@ def coerced(df: DataFrame, features: list[str], text: list[str] | None = None) -
         elif c not in df.columns:
             out.append(F.lit(0.0).alias(c))
         else:
-            s = F.trim(col(c).cast("string"))
+            # A boolean counts as 0 or 1.
+            flag = isinstance(df.schema[c].dataType, T.BooleanType)
+            s = F.trim((col(c).cast("int") if flag else col(c)).cast("string"))
             out.append(F.coalesce(F.when(s.rlike(NUMBER_PATTERN), finite(s.try_cast("double"))),
                                   F.lit(0.0)).alias(c))
     return out
@@ -367,6 +374,8 @@ def churn_pipeline(df: DataFrame, key: str, tiers: bool = True) -> tuple[Trained
     data = df.withColumn(target, col(target).cast("int"))
     trained, _ = fit_model(data, target, task="classification", features=feats, key=key,
                            trees=CHURN_TREES, depth=CHURN_DEPTH, stratify=True)
-    scored = risk_scores(score_batch(trained, data, keep=[key, target])).select(key, target, "risk_score")
+    # Gaps are filled with the training medians, as they were for the fit.
+    rows = _prepare(data, target, trained.features, trained.medians, extra=[key])[0]
+    scored = risk_scores(trained.model.transform(rows)).select(key, target, "risk_score")
     # Tiers follow pandas qcut: repeated edges (many equal scores) are an error.
     return trained, (risk_tiers(scored) if tiers else scored)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import as_double, col, fmt2, safe_corr, round_dp
+from lumen.functions.exprs import as_double, col, finite, fmt2, is_missing, number_text, round_dp, safe_corr
 from lumen.functions.quantiles import exact_quantiles
 from lumen.functions.roles import column_roles, is_numeric_type, plot_roles
 
@@ -38,13 +38,6 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def _is_missing(name: str, dt: T.DataType) -> Column:
-    c = col(name)
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
-
-
 def _num(df: DataFrame, name: str) -> Column:
     return as_double(name, _types(df)[name])
 
@@ -53,7 +46,7 @@ def _text(df: DataFrame, name: str) -> Column:
     dt = _types(df)[name]
     c = col(name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        c = F.when(~F.isnan(c), c)
+        return number_text(finite(c))
     return c.cast("string")
 
 
@@ -84,7 +77,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
     types = _types(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
-        aggs.append(F.count_if(_is_missing(c, types[c])).alias(f"m{i}"))
+        aggs.append(F.count_if(is_missing(c, types[c])).alias(f"m{i}"))
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                         F.col(f"m{i}").cast("long").alias("missing_count"),
@@ -257,7 +250,7 @@ def column_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     parts = []
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
-        aggs.append(F.count_if(_is_missing(c, types[c])).alias(f"m{i}"))
+        aggs.append(F.count_if(is_missing(c, types[c])).alias(f"m{i}"))
         if c in numeric:
             aggs.append(F.avg(_num(df, c)).alias(f"avg{i}"))
     row = df.agg(*aggs)
@@ -474,7 +467,7 @@ def preview(df: DataFrame, order_by: list[str], n: int = 100) -> DataFrame:
     for c in df.columns:
         x = col(c)
         if isinstance(types[c], (T.FloatType, T.DoubleType)):
-            x = F.when(~F.isnan(x), x)
+            x = number_text(finite(x))
         out.append(F.coalesce(x.cast("string"), F.lit("")).alias(c))
     return df.orderBy(*[col(k) for k in order_by]).limit(n).select(*out)
 

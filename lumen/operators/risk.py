@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lumen.functions.exprs import col, round_dp
 from lumen.functions.quantiles import column_stats, exact_quantiles
-from lumen.functions.roles import TARGET_NAMES
 
 # Tier labels, revenue per account, prompt routing words and
 # answer texts, as the reference states them (its brand prefix left out).
@@ -121,10 +120,3 @@ def retention_cohort(df: DataFrame, save_as: str | None = None) -> tuple[DataFra
         F.concat(F.lit(CAMPAIGN_TEXT.split("{n}")[0]), F.format_number(F.col("accounts"), 0),
                  F.lit(CAMPAIGN_TEXT.split("{n}")[1])).alias("message"))
     return cohort, status
-
-
-def find_label(df: DataFrame) -> str | None:
-    for name in TARGET_NAMES:
-        if name in df.columns:
-            return name
-    return None

@@ -10,8 +10,8 @@ def search_snippets(snippets: DataFrame, q: str) -> DataFrame:
     """Snippets whose title or tags contain q, ignoring ASCII case.
 
     As in a SQL LIKE built from the raw text, ``%`` and ``_`` inside q act as
-    wildcards; null tags simply do not match."""
-    pat = f"%{q}%"
+    wildcards (a backslash is just a backslash); null tags do not match."""
+    pat = "%" + q.replace("\\", "\\\\") + "%"
     return (snippets.where(F.col("title").ilike(pat) | F.coalesce(F.col("tags").ilike(pat), F.lit(False)))
             .select("id", "title", "code", "tags"))
 

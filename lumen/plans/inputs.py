@@ -7,7 +7,7 @@ and profiling queries add their own by fixed rules over the whole table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -111,13 +111,16 @@ def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company profiles: the English document whose id is the code point of
-    the symbol's first letter (symbols without one get the defaults)."""
+    """Company profiles: documents are dealt to the symbols by their id, and
+    each symbol is described by the longest of its own (of several the one
+    with the smallest id). The sixth symbol and each sixth after it has none."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
-    return (e.join(d, F.ascii("symbol") == F.col("doc_id"))
-            .select("symbol", F.concat(F.upper("symbol"), F.lit(" Holdings")).alias("long_name"),
-                    F.col("text").alias("summary")))
+    place = F.row_number().over(Window.orderBy("symbol")) - 1  # one row for each event type
+    d = table(spark, sf_dir, "documents")
+    longest = d.groupBy((F.col("doc_id") % e.count()).alias("place")).agg(
+        F.max_by("text", F.struct("n_chars", -F.col("doc_id"))).alias("summary"))
+    return (e.withColumn("place", place).where("place % 6 <> 5").join(longest, "place")
+            .select("symbol", F.concat(F.upper("symbol"), F.lit(" Holdings")).alias("long_name"), "summary"))
 
 
 # ----------------------------------------------------------------- catalog
@@ -139,10 +142,12 @@ def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_lines(spark, sf_dir).groupBy("item").agg(F.sum("qty").alias("popularity"))
 
 
-def best_sellers(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """The n items on most order lines (ties by key): recommendation targets."""
-    return (sales_lines(spark, sf_dir).groupBy("item").count()
-            .orderBy(F.desc("count"), F.asc("item")).limit(n).select("item"))
+def best_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's item on most order lines (ties by key): recommendation targets."""
+    sold = sales_lines(spark, sf_dir).groupBy("item").count()
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
+    first = F.min(F.struct((-F.col("count")).alias("n"), "item"))
+    return sold.join(items, "item").groupBy("p_brand").agg(first.alias("first")).select("first.item")
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:

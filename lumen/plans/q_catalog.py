@@ -43,7 +43,9 @@ ORDER BY (lower(p_name) = lower('{SEARCH_Q.strip()}')) DESC, popularity DESC, p_
     lambda spark, d: G.search_titles(I.catalog_items(spark, d), I.popularity(spark, d), SEARCH_Q))
 
 register("recommendations", SALES + """,
-targets AS (SELECT item FROM sl GROUP BY item ORDER BY count(*) DESC, item LIMIT 5),
+targets AS (SELECT item FROM (
+    SELECT item, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, item) AS rn
+    FROM (SELECT item, count(*) AS n FROM sl GROUP BY item) JOIN part ON p_partkey = item) WHERE rn = 1),
 t_orders AS (SELECT DISTINCT sl.ord, sl.item AS target FROM sl JOIN targets USING (item)),
 co AS (SELECT target, sl.item, count(DISTINCT sl.ord) AS orders
        FROM sl JOIN t_orders USING (ord) WHERE sl.item <> target GROUP BY target, sl.item)

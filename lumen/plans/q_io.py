@@ -57,10 +57,10 @@ FROM conversations""")(_stream)
 def _saved_predictions(spark, d):
     path = _scratch(spark, "customer_predictions")
     K.save_table(predictions(spark, d), "customer_predictions", path=path)
-    return spark.read.parquet(path).select("c_custkey", "risk_tier")
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_mktsegment", "churn", "risk_tier")
 
 
-register("save_table", RISK + "SELECT c_custkey, risk_tier FROM pred")(_saved_predictions)
+register("save_table", RISK + "SELECT c_custkey, c_name, c_mktsegment, churn, risk_tier FROM pred")(_saved_predictions)
 
 
 def _view(spark, d):
@@ -90,7 +90,7 @@ def _partitioned_exposure(spark, d):
     from lumen.operators import exposure as X
     path = _scratch(spark, "hash-ranges")
     X.write_hash_corpus(X.hash_corpus(I.table(spark, d, "events"), "props"), path)
-    corpus = spark.read.parquet(path)
+    corpus = X.read_hash_corpus(spark, path)
     return X.secret_exposure(I.secrets(spark, d), corpus)
 
 

@@ -119,9 +119,11 @@ SELECT symbol, strftime(day, '%Y-%m-%d') AS day, strftime(day, '%b %d') AS label
     lambda spark, d: T.price_series(I.event_prices(spark, d)))
 
 register("symbol_summary", EVENT_PRICES + """,
-prof AS (SELECT s.symbol, upper(s.symbol) || ' Holdings' AS long_name, d.text AS summary
-         FROM (SELECT DISTINCT event_type AS symbol FROM events) s
-         JOIN documents d ON d.lang = 'en' AND d.doc_id = ascii(s.symbol))
+sym AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS place FROM (SELECT DISTINCT event_type AS symbol FROM events)),
+prof AS (SELECT symbol, upper(symbol) || ' Holdings' AS long_name, d.text AS summary
+         FROM sym JOIN (SELECT text, doc_id % (SELECT count(*) FROM sym) AS place, row_number() OVER (
+             PARTITION BY doc_id % (SELECT count(*) FROM sym) ORDER BY n_chars DESC, doc_id) AS rn FROM documents) d
+           ON d.place = sym.place AND rn = 1 AND sym.place % 6 <> 5)
 SELECT chg.symbol, coalesce(prof.long_name, chg.symbol) AS name, round(close, 2) AS price,
        round(pct, 2) AS change, volatility,
        substring(coalesce(prof.summary, 'No description available.'), 1, 200) || '...' AS description

@@ -8,6 +8,7 @@ shared checkpoint folder that long lineages are cut into.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,13 +47,14 @@ def build_session(master: str | None = None, app: str = "lumen",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set (a shared file system path); we only
-    invent one when it is unset, which happens in local tests.
+    On a cluster it must be set (a shared file system path). Only where driver
+    and executors are one process is a temporary folder used instead.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        # Only reached when nothing names a shared folder (local tests).
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir: executors cannot read the driver's disk")
         path = tempfile.mkdtemp(prefix="lumen-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

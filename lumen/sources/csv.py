@@ -22,12 +22,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumen.functions.exprs import (BOOLEAN_PATTERN, INTEGER_PATTERN, MISSING_TOKENS, NUMBER_PATTERN,
                                    SPECIAL_FLOAT_PATTERN, col)
 
 SUPPORTED = (".csv",)
-LONG_TEXT_MAX = 18  # digits that always fit a long
 
 
 def pandas_header(raw: list[str]) -> list[str]:
@@ -64,8 +64,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         t = F.trim(x)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(BOOLEAN_PATTERN)).alias(f"b{i}"),
-                 F.count_if(t.rlike(INTEGER_PATTERN) &
-                            (F.length(F.regexp_replace(t, r"^[+-]", "")) <= LONG_TEXT_MAX)).alias(f"i{i}"),
+                 F.count_if(t.rlike(INTEGER_PATTERN) & t.try_cast("long").isNotNull()).alias(f"i{i}"),
                  F.count_if(t.rlike(NUMBER_PATTERN) | t.rlike(SPECIAL_FLOAT_PATTERN)).alias(f"d{i}"),
                  F.count_if(x.isNull()).alias(f"z{i}")]
     row = df.agg(*aggs).collect()[0]
@@ -88,22 +87,37 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv_table(spark: SparkSession, path: str, infer: bool = True, **options) -> DataFrame:
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def read_csv_table(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = False,
+                   **options) -> DataFrame:
     """Header row, pandas missing tokens, inferred types. Unsupported
-    extensions are an error, as in the reference."""
+    extensions are an error, as in the reference.
+
+    Files are split among tasks; with ``multi_line``, for quoted values that
+    hold line breaks, each file is one task's. A row with more values than the
+    header is an error, one with fewer ends in missing values."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ext and ext not in SUPPORTED and not os.path.isdir(path):
+    if ext and ext not in SUPPORTED and not _is_folder(spark, path):
         raise ValueError("Unsupported file format. Please upload a CSV or Excel file.")
     line = _first_line(spark, path)
     if line is None:
         return spark.createDataFrame([], "_empty string").limit(0)
     names = pandas_header(next(csv.reader(io.StringIO(line))))
-    reader = (spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", True).option("escape", '"'))
+    surplus = "surplus"
+    while surplus in names:
+        surplus += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    reader = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+              .option("multiLine", multi_line).option("escape", '"'))
     for k, v in options.items():
         reader = reader.option(k, v)
-    raw = reader.csv(path)
-    raw = raw.toDF(*names) if len(raw.columns) == len(names) else raw
+    too_long = F.raise_error(F.lit(f"a row has more than {len(names)} values"))
+    raw = reader.csv(path).where(F.when(col(surplus).isNull(), True).otherwise(too_long)).drop(surplus)
     text = raw.select(*[F.when(col(c).isin(*MISSING_TOKENS), F.lit(None)).otherwise(col(c)).alias(c)
                         for c in raw.columns])
     return infer_types(text) if infer else text
