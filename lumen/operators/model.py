@@ -347,8 +347,10 @@ def risk_drivers(trained: Trained, data: DataFrame, buckets_of: int = 1000) -> D
     base_auc = ev.evaluate(trained.model.transform(data))
     n = data.count()
     nb = max(1, n // buckets_of)
-    keyed = data.withColumn("__b", F.pmod(F.xxhash64(*[col(c) for c in data.columns], F.lit(SEED)), F.lit(nb))) \
-                .withColumn("__o", F.xxhash64(*[col(c) for c in data.columns], F.lit(SEED + 1)))
+    # Places come from row numbers, not from the rows: equal rows are spread too.
+    keyed = (data.withColumn("__n", F.monotonically_increasing_id())
+             .withColumn("__b", F.pmod(F.xxhash64("__n", F.lit(SEED)), F.lit(nb)))
+             .withColumn("__o", F.xxhash64("__n", F.lit(SEED + 1))).drop("__n"))
     w = Window.partitionBy("__b").orderBy("__o")
     rows = []
     for f in trained.features:

@@ -1,10 +1,11 @@
-"""Model queries (M1-M11, H3, H11). Forest outputs are rows-only checks."""
+"""Model queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lumen.operators import model as M
+from lumen.operators.risk import TIERS
 from lumen.plans import inputs as I
 from lumen.plans import sqlparts as S
 from lumen.plans.q_profile import rounded
@@ -79,26 +80,96 @@ FROM dirty""")(lambda spark, d: M.coerce_features(
     I.dirty_orders(spark, d), ["custkey_text", "price_text", "no_such_feature"], keep=["o_orderkey"]))
 
 
-# ------------------------------------------------------------------ forests (rows-only)
+# ------------------------------------------------------------------ forests
+# A forest's numbers depend on the library, so these queries return what must
+# hold for any sound one, computed from the fitted model and its scores.
+
+DOC_FEATURES = ["lang", "source", "n_chars", "toxic"]
+
 
 def _classifier(spark, d):
     docs = I.labeled_docs(spark, d).where("quality IS NOT NULL")
-    return M.fit_model(docs, "quality", features=["lang", "source", "n_chars", "toxic"], key="doc_id")[0]
+    return M.fit_model(docs, "quality", features=DOC_FEATURES, key="doc_id")
+
+
+def _fitted(spark, d):
+    trained, test = _classifier(spark, d)
+    return M.metrics_frame(spark, trained).select(
+        "task", "target", "metric_name", (F.col("metric_value") > 0.5).alias("better_than_half"),
+        F.col("auc").between(0.0, 1.0).alias("auc_in_range"),
+        F.lit(test.where("prediction NOT IN (0, 1)").isEmpty()).alias("predicts_labels"))
+
+
+register("fit_classifier", """
+SELECT 'classification' AS task, 'quality' AS target, 'Accuracy Score' AS metric_name,
+       true AS better_than_half, true AS auc_in_range, true AS predicts_labels""")(_fitted)
+
+
+def _importances(spark, d):
+    found = M.feature_importances(spark, _classifier(spark, d)[0])
+    total = found.agg(F.sum("importance").alias("total"))
+    return found.crossJoin(F.broadcast(total)).select(  # one row for each feature
+        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"),
+        (F.abs(F.col("total") - 1) < 1e-9).alias("sum_to_one"))
+
+
+register("feature_importances", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, true AS in_range, true AS sum_to_one" for c in DOC_FEATURES))(_importances)
+
+
+def _regressor(spark, d):
+    trained, test = M.fit_model(I.table(spark, d, "part"), "p_retailprice", features=["p_size", "p_type", "p_brand"],
+                                key="p_partkey")
+    seen = I.table(spark, d, "part").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).first()
+    within = test.where(~F.col("prediction").between(seen["lo"], seen["hi"])).isEmpty()
+    return M.metrics_frame(spark, trained).select(
+        "task", "target", "metric_name", (F.col("metric_value") <= 1).alias("at_most_one"),
+        F.lit(within).alias("within_seen_values"))
+
+
+register("fit_regressor", """
+SELECT 'regression' AS task, 'p_retailprice' AS target, 'R² Score' AS metric_name,
+       true AS at_most_one, true AS within_seen_values""")(_regressor)
+
+
+def _split(spark, d):
+    orders = I.table(spark, d, "orders")
+    train, test = M.split(orders, "o_orderkey", test_share=M.TEST_SHARE)
+    parts = train.select("o_orderkey", F.lit(1).alias("train")).unionAll(test.select("o_orderkey", F.lit(0).alias("train")))
+    return parts.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("keys"),
+                     F.avg("train").alias("share")).select(
+        "rows", "keys", (F.abs(F.col("share") - (1 - M.TEST_SHARE)) < 0.05).alias("share_as_asked"))
+
+
+register("split", """
+SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys, true AS share_as_asked
+FROM orders""")(_split)
+
+CHURN = """
+SELECT c_custkey AS customer_id, CASE WHEN last_order IS NULL OR last_order < TIMESTAMP '1999-01-01' THEN 1 ELSE 0 END AS churn
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY o_custkey)
+  ON o_custkey = c_custkey"""
+
+
+def _scores(spark, d):
+    scored = M.churn_pipeline(I.churn_customers(spark, d), "customer_id")[1]
+    ends = {r["risk_tier"]: r for r in scored.groupBy("risk_tier").agg(
+        F.min("risk_score").alias("lo"), F.max("risk_score").alias("hi")).collect()}
+    low, mid, high = (ends[t] for t in TIERS)
+    ordered = low["hi"] < mid["lo"] and mid["hi"] < high["lo"]
+    return scored.select("customer_id", F.col("churn").cast("int").alias("churn"),
+                         F.col("risk_score").between(0.0, 1.0).alias("in_range"), F.lit(ordered).alias("tiers_follow_score"))
 
 
-register("fit_classifier")(lambda spark, d: M.metrics_frame(spark, _classifier(spark, d)))
-register("feature_importances")(lambda spark, d: M.feature_importances(spark, _classifier(spark, d)))
-register("fit_regressor")(lambda spark, d: M.metrics_frame(spark, M.fit_model(
-    I.table(spark, d, "part"), "p_retailprice", features=["p_size", "p_type", "p_brand"],
-    key="p_partkey")[0]))
-register("risk_scores")(lambda spark, d: M.churn_pipeline(I.churn_customers(spark, d), "customer_id")[1])
+register("risk_scores", f"SELECT customer_id, churn, true AS in_range, true AS tiers_follow_score FROM ({CHURN})")(_scores)
 
 
 def _drivers(spark, d):
     cust = I.churn_customers(spark, d)
     trained, _ = M.churn_pipeline(cust, "customer_id", tiers=False)
     prepared = M.prepare_features(cust, trained).withColumn("label", F.col("churn").cast("double"))
-    return M.risk_drivers(trained, prepared)
+    return M.risk_drivers(trained, prepared).select("feature", F.col("auc_drop").between(-1.0, 1.0).alias("in_range"))
 
 
-register("risk_drivers")(_drivers)
+register("risk_drivers", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, true AS in_range" for c in ["nation", "balance", "segment", "n_orders", "spent"]))(_drivers)
