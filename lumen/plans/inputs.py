@@ -192,11 +192,10 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breach records for two of every three addresses (by length)."""
-    e = emails(spark, sf_dir)
+    """Breach records by the length of the address: none, Adobe, or Adobe and Canva."""
     n = F.length("email") % 3
-    return (e.where(n != 0).select("email", F.lit("Adobe").alias("breach"))
-            .unionAll(e.where(n == 1).select("email", F.lit("Canva").alias("breach"))))
+    names = F.array_compact(F.array(F.when(n != 0, "Adobe"), F.when(n == 1, "Canva")))
+    return emails(spark, sf_dir).select("email", F.explode(names).alias("breach"))
 
 
 # ----------------------------------------------------------------- models
