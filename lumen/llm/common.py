@@ -21,6 +21,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Rows handed to a Python worker at once: texts can be long.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold of long texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores where df has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.common import fresh
+from lumen.llm.common import fresh, small_batches
 
 WINDOW = 10
 # Benchmark words in one automaton (about 0.5 KB each in a worker).
@@ -35,7 +35,7 @@ BLOCK_WORDS = 500_000
 MAX_COVERAGE = 0.5
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-HITS = "n_words long, longest int, spans array<int>, items array<string>"
+HITS = "n_words long, longest int, spans array<int>, items array<string>, n_hit long, left string"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -158,82 +158,68 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list]:
     yield block
 
 
-def _hits_udf(spark, items: list, window: int):
-    shared = spark.sparkContext.broadcast(build(items, window))
-
-    @F.pandas_udf(HITS)
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
-        for texts in batches:
-            rows = []
-            for text in texts:
-                words = words_of(text)
-                longest, spans, names = stream(words, automaton, window)
-                flat = [x for span in spans for x in span]
-                rows.append((len(words), longest, flat, sorted(n for n in names if n is not None)))
-            yield pd.DataFrame(rows, columns=["n_words", "longest", "spans", "items"])
+def _merged(*lists: list) -> list[list[int]]:
+    """Union of spans, by start."""
+    out: list[list[int]] = []
+    for s, e in sorted((s, e) for spans in lists for s, e in spans):
+        if out and out[-1][1] >= s:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([int(s), int(e)])
+    return out
 
-    return hits
 
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
-              item_text: str = "text", window: int = WINDOW, out: str = "hits") -> DataFrame:
-    """docs with the struct column ``out``: n_words, longest (longest run of
-    words that occurs in an item), spans (start and end of the hit spans, in
-    words, by start), items (ids as strings, sorted) and n_hit."""
-    spark = docs.sparkSession
-    parts = []
-    for block in _blocks(benchmark, item, item_text):
-        parts.append(fresh(docs, f"{out}_{len(parts)}"))
-        docs = docs.withColumn(parts[-1], _hits_udf(spark, block, window)(F.col(text)))
-    one = F.col(parts[0])
-    if len(parts) == 1:
-        spans, longest, items = one["spans"], one["longest"], one["items"]
-    else:
-        spans = _merged(parts)
-        longest = F.greatest(*(F.col(p)["longest"] for p in parts))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
-    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: x - a)  # start, end - start, ...: ends less starts
-    return docs.withColumn(out, F.struct(
-        one["n_words"].alias("n_words"), longest.alias("longest"), spans.alias("spans"), items.alias("items"),
-        n_hit.alias("n_hit"))).drop(*parts)
-
-
-def _merged(parts: list[str]):
-    """Union of the blocks' spans."""
-    @F.pandas_udf("array<int>")
-    def merge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            rows = []
-            for flat in lists:
-                spans: list[list[int]] = []
-                for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                    if spans and spans[-1][1] >= s:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
-                rows.append([int(x) for span in spans for x in span])
-            yield pd.Series(rows, dtype=object)
-    return merge(F.flatten(F.array(*(F.col(p)["spans"] for p in parts))))
-
-
-def _cut(text: str, flat: list[int]) -> str:
+def without(text: str, spans: list) -> str:
     """text without the given spans of words (and what stands between the
     words of a span)."""
     data = text.encode()
     places = [m.span() for m in _WORD.finditer(data.lower())]
     out, at = [], 0
-    for s, e in zip(flat[::2], flat[1::2], strict=True):
+    for s, e in spans:
         out.append(data[at:places[s][0]])
         at = places[e - 1][1]
     return b"".join([*out, data[at:]]).decode()
 
 
-def _without():
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, c) if len(c) else t for t, c in zip(texts, cuts, strict=True)], dtype=object)
-    return cut
+def _hits_udf(spark, items: list, window: int, cut: bool):
+    """Column function of a text and what other blocks of items have hit."""
+    shared = spark.sparkContext.broadcast(build(items, window))
+
+    def hits(text, longest, flat, names):
+        words = words_of(text)
+        run, spans, found = stream(words, shared.value, window)
+        if len(flat):
+            spans = _merged(spans, list(zip(flat[::2], flat[1::2], strict=True)))
+        found = sorted(found.difference([None]).union(names))
+        n_hit = sum(e - s for s, e in spans)
+        left = (without(text, spans) if spans else text) if cut else None
+        return len(words), max(run, longest), [x for span in spans for x in span], found, n_hit, left
+
+    @F.pandas_udf(HITS)
+    def udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [hits(*row) for row in zip(*b, strict=True)]
+            yield pd.DataFrame(rows, columns=["n_words", "longest", "spans", "items", "n_hit", "left"])
+
+    return udf
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+              item_text: str = "text", window: int = WINDOW, out: str = "hits", cut: bool = False) -> DataFrame:
+    """docs with the struct column ``out``: n_words, longest (longest run of
+    words that occurs in an item), spans (start and end of the hit spans, in
+    words, by start), items (ids as strings, sorted), n_hit (words) and, if
+    cut, left (the text without the spans)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    longest, spans, items = F.lit(0), F.array().cast("array<int>"), F.array().cast("array<string>")
+    part = None
+    for block in _blocks(benchmark, item, item_text):
+        before, part = part, fresh(docs, out if part is None else f"{out}_")
+        docs = docs.withColumn(part, _hits_udf(spark, block, window, cut)(F.col(text), longest, spans, items))
+        docs = docs if before is None else docs.drop(before)
+        longest, spans, items = F.col(part)["longest"], F.col(part)["spans"], F.col(part)["items"]
+    return docs.withColumnRenamed(part, out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
@@ -241,8 +227,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs without hit spans; a document goes if more than max_coverage of
     its words are hit. Texts without hits stay as they are."""
     name = fresh(docs, "hits")
-    hit = find_hits(docs, benchmark, text, item, item_text, window, out=name)
-    hits = F.col(name)
-    kept = hit.where(hits["n_hit"] <= F.lit(max_coverage) * hits["n_words"])
-    return kept.withColumn(text, F.when(hits["n_hit"] > 0, _without()(F.col(text), hits["spans"]))
-                           .otherwise(F.col(text))).drop(name)
+    hit = find_hits(docs, benchmark, text, item, item_text, window, out=name, cut=True)
+    kept = hit.where(F.col(name)["n_hit"] <= F.lit(max_coverage) * F.col(name)["n_words"])
+    return kept.withColumn(text, F.col(name)["left"]).drop(name)

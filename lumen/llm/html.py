@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.common import small_batches
+
 WINDOW = 3
 # Outside of a marked article, a line with a larger share of link text is none.
 LINK_SHARE = 0.8
@@ -183,6 +185,8 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """pages with the column ``out``: the main text of each page."""
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

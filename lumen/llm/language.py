@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.common import small_batches
+
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20_111
@@ -89,6 +91,7 @@ class Profiles:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None) -> dict[str, list[int]]:
     """Prototype of each language: sums of its texts' vectors. allowed: which
     rows may be learned from."""
+    small_batches(docs.sparkSession)
     if allowed is not None:
         docs = docs.where(allowed)
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,6 +114,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Colu
 
 def identify(docs: DataFrame, prototypes: dict[str, list[int]], text: str = "text", out: str = "language") -> DataFrame:
     """docs with the struct column ``out``: lang and score (cosine, 0 to 1)."""
+    small_batches(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
     matrix /= np.maximum(np.sqrt((matrix ** 2).sum(axis=1, keepdims=True)), 1e-300)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.common import fresh, written
+from lumen.llm.common import fresh, small_batches, written
 
 TOPICS = 8
 # A word of at least so many letters can name a text's topic.
@@ -51,6 +51,8 @@ def topic_of(text: str | None, topics: int = TOPICS) -> tuple[int, int]:
 def with_topics(docs: DataFrame, text: str = "text", tokens: str = "tokens", topic: str = "topic",
                 topics: int = TOPICS) -> DataFrame:
     """docs with the columns tokens and topic of topic_of."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("tokens long, topic int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumen.llm.automaton import Dfa, alt, backward, compile_dfa, many, maybe, one_of, seq, word
+from lumen.llm.common import small_batches
 
 
 @dataclass(frozen=True)
@@ -157,6 +158,7 @@ def _points(data: bytes, spans: list[tuple[int, int, int]]) -> list[int]:
 
 def _scan_udf(spark, rules: tuple[Rule, ...], work: Callable, kind: str):
     """A column function that applies work(scan, text) to each text."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(compiled(rules))
 
     @F.pandas_udf(kind)

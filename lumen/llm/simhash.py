@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.common import fresh, written
+from lumen.llm.common import fresh, small_batches, written
 from lumen.llm.graph import components
 
 SHINGLE = 4
@@ -64,6 +64,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp): fingerprints as signed longs."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

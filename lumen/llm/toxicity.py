@@ -22,16 +22,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.common import small_batches
+
 # Bound of the labelled documents learned from.
 SAMPLE = 32_768
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.0, 3
+# Words whose hashes a worker remembers.
+REMEMBERED = 100_000
 # Coordinate of the bias: the one above all hashes.
 BIAS = 1 << BITS
 
@@ -52,14 +57,11 @@ class Features:
         if not words:
             return np.zeros(0, np.int64)
         known = self.hashes
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            # FNV-1a: the same in every process, unlike hash().
-            h = 0xCBF29CE484222325
-            for b in w.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            known[w] = h
+            b = w.encode()
+            known[w] = crc32(b) << 32 | crc32(b, len(b))  # unlike hash(), the same in every process
         h = np.array([known[w] for w in words], np.uint64)
         grams = [h, h[:-1] * _ODD + h[1:], h[:-2] * _MIX + h[2:]]
         mixed = np.concatenate(grams)
@@ -70,7 +72,17 @@ class Features:
 def train(rows: Iterator[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS) -> dict[int, float]:
     """Weights other than zero, by coordinate; the bias at 1 << bits."""
     features, bias = Features(bits), 1 << bits
-    seen = [(np.append(features(text), bias).astype(np.int32), float(y)) for text, y in rows]
+    # Coordinates of all rows in a few large arrays.
+    labels, ends, blocks, block = [], [0], [], []
+    for text, y in rows:
+        block.append(np.append(features(text), bias).astype(np.int32))
+        labels.append(float(y))
+        ends.append(ends[-1] + len(block[-1]))
+        if len(block) == 1000:
+            blocks.append(np.concatenate(block))
+            block = []
+    flat = np.concatenate([*blocks, *block, np.zeros(0, np.int32)])
+    blocks = block = None
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(i):
@@ -80,7 +92,8 @@ def train(rows: Iterator[tuple[str | None, int]], bits: int = BITS, epochs: int
         return np.where(np.abs(zi) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        for i, y in seen:
+        for k, y in enumerate(labels):
+            i = flat[ends[k]:ends[k + 1]]
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             grown = n[i] + g * g
@@ -95,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         learn: Column | None = None, sample: int = SAMPLE) -> dict[int, float]:
     """Weights learned from the labelled documents; learn: which keys may be
     learned from (over a column named as key)."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(key), F.col(label).cast("int").alias("_y")).dropna()
     if learn is not None:
         known = known.where(learn)
@@ -120,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column ``out``: probability (0 to 1) that a text is toxic."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((np.array(list(weights.keys()), np.int64), np.array(list(weights.values()))))
 
     @F.pandas_udf("double")
