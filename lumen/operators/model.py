@@ -9,7 +9,8 @@ R2 and feature coercion.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -18,7 +19,7 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClas
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,13 +197,16 @@ def prepare_features(df: DataFrame, trained: Trained) -> DataFrame:
 
 def fit_model(df: DataFrame, target: str, task: str | None = None, features: list[str] | None = None,
               key: str | None = None, trees: int = SERVICE_TREES, depth: int = SERVICE_DEPTH,
-              stratify: bool = False, seed: int = SEED) -> tuple[Trained, DataFrame]:
+              stratify: bool = False, seed: int = SEED, rule: str = "service") -> tuple[Trained, DataFrame]:
     """M7/M8/M9: pipeline (codes for text, assembler, forest), fitted on the
-    train part; returns the model and the scored test part."""
+    train part; returns the model and the scored test part.
+
+    rule "service": the service's task rule and 20 % to test; rule "library":
+    the library's task rule, and 40 % to test for tables of at most 10 rows."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found.")
     df = df.where(col(target).isNotNull())
-    task = task or task_for(df, target)
+    task = task or task_for(df, target, rule)
     features = features or feature_columns(df, target)
     extra = [key] if key and key != target else []
     data, numeric, text, medians = _prepare(df, target, features, extra=extra)
@@ -237,7 +241,7 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
         # Stable across partitioning: the hash of the key (or of the whole row).
         hkey = col(key) if key else F.xxhash64(*[col(c) for c in numeric + text + [target]])
         h = F.pmod(F.xxhash64(hkey, F.lit(seed)), F.lit(HASH_SPACE)).cast("double") / float(HASH_SPACE)
-        share = SMALL_TEST_SHARE if data.limit(11).count() <= 10 else TEST_SHARE
+        share = SMALL_TEST_SHARE if rule == "library" and data.limit(11).count() <= 10 else TEST_SHARE
         train, test = data.where(h >= share), data.where(h < share)
     model = pipe.fit(train)
     scored = model.transform(test)
@@ -289,12 +293,17 @@ def r2(pred: DataFrame, label: str, prediction: str) -> DataFrame:
 # --------------------------------------------------------------------- K4 / M11
 
 def save_model(trained: Trained, path: str) -> None:
-    """K4: the pipeline (encoders included) plus its feature list."""
-    trained.model.write().overwrite().save(path)
+    """K4: the pipeline (encoders included), and beside it what scoring needs:
+    features, task, target, medians and metrics."""
+    trained.model.write().overwrite().save(f"{path}/pipeline")
+    rest = {f.name: getattr(trained, f.name) for f in fields(Trained) if f.name != "model"}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(rest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Trained:
+    rest = json.loads(SparkSession.active().read.text(f"{path}/bundle").first()[0])
+    return Trained(model=PipelineModel.load(f"{path}/pipeline"), **rest)
 
 
 def coerced(df: DataFrame, features: list[str], text: list[str] | None = None) -> list[Column]:

@@ -4,6 +4,7 @@ streaming and model operators on small fixtures, plus the driver contract."""
 import datetime as dt
 import hashlib
 import os
+from datetime import date
 import zipfile
 
 import pytest
@@ -193,6 +194,8 @@ def test_csv_reader(spark, tmpdir_path):
 def _write_xlsx(path, rows):
     def cell(r, c, v):
         ref = chr(65 + c) + str(r + 1)
+        if isinstance(v, date):
+            return f'<c r="{ref}" s="1"><v>{(v - date(1899, 12, 30)).days}</v></c>'
         if isinstance(v, (int, float)):
             return f'<c r="{ref}"><v>{v}</v></c>'
         return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
@@ -206,6 +209,7 @@ def _write_xlsx(path, rows):
         z.writestr("xl/_rels/workbook.xml.rels",
                    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                    '<Relationship Id="rId1" Target="worksheets/sheet1.xml" Type="ws"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
 
 
@@ -216,6 +220,14 @@ def test_workbooks(spark, tmpdir_path):
     assert sorted((r.name, r.age) for r in df.collect()) == [("Ann", 22), ("Bob", 24), ("Cid", 45)]
 
 
+def test_workbooks_are_stacked_by_name(spark, tmpdir_path):
+    _write_xlsx(os.path.join(tmpdir_path, "a.xlsx"), [["name", "age", "since"], ["Ann", 22, date(2024, 1, 2)]])
+    _write_xlsx(os.path.join(tmpdir_path, "b.xlsx"), [["age", "city", "name"], [45, "Rome", "Cid"]])
+    df = read_workbooks(spark, tmpdir_path)
+    assert df.columns == ["name", "age", "since", "city"]
+    assert sorted(tuple(r) for r in df.collect()) == [("Ann", 22, "2024-01-02 00:00:00", None), ("Cid", 45, None, "Rome")]
+
+
 def test_snippet_defaults(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "t", "c")], "id int, title string, code string")
     path = os.path.join(tmpdir_path, "snip")
@@ -253,8 +265,11 @@ def test_models_properties(spark, tmpdir_path):
     M.save_model(trained, path)
     again = M.load_model(path)
     a = trained.model.transform(M.prepare_features(docs, trained)).select("prediction").collect()
-    b = again.transform(M.prepare_features(docs, trained)).select("prediction").collect()
+    b = again.model.transform(M.prepare_features(docs, again)).select("prediction").collect()
     assert a == b
+    assert (again.features, again.task, again.target, again.medians) == (
+        trained.features, trained.task, trained.target, trained.medians)
+    assert M.score_batch(again, docs, keep=["doc_id"]).count() == docs.count()
     shares = {(r.label, r.part): r.rows for r in M.split_shares(spark.read.parquet(f"{SF_CHECK}/labels.parquet"),
                                                                 "quality", "doc_id").collect()}
     for lab in {k[0] for k in shares}:
