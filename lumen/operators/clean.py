@@ -187,8 +187,16 @@ def cast_datetime(df: DataFrame, c: str) -> DataFrame:
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return _replace(df, c, col(c).cast("timestamp_ntz"))
     s = F.trim(col(c).cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATETIME_FORMATS]
-    return _replace(df, c, F.coalesce(*tries))
+    # A format's shape (length and the places of its signs) picks it; one parse a row.
+    parsed = F.lit(None).cast("timestamp_ntz")
+    for fmt in reversed(DATETIME_FORMATS):
+        shape = fmt.replace("'", "")
+        fits = F.length(s) == len(shape)
+        for at, sign in enumerate(shape):
+            if sign in "-/T ":
+                fits &= F.substring(s, at + 1, 1) == sign
+        parsed = F.when(fits, F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")).otherwise(parsed)
+    return _replace(df, c, parsed)
 
 
 def cast_column(df: DataFrame, c: str, target: str) -> DataFrame:
