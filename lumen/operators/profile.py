@@ -343,10 +343,10 @@ def correlation_matrix(df: DataFrame, include: list[str] | None = None) -> DataF
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     cf = correlation_frame(df, cols)
-    upper = cf.select("col_a", "col_b", round_dp("r", 2).alias("r"))
-    lower = cf.where("i < j").select(F.col("col_b").alias("col_a"),
-                                     F.col("col_a").alias("col_b"), round_dp("r", 2).alias("r"))
-    return upper.unionByName(lower)
+    r = round_dp("r", 2).alias("r")
+    one = F.struct("col_a", "col_b", r)
+    other = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), r)
+    return cf.select(F.inline(F.when(F.col("i") < F.col("j"), F.array(one, other)).otherwise(F.array(one))))
 
 
 def correlation_insights(df: DataFrame) -> DataFrame:
