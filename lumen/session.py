@@ -61,6 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    path = os.path.join(checkpoint_dir(spark), name)
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables that this process has named; results
+    that still read them must be written before."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
