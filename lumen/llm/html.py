@@ -50,6 +50,8 @@ NAMES = frozenset(
     "navigation menu breadcrumb breadcrumbs sidebar sidebars side rail footer header masthead topbar comment comments "
     "commentlist respond reply replies disqus related recommended recommendations share sharing social widget widgets toolbar "
     "pagination pager skip".split())
+# Names that begin so count as well.
+STEMS = ("cookie", "advert", "sidebar", "newsletter", "breadcrumb", "sponsor")
 ARTICLE = frozenset("article story post entry content main".split())
 # Elements that end an open one of the same kind without an end tag.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "option": ("select",)}
@@ -72,7 +74,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     marks = name in ("article", "main") or role in ("main", "article") or (name in ("div", "section") and bool(pieces & ARTICLE))
     none = (name in NO_TEXT and not (name == "header" and in_article) or role in ROLES or "hidden" in found
             or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            or name not in ("html", "body", "main") and bool(pieces & NAMES))
+            or name not in ("html", "body", "main") and any(p in NAMES or p.startswith(STEMS) for p in pieces))
     return none, marks and not none
 
 

@@ -120,6 +120,7 @@ PAGES = [
     ("<article><p>one</p><div class='ad'><div>buy</div>now</div><p>two</p></article><p>other</p>", "one\n\ntwo"),
     ("<nav>m<p>in</nav><main><p>t</p><form>f</form><p hidden>h</p><p style='display: none'>n</p><p>u</p></main>", "t\n\nu"),
     ("<P>é\n\t x&#233;&eacute;&#x41;</P>", "é xééA"), ("<nav>never closed <p>text", ""),
+    ("<div id=cookiebar>x</div><div class='user-comments'>c</div><p>t</p><div class='newsletterbox'>n</div>", "t"),
 ]
 
 
