@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -150,14 +152,20 @@ def test_planted_passages(spark, monkeypatch):
     assert {(102, 0, n, 1), (103, 0, n, 1)} <= whole
 
 
-def test_heads_across_batches():
-    import pandas as pd
+def test_heads_across_batches(monkeypatch):
     rng = np.random.default_rng(3)
     rows = sorted({(int(h), int(i), int(p)) for h, i, p in zip(rng.integers(0, 5, 200), rng.integers(0, 9, 200), rng.integers(0, 90, 200))})
-    whole = pd.DataFrame(rows, columns=["hash", "id", "place"])
-    expected = pd.concat(S._heads(iter([whole])))
+    whole = pd.DataFrame(rows, columns=["hash", "id", "place"]).astype({"place": "int32"})
+
+    def run(size):
+        monkeypatch.setattr(S._larger, "__defaults__", (size,))
+        batches = (pa.RecordBatch.from_pandas(whole.iloc[a:a + size], preserve_index=False) for a in range(0, len(whole), size))
+        out = pa.Table.from_batches(S._heads(batches)).to_pandas()
+        return out[~out.border].reset_index(drop=True), set(map(tuple, out[out.border].values))
+
+    expected, borders = run(1000)
+    assert len(expected) == sum(1 for h, i, _ in rows if i != min(x[1] for x in rows if x[0] == h))
     for size in (1, 3, 50):
-        parts = pd.concat(S._heads(whole.iloc[a:a + size] for a in range(0, len(whole), size)))
-        a, b = (x[~x.border.astype(bool)].reset_index(drop=True) for x in (expected, parts))
-        assert a.equals(b)
-        assert set(map(tuple, parts[parts.border.astype(bool)].values)) == set(map(tuple, expected[expected.border.astype(bool)].values))
+        found, ends = run(size)
+        assert found.equals(expected) and ends == borders
+    assert list(S._heads(iter([]))) == []
