@@ -169,3 +169,24 @@ def test_heads_across_batches(monkeypatch):
         found, ends = run(size)
         assert found.equals(expected) and ends == borders
     assert list(S._heads(iter([]))) == []
+
+
+def test_one_head_for_a_run_in_many_partitions(spark):
+    """Borders fall at another document for every seed of a shared passage."""
+    rng = random.Random(4)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(90):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((i, " ".join(words + (passage if i % 3 == 0 else []))))
+    # One seed with many places in each of these, also over borders.
+    rows += [(i, "same " * 70) for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = S.repeated_passages(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = {(r.doc, r.partner, r.start, r.end, r.partner_start, r.partner_end) for r in found}
+    assert got == {(i, 0, 60, 120, 60, 120) for i in range(3, 90, 3)} | {(i, 100, 0, 70, 0, 70) for i in range(101, 110)}
