@@ -190,3 +190,30 @@ def test_one_head_for_a_run_in_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     got = {(r.doc, r.partner, r.start, r.end, r.partner_start, r.partner_end) for r in found}
     assert got == {(i, 0, 60, 120, 60, 120) for i in range(3, 90, 3)} | {(i, 100, 0, 70, 0, 70) for i in range(101, 110)}
+
+
+def test_parts_do_not_hide_a_whole_passage(spark):
+    """Every short seed of the later documents has a document with a part as head."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+
+    def around(part):
+        return " ".join([f"w{rng.randrange(10**6)}" for _ in range(50)] + part + [f"w{rng.randrange(10**6)}" for _ in range(50)])
+    rows = [(1, around(passage[:35])), (2, around(passage[25:])), (3, around(passage)), (4, around(passage))]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc, r.partner, r.start, r.end) for r in found} == {(4, 3, 50, 110)}
+
+
+def test_long_seeds_name_their_words():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**32, 200).astype(np.uint32)
+    at, h = S.seeds(words, S.LONG, 1)
+    assert at.tolist() == list(range(200 - S.LONG + 1)) and len(set(h.tolist())) == len(h)
+    for i in (0, 7, 155):
+        assert S.seeds(words[i:i + S.LONG], S.LONG, S.LONG_W)[1].tolist() == [h[i]]
+        for j in range(S.LONG):
+            other = words[i:i + S.LONG].copy()
+            other[j] += 1
+            assert S.seeds(other, S.LONG, 1)[1][0] != h[i]
+    some = S.seeds(words, S.LONG, S.LONG_W)[0]
+    assert max(np.diff(some)) <= S.LONG_W and len(some) < len(at)
