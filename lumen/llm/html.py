@@ -3,9 +3,11 @@
 Markup is stripped to lines, one for each block of text. A line inside what
 is no text of the article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, comments of readers) has length zero, as have lines
-outside of the article where the page marks one, and lines of links. Lengths
-are summed over windows of ``WINDOW`` lines: text begins where the sum
-surges, ends where it dives to nothing, and all lines between are kept.
+outside of the article where the page marks one, and lines of links. What an
+article element holds is kept. Elsewhere lengths are summed over windows of
+``WINDOW`` lines: text is where the sum surges, all lines between the surge and
+the dive are kept, but for short lines at either end (menu entries, copyright)
+that are no sentence, and headings stay with the text that follows them.
 
 Blocks are what block elements delimit; a line break inside one is white
 space. White space in a block becomes one space.
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from lumen.llm.common import small_batches
 
 WINDOW = 3
+# Characters of a window with text; on pages of less text half of its largest.
+SURGE = 86
 # Outside of a marked article, a line with a larger share of link text is none.
 LINK_SHARE = 0.8
 
@@ -53,6 +57,7 @@ NAMES = frozenset(
 # Names that begin so count as well.
 STEMS = ("cookie", "advert", "sidebar", "newsletter", "breadcrumb", "sponsor")
 ARTICLE = frozenset("article story post entry content main".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # Elements that end an open one of the same kind without an end tag.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "option": ("select",)}
 
@@ -60,6 +65,7 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)",
     re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
 _PIECE = re.compile(r"[a-z0-9]+")
 
 
@@ -78,10 +84,10 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return none, marks and not none
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters of links, rank of the article mark) of each line; an
-    element without text of the article leaves WINDOW empty lines."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+    """(text, characters of links, rank of the article mark, is a heading) of
+    each line; an element without text of the article leaves WINDOW empty lines."""
+    lines: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     links = 0
     # Open elements: name, holds no text, mark (2: article, 1: other, 0: none).
@@ -96,7 +102,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0))
+                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0, any(count[h] for h in HEADINGS)))
             text.clear()
         links = 0
 
@@ -152,7 +158,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if none and not hidden:
             if name in BLOCKS:
                 end_line()
-            lines.extend([("", 0, 0)] * WINDOW)
+            lines.extend([("", 0, 0, False)] * WINDOW)
         mark = (2 if name == "article" else 1) if article else 0
         open_.append((name, none, mark))
         count[name] += 1
@@ -163,26 +169,47 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
     return lines
 
 
+def surges(lengths: list[int], headings: list[bool], sentences: list[bool]) -> list[bool]:
+    """Which lines are text by the distribution of lengths."""
+    n = len(lengths)
+    sums = [sum(lengths[i:i + WINDOW]) for i in range(max(1, n - WINDOW + 1))]
+    least = min(SURGE, max(sums, default=0) / 2)
+    near = [False] * n
+    for i, total in enumerate(sums):
+        if total and total >= least:
+            near[i:i + WINDOW] = [True] * len(near[i:i + WINDOW])
+    kept = [False] * n
+    i = 0
+    while i < n:
+        j = i
+        while j < n and near[j]:
+            j += 1
+        own = [k for k in range(i, j) if lengths[k] and (lengths[k] * WINDOW >= least or sentences[k])]
+        if own:
+            first = min([k for k in range(i, own[0]) if lengths[k] and headings[k]], default=own[0])
+            for k in range(first, own[-1] + 1):
+                kept[k] = lengths[k] > 0
+        i = j + 1
+    follows = False  # the next line is kept
+    for k in range(n - 1, -1, -1):
+        if lengths[k]:
+            kept[k] = follows = kept[k] or headings[k] and follows
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     lines = lines_of(html) if html else []
-    best = max((mark for line, _, mark in lines if line), default=0)
+    best = max((mark for line, _, mark, _ in lines if line), default=0)
     lengths = []
-    for line, links, mark in lines:
+    for line, links, mark, _ in lines:
         listed = not mark and links > LINK_SHARE * len(line)
         lengths.append(0 if mark < best or listed else len(line))
-    kept, inside = [], False
-    ahead = sum(lengths[:WINDOW])
-    for i, length in enumerate(lengths):
-        # ahead: characters in the window that begins with this line.
-        if not inside and length and ahead > 0:
-            inside = True  # surge
-        elif inside and not ahead:
-            inside = False  # dive
-        if inside and length:
-            kept.append(lines[i][0])
-        ahead += (lengths[i + WINDOW] if i + WINDOW < len(lengths) else 0) - length
-    return "\n\n".join(kept)
+    if best == 2:
+        kept = [length > 0 for length in lengths]
+    else:
+        kept = surges(lengths, [x[3] for x in lines], [bool(_SENTENCE.search(x[0])) for x in lines])
+    return "\n\n".join(x[0] for x, keep in zip(lines, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

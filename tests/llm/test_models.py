@@ -135,6 +135,21 @@ def test_pages(spark):
         H.main_text(long)
 
 
+def test_distribution_decides_without_marks():
+    long = "A sentence of the article that is as long as such sentences usually are, with a comma. " * 3
+    menu = "".join(f"<div>{w}</div>" for w in ("Home", "News", "Sport", "Weather", "Contact"))
+    page = (f"<div>{menu}</div><h1>Title</h1><div>By A</div><div>{long}</div><div>\u201cYes,\u201d they said.</div><div>{long}</div>"
+            f"<div>So it ended.</div><div>{menu}</div><div>\u00a9 2020 Example</div>")
+    text = long.strip()
+    assert H.main_text(page) == "\n\n".join(["Title", "By A", text, "\u201cYes,\u201d they said.", text, "So it ended."])
+    table = f"<table><tr><td>Home<td>News</tr><tr><td>Buy now</tr><tr><td>Log in</tr><tr><td>{long}</td></tr><tr><td>Imprint</table>"
+    assert H.main_text(table) == text
+    hidden = f"<h1>Title</h1><nav>x</nav><p>{long}</p>"
+    assert H.main_text(hidden) == "Title\n\n" + text
+    # An article element is kept as it is.
+    assert H.main_text(f"<article><p>Short</p><p>{long}</p><p>End</p></article>") == f"Short\n\n{text}\n\nEnd"
+
+
 def brute_nearest(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8
           and all(x is not None and np.isfinite(x) for x in v) and any(v)]
