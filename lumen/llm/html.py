@@ -56,7 +56,15 @@ NAMES = frozenset(
     "pagination pager skip".split())
 # Names that begin so count as well.
 STEMS = ("cookie", "advert", "sidebar", "newsletter", "breadcrumb", "sponsor")
+# Words of class names that go with one of NAMES for the same thing (ad-slot).
+PARTS = frozenset(
+    "area bar block body bottom box button buttons card col column container content form group header icon icons inner "
+    "item items label left link links list main message panel posts right row section slot text title top unit widget "
+    "wrap wrapper".split())
+# Names that begin so tell of the page's layout or subject, not of the element.
+ABOUT = frozenset("category format has hide is no not show tag tagged topic with without".split())
 ARTICLE = frozenset("article story post entry content main".split())
+ARTICLE_PARTS = frozenset("area body container inner text wrap wrapper".split()) | ARTICLE
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # Elements that end an open one of the same kind without an end tag.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "option": ("select",)}
@@ -69,29 +77,80 @@ _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]
 _PIECE = re.compile(r"[a-z0-9]+")
 
 
-def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(holds no text of the article, marks the article)."""
+def _named(token: str) -> bool:
+    """A class or id that names what is no text of the article."""
+    first, *rest = _PIECE.findall(token) or [""]
+    if not rest:
+        return first in NAMES or first.startswith(STEMS)
+    if first in ABOUT or first in ARTICLE and rest[-1] == "header":
+        return False
+    if rest[-1] in NAMES and rest[-1] != "side" or rest[-1].startswith(STEMS):
+        return True
+    return (first in NAMES or first.startswith(STEMS)) and all(p in PARTS or p in NAMES or p.isdigit() for p in rest) \
+        and not (first == "side" and rest[-1] == "side")
+
+
+def _marking(token: str) -> bool:
+    """A class or id that names the article."""
+    pieces = _PIECE.findall(token)
+    return not ARTICLE.isdisjoint(pieces) and ARTICLE_PARTS.issuperset(pieces[1:]) and not _named(token)
+
+
+def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """(holds no text of the article, marks the article, has a name of what
+    holds none)."""
     found = {}
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     role = found.get("role", "")
-    pieces = set(_PIECE.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    marks = name in ("article", "main") or role in ("main", "article") or (name in ("div", "section") and bool(pieces & ARTICLE))
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
     none = (name in NO_TEXT and not (name == "header" and in_article) or role in ROLES or "hidden" in found
-            or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            or name not in ("html", "body", "main") and any(p in NAMES or p.startswith(STEMS) for p in pieces))
-    return none, marks and not none
+            or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
+    element = name in ("article", "main") or role in ("main", "article")
+    named = not none and not element and name not in ("html", "body") and any(map(_named, tokens))
+    marks = not none and not named and (element or name in ("div", "section") and any(map(_marking, tokens)))
+    return none, marks, named
+
+
+def _overruled(lines: list[tuple[str, int, int, bool, int]], above: list[int]) -> set[int]:
+    """The named elements that hold the article for all their names: without
+    them no line is marked, and they have marked lines or most of the text.
+
+    lines: the last entry is the innermost named element, 0 for none; above:
+    the named element around each.
+    """
+    chars, mark = [0] * len(above), [0] * len(above)
+    for line, links, rank, _, element in lines:
+        chars[element] += len(line) - links if line else 0
+        mark[element] = max(mark[element], rank)
+    own = list(mark)
+    for k in range(len(above) - 1, 0, -1):
+        chars[above[k]] += chars[k]
+        mark[above[k]] = max(mark[above[k]], mark[k])
+    inside: dict[int, list[int]] = {}
+    for k in range(1, len(above)):
+        inside.setdefault(above[k], []).append(k)
+    found, at = {0}, 0
+    while not own[at] and at in inside:
+        at, best = max(((k, (mark[k] > 0, chars[k])) for k in inside[at]), key=lambda x: x[1])
+        if not best[0] and 2 * best[1] <= chars[0]:
+            break
+        found.add(at)
+    return found
 
 
 def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
     """(text, characters of links, rank of the article mark, is a heading) of
     each line; an element without text of the article leaves WINDOW empty lines."""
-    lines: list[tuple[str, int, int, bool]] = []
+    lines: list[tuple[str, int, int, bool, int]] = []
     text: list[str] = []
     links = 0
-    # Open elements: name, holds no text, mark (2: article, 1: other, 0: none).
-    open_: list[tuple[str, bool, int]] = []
+    # Open elements: name, holds no text, mark (2: article, 1: other, 0: none),
+    # is named.
+    open_: list[tuple[str, bool, int, bool]] = []
+    # The named element around each, by number; the innermost open one.
+    above, inner = [0], 0
     count: Counter[str] = Counter()
     hidden = link = 0
     marks = [0, 0, 0]
@@ -102,14 +161,18 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0, any(count[h] for h in HEADINGS)))
+                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0, any(count[h] for h in HEADINGS), inner))
             text.clear()
         links = 0
 
     def close(k):
         """Close the open elements from the k-th on."""
-        nonlocal hidden, link
-        for name, none, mark in open_[k:]:
+        nonlocal hidden, link, inner
+        if any(x[3] for x in open_[k:]):
+            end_line()
+        for name, none, mark, named in reversed(open_[k:]):
+            if named:
+                inner = above[inner]
             hidden -= none
             link -= name == "a"
             marks[mark] -= 1
@@ -154,19 +217,25 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
             if open_[k][0] == name or name in ("dt", "dd") and open_[k][0] in ("dt", "dd"):
                 close(k)
                 break
-        none, article = _kind(name, m[3], bool(marks[2]))
-        if none and not hidden:
+        none, article, named = _kind(name, m[3], bool(marks[2]))
+        # Names on inline elements are not weighed against what they hold.
+        none, named = none or named and name not in BLOCKS, named and name in BLOCKS
+        if (none or named) and not hidden:
             if name in BLOCKS:
                 end_line()
-            lines.extend([("", 0, 0, False)] * WINDOW)
+            lines.extend([("", 0, 0, False, inner)] * WINDOW)
         mark = (2 if name == "article" else 1) if article else 0
-        open_.append((name, none, mark))
+        open_.append((name, none, mark, named))
+        if named:
+            above.append(inner)
+            inner = len(above) - 1
         count[name] += 1
         hidden += none
         link += name == "a"
         marks[mark] += 1
     end_line()
-    return lines
+    shown = _overruled(lines, above)
+    return [x[:4] for x in lines if x[4] in shown]
 
 
 def surges(lengths: list[int], headings: list[bool], sentences: list[bool]) -> list[bool]:

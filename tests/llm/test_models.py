@@ -150,6 +150,25 @@ def test_distribution_decides_without_marks():
     assert H.main_text(f"<article><p>Short</p><p>{long}</p><p>End</p></article>") == f"Short\n\n{text}\n\nEnd"
 
 
+def test_names_of_wrappers_keep_their_text():
+    text = "A sentence of the article that is long enough to be text by itself, and so it is."
+    for open_, close in (("<div class='content has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"),
+                         ("<article class='post category-social'>", "</article>"), ("<article class='tag-advertising'>", "</article>"),
+                         ("<section id='related-work'>", "</section>"), ("<div class='side-by-side'>", "</div>"),
+                         ("<p class='ad-free'>", "</p>"), ("<p class='share-price'>", "</p>")):
+        assert H.main_text(f"<p>{text}</p>{open_}{text}{close}" if open_[1] != "a" else open_ + text + close).endswith(text)
+        assert H.main_text(open_ + text + close) == text
+    assert H.main_text(f"<article><div class='entry-header'><h2>T</h2></div><p>{text}</p></article>") == "T\n\n" + text
+    # A name does not stand against what the element holds.
+    menu, notice = "<div class='ad-slot'>buy this</div>", "<div class='cookie-notice'>we use some</div>"
+    assert H.main_text(f"<p>Short</p><div class='widget'>{menu}<p>{text}</p></div>{notice}").endswith(text)
+    assert "buy" not in H.main_text(f"<p>Short</p><div class='widget'>{menu}<p>{text}</p></div>{notice}")
+    assert H.main_text(f"<div class='sidebar-right'>{menu}<article>{text}</article></div><p>other</p>") == text
+    # Comments stay out where the article is marked, however long.
+    comments = f"<div class='comments'><article>{text * 5}</article></div>"
+    assert H.main_text(f"<article>{text}</article>{comments}") == text
+
+
 def brute_nearest(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8
           and all(x is not None and np.isfinite(x) for x in v) and any(v)]
