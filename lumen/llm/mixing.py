@@ -3,7 +3,8 @@
 Documents fall into cells of equal source, language and topic. Raking gives
 every cell a weight per token: it scales the cells so that the weighted
 tokens meet the target shares of one dimension, then of the next, and again,
-until all dimensions hold at once. A document is then drawn with probability
+until all dimensions hold at once, or, for targets that cannot hold together,
+until the deviation no longer falls; what is left of it is logged. A document is then drawn with probability
 min(1, c * weight), c chosen so that the expected tokens meet the budget.
 
 Only cells take part in the raking, as a Spark table: their number follows
@@ -20,6 +21,7 @@ and may have any name but those that are added.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +37,14 @@ TOPICS = 8
 TOPIC_LETTERS = 5
 # By default a value's share follows its tokens ** TEMPER.
 TEMPER = 0.5
-SWEEPS, TOLERANCE = 40, 1e-4
+TOLERANCE = 1e-4
+# Raking stalls if the deviation falls by less than STALL in so many sweeps.
+STALL_SWEEPS, STALL = 10, 0.01
 # Share of all tokens to draw.
 BUDGET = 0.5
 
+_LOG = logging.getLogger(__name__)
+
 
 def topic_of(text: str | None, topics: int = TOPICS) -> tuple[int, int]:
     """(tokens, topic): topic is a bucket of the most frequent long word (of
@@ -69,12 +75,18 @@ def tempered(cells: DataFrame, dim: str, temper: float) -> DataFrame:
             .select(dim, F.pow(F.col("t").cast("double"), F.lit(temper)).alias("share")))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
-         tolerance: float = TOLERANCE) -> DataFrame:
+def _stalls(offs: list[float]) -> bool:
+    before, last = offs[:-STALL_SWEEPS], offs[-STALL_SWEEPS:]
+    return bool(before) and min(last) > (1 - STALL) * min(before)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
     """cells with the column weight: weighted tokens meet the targets.
 
     cells: the dimensions and tokens (long). targets: for each dimension its
     values and their shares, in any unit. Weights average 1 over the tokens.
+    Sweeps go on until no weight changes by more than tolerance (a share of
+    it) or stall; a deviation left then is logged as a warning.
     """
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -85,7 +97,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         whole = goal.agg(F.sum("share")).first()[0] or 1.0
         goals[dim] = goal.select(F.col(dim).alias("_v"), (F.col("share") * total / whole).alias("_goal"))
     now = written(spark, cells.withColumns({"weight": F.lit(1.0), "_off": F.lit(0.0)}), "cells")
-    for _ in range(sweeps):
+    offs: list[float] = []
+    while not offs or offs[-1] > tolerance:
+        if _stalls(offs):
+            _LOG.warning("raking stalled after %d sweeps: margins are off by up to %.3g of their targets", len(offs), offs[-1])
+            break
         now = now.withColumn("_off", F.lit(0.0))
         for dim, goal in goals.items():
             got = now.groupBy(F.col(dim).alias("_w")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_got"))
@@ -95,8 +111,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
             now = written(spark, now.join(ratio, now[dim].eqNullSafe(ratio["_v"]), "left").select(
                 *cells.columns, (F.col("weight") * factor).alias("weight"),
                 F.greatest("_off", F.abs(factor - 1)).alias("_off")), "cells")
-        if (now.agg(F.max("_off")).first()[0] or 0.0) <= tolerance:
-            break
+        offs.append(now.agg(F.max("_off")).first()[0] or 0.0)
     return now.drop("_off")
 
 

@@ -231,6 +231,23 @@ def test_raking_matches_plain_python(spark):
     assert all(got[c] == pytest.approx(w, rel=1e-6) for c, w in zip(cells, expected))
 
 
+def test_raking_goes_on_until_the_targets_are_met(spark, caplog):
+    def raked(rows, sources, tolerance):
+        table = spark.createDataFrame(rows, "source string, lang string, tokens long")
+        targets = {d: spark.createDataFrame(g, f"{d} string, share double")
+                   for d, g in (("source", sources), ("lang", [("x", .5), ("y", .5)]))}
+        return {(r.source, r.lang): r.weight * r.tokens for r in M.rake(table, targets, tolerance=tolerance).collect()}
+    # Slow: more than 50 sweeps, since few tokens link the two halves.
+    got = raked([("a", "x", 1000), ("a", "y", 1), ("b", "x", 1), ("b", "y", 1000)], [("a", .6), ("b", .4)], 1e-6)
+    whole = sum(got.values())
+    assert got["a", "x"] + got["a", "y"] == pytest.approx(.6 * whole, rel=2e-6)
+    assert got["a", "x"] + got["b", "x"] == pytest.approx(.5 * whole, rel=2e-6)
+    assert not caplog.records
+    # These cannot hold together: it ends, and says what is left.
+    assert len(raked([("a", "x", 10), ("b", "y", 10)], [("a", .6), ("b", .4)], 1e-4)) == 2
+    assert [r.levelname for r in caplog.records] == ["WARNING"] and "0.25" in caplog.text
+
+
 def test_mixing_draws_by_probability(spark, odd_docs, no_docs):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "of"]) for _ in range(rng.randint(1, 30))),
