@@ -28,8 +28,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5; all documents where no
+    label can be learned from."""
     weights = fit(docs, table(spark, sf_dir, "labels"), learn=~held_out(F.col("doc_id")))
+    if not weights:
+        return docs
     name = fresh(docs, "toxicity")
     return score(docs, weights, out=name).where(F.col(name) < 0.5).drop(name)
 

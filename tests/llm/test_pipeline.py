@@ -106,6 +106,14 @@ def test_stages_match_plain_python(spark, corpus):
     assert np.isclose(sum(r.probability > 0 for r in mixed.collect()), len(sample))
 
 
+@pytest.mark.parametrize("toxic", [[], [(1, 0, None)]])
+def test_without_labels_no_document_is_toxic(spark, corpus, tmp_path, toxic):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_run_is_the_stages(spark, corpus):
     first = sorted(map(tuple, corpus_pipeline.run(spark, corpus).collect()), key=str)
     again = sorted(map(tuple, corpus_pipeline.run(spark, corpus).collect()), key=str)
