@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 from lumen.operators import catalog as G
 from lumen.operators import clean as D
 from lumen.operators import exposure as X
