@@ -9,13 +9,15 @@ in turn make a tree, whose top is the root.
    a third of all rows is spread over tasks. Positions inside the partitions
    plus offsets from a table of one row for each partition and group give
    every leaf its index.
-2. Every level equijoins the nodes with the indices of their run, computed from
-   a node's slot: its run starts ``slot`` before it and has ``fan`` places or
-   what is left of the group. Each node then knows its siblings, and the rows
-   of slot zero emit the parents. A run has at most ``fan`` nodes, so no key
-   of these joins is hot.
-3. From the top down each node's path is its siblings followed by the path of
-   its parent. A path has one step for each level that has several nodes.
+2. Every level equijoins its nodes with the indices of a run's siblings, which
+   follow from the index of the node in slot zero: the run has ``fan`` places
+   from there, or what is left of the group. The rows of slot zero gather the
+   run's digests and emit the parents. A run has at most ``fan`` nodes, so no
+   key of these joins is hot.
+3. From the top down each run learns the path above it, and at last each leaf:
+   its slot in its run, followed by the path above. A path has one step for
+   each level that has several nodes. Runs, not nodes, carry digests and
+   paths, and digests travel as 32 bytes.
 
 The number of levels is the logarithm of the rows; the work of all levels is
 that of the first and a share of 1 / (fan - 1). The driver reads one flag a
@@ -38,7 +40,7 @@ from lumen.llm.common import written
 
 FAN = 8
 _POSITION_BITS = 33  # of monotonically_increasing_id, below the partition
-_STEP = "struct<left:string,right:string>"
+_STEPS = "array<struct<slot:int,run:array<binary>>>"
 
 
 def digest(value: Column) -> Column:
@@ -64,43 +66,49 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), "")
 
 
+def _hex(value: Column) -> Column:
+    return F.lower(F.hex(value))
+
+
+def _joined(digests: Column) -> Column:
+    """The text of several digests."""
+    return F.array_join(F.transform(digests, _hex), "")
+
+
 def _numbered(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """rows (g, key, h, ...) as written nodes with their index i in the group's
-    order and the group's size n."""
+    """rows (g, key, h, ...) as nodes with their index i in the group's order
+    and the group's size n."""
     rows = written(spark, rows.withColumn("u", F.monotonically_increasing_id()), f"{name}-unsorted")
     order = ["g", F.asc_nulls_first("key"), "h", "u"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
         "part": F.spark_partition_id(),
         "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))}).drop("u")
-    placed = written(spark, placed, f"{name}-sorted")
+    placed = written(spark, placed, name)
     # One row for each partition and group: partitions plus groups at most.
     parts = placed.groupBy("g", "part").agg(F.count("at").alias("rows"), F.min("at").alias("from"))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("g", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("from")).alias("shift"),
-                         F.sum("rows").over(Window.partitionBy("g")).alias("n"))
-    return written(spark, placed.join(parts, ["g", "part"]).withColumn(
-        "i", F.col("at") + F.col("shift")).drop("part", "at", "shift"), name)
+    parts = written(spark, parts.select(
+        "g", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("from")).alias("shift"),
+        F.sum("rows").over(Window.partitionBy("g")).alias("n")), f"{name}-parts")
+    return placed.join(parts, ["g", "part"]).withColumn("i", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
 def _level(spark: SparkSession, nodes: DataFrame, fan: int) -> DataFrame:
-    """(g, i, n, h, left, right): the nodes of groups with several, with the
-    digests of the run's nodes before and after them."""
-    slot = F.col("i") % fan
-    end = F.least(F.col("i") - slot + fan, F.col("n")) - 1
+    """(g, up, n, run): the runs of groups of several nodes, each with the index
+    of its parent, the parent's group size and the digests."""
     many = nodes.where("n > 1")
-    asked = many.select("g", "i", "n", F.explode(F.sequence(F.col("i") - slot, end)).alias("j"))
+    end = F.least(F.col("i") + fan, F.col("n")) - 1
+    asked = many.where(F.col("i") % fan == 0).select(
+        "g", F.expr(f"i div {fan}").alias("up"), F.ceil(F.col("n") / fan).alias("n"),
+        F.explode(F.sequence(F.col("i"), end)).alias("j"))
     met = asked.join(many.select("g", F.col("i").alias("j"), "h"), ["g", "j"])
-    runs = met.groupBy("g", "i", "n").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("run"))
-    run, place = F.col("run.h"), slot.cast("int")
-    return written(spark, runs.select(
-        "g", "i", "n", F.get(run, place).alias("h"),
-        F.array_join(F.slice(run, F.lit(1), place), "").alias("left"),
-        F.array_join(F.slice(run, place + 2, F.lit(fan)), "").alias("right")), "level")
+    runs = met.groupBy("g", "up", "n").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("run"))
+    return written(spark, runs.select("g", "up", "n", F.col("run.h").alias("run")), "level")
 
 
 def _climb(spark: SparkSession, nodes: DataFrame, fan: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Levels of several nodes, from the leaves up, and the tops (g, h) that
-    each height has; tops[k] stand above levels[k - 1]."""
+    """The runs of each level, from the leaves up, and the tops (g, h) that each
+    height has; tops[k] stand above levels[k - 1]."""
     levels, tops = [], []
     nodes = nodes.select("g", "i", "n", "h")
     while True:
@@ -108,53 +116,64 @@ def _climb(spark: SparkSession, nodes: DataFrame, fan: int) -> tuple[list[DataFr
         if nodes.where("n > 1").isEmpty():
             return levels, tops
         levels.append(_level(spark, nodes, fan))
-        nodes = levels[-1].where(F.col("i") % fan == 0).select(
-            "g", F.expr(f"i div {fan}").alias("i"), F.ceil(F.col("n") / fan).alias("n"),
-            digest(F.concat("left", "h", "right")).alias("h"))
+        nodes = levels[-1].select("g", F.col("up").alias("i"), "n", F.unhex(digest(_joined(F.col("run")))).alias("h"))
+
+
+def _with_path(nodes: DataFrame, index: str, above: DataFrame, fan: int) -> DataFrame:
+    """nodes with subroot and path, from the runs above, which (g, index) meets."""
+    runs = above.select("g", F.col("up").alias("__up"), F.col("run").alias("__run"), "subroot", F.col("path").alias("__path"))
+    met = nodes.withColumn("__up", F.expr(f"{index} div {fan}")).join(runs, ["g", "__up"])
+    step = F.struct((F.col(index) % fan).cast("int").alias("slot"), F.col("__run").alias("run"))
+    path = F.when(F.col("__run").isNull(), F.col("__path")).otherwise(F.concat(F.array(step), "__path"))
+    return met.withColumn("path", path).drop("__up", "__run", "__path")
 
 
-def _paths(levels: list[DataFrame], tops: list[DataFrame], fan: int) -> DataFrame:
-    """(g, i, subroot, path) of the lowest nodes; tops: (g, subroot, path)."""
-    def top(k):
-        return tops[k].select("g", F.lit(0).cast("long").alias("i"), "subroot", "path")
+def _above(levels: list[DataFrame], tops: list[DataFrame], fan: int) -> DataFrame:
+    """(g, up, run, subroot, path): the lowest runs and what leads on from
+    their parents; run is null for a node that is its group's only one.
+    tops: (g, subroot, path)."""
+    def alone(k):
+        return tops[k].select("g", F.lit(0).cast("long").alias("up"), F.lit(None).cast("array<binary>").alias("run"),
+                              "subroot", "path")
 
-    found = top(len(levels))
+    found = alone(len(levels))
     for k in range(len(levels) - 1, -1, -1):
-        above = found.withColumnRenamed("i", "up")
-        step = F.array(F.struct("left", "right").cast(_STEP))
-        found = levels[k].withColumn("up", F.expr(f"i div {fan}")).join(above, ["g", "up"]).select(
-            "g", "i", "subroot", F.concat(step, "path").alias("path")).unionByName(top(k))
+        found = _with_path(levels[k].select("g", "up", "run"), "up", found, fan).unionByName(alone(k))
     return found
 
 
 def manifest(leaves: DataFrame, leaf: str = "leaf", key: str = "doc_id", group: str = "lang",
              fan: int = FAN) -> DataFrame:
-    """leaves with subroot, root and path: the digests left and right of the
-    node of each level, from the leaf's run to the root.
+    """leaves (whose ``leaf`` is a digest in hex) with subroot, root and path:
+    the digests left and right of the node of each level, from the leaf's run
+    to the root.
 
     Leaves should be narrow: they are written and sorted.
     """
     spark = leaves.sparkSession
     results = ("subroot", "root", "path")
     kept = [c for c in leaves.columns if c not in results]
-    row = F.struct(*(F.col(c) for c in kept)).alias("row")
+    row = F.struct(F.lit(0).alias("__"), *(F.col(c) for c in kept if c != leaf)).alias("row")
     # A null group sorts first, others by their bytes.
     g = F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit(""))
-    nodes = _numbered(spark, leaves.select(g.alias("g"), F.col(key).alias("key"), F.col(leaf).alias("h"), row), "leaves")
+    nodes = _numbered(spark, leaves.select(g.alias("g"), F.col(key).alias("key"), F.unhex(leaf).alias("h"), row), "leaves")
     levels, tops = _climb(spark, nodes, fan)
 
-    subroots = [t.select(F.lit("").alias("g"), F.col("g").alias("key"), "h", F.lit(k).alias("height"))
-                for k, t in enumerate(tops)]
-    every = subroots[0]
-    for t in subroots[1:]:
-        every = every.unionByName(t)
+    every = None
+    for k, t in enumerate(tops):
+        t = t.select(F.lit("").alias("g"), F.col("g").alias("key"), "h", F.lit(k).alias("height"))
+        every = t if every is None else every.unionByName(t)
     subs = _numbered(spark, every, "subroots")
     upper, roots = _climb(spark, subs, fan)
-    first = [r for t in roots for r in t.take(1)]  # one root at most
+    first = [r for t in roots for r in t.select(_hex(F.col("h")).alias("h")).take(1)]  # one root at most
     root = F.lit(first[0]["h"] if first else None).cast("string")
-    ends = [t.select("g", F.col("h").alias("subroot"), F.array().cast(f"array<{_STEP}>").alias("path")) for t in roots]
-    over = _paths(upper, ends, fan).select("i", "path")
-    known = written(spark, subs.select("i", F.col("key").alias("g"), F.col("h").alias("subroot"), "height").join(over, "i"), "tops")
-    lower = [known.where(F.col("height") == k).select("g", "subroot", "path") for k in range(len(tops))]
-    found = _paths(levels, lower, fan)
-    return nodes.select("g", "i", "row").join(found, ["g", "i"]).select("row.*", "subroot", root.alias("root"), "path")
+    ends = [t.select("g", F.col("h").alias("subroot"), F.array().cast(_STEPS).alias("path")) for t in roots]
+    known = _with_path(subs.select("g", "i", "key", "h", "height"), "i", _above(upper, ends, fan), fan)
+    known = written(spark, known.select(F.col("key").alias("g"), F.col("h").alias("subroot"), "height", "path"), "tops")
+    lower = [known.where(F.col("height") == k).drop("height") for k in range(len(tops))]
+    found = _with_path(nodes.select("g", "i", "h", "row"), "i", _above(levels, lower, fan), fan)
+    path = F.transform("path", lambda s: F.struct(
+        _joined(F.slice(s["run"], F.lit(1), s["slot"])).alias("left"),
+        _joined(F.slice(s["run"], s["slot"] + 2, F.lit(fan))).alias("right")))
+    return found.select(*(_hex(F.col("h")).alias(c) if c == leaf else F.col("row").getField(c).alias(c) for c in kept),
+                        _hex(F.col("subroot")).alias("subroot"), root.alias("root"), path.alias("path"))
