@@ -14,9 +14,7 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
-                                   RegressionEvaluator)
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,8 +23,10 @@ from pyspark.sql import types as T
 
 from lumen.functions.exprs import NUMBER_PATTERN, col, finite
 from lumen.functions.quantiles import exact_quantiles
+from lumen.functions.ranks import roc_auc, sums_before
 from lumen.functions.roles import feature_columns, is_numeric_type
 from lumen.operators.profile import value_counts
+from lumen.session import written
 
 # Fixed values from the reference's training code.
 SEED = 42
@@ -78,26 +78,40 @@ def task_for(df: DataFrame, target: str, rule: str = "service") -> str:
 # --------------------------------------------------------------------- M3 / M4
 
 def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M3 as a relation: (column, value, code) with alphabetical codes from 0
-    (what ``StringIndexer(stringOrderType='alphabetAsc')`` assigns); missing
-    text is a value of its own, as in ``encode_labels``. The rank runs over each column's vocabulary of distinct values, not its rows."""
-    w = Window.partitionBy("position").orderBy("value")
+    """M3 as a relation: (column, value, code) with alphabetical codes from 0;
+    missing text is a value of its own, as in ``encode_labels``.
+
+    A code is the number of distinct values before it. These are sorted by
+    ranges over all tasks (``sums_before``), never in one."""
     filled = df.select(*[F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in cols])
-    return (value_counts(filled, cols).select(
-        "position", "column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
-        .drop("position"))
+    values = value_counts(filled, cols).select("position", "column", "value", F.lit(1).alias("one"))
+    ranked = sums_before(values, ["position", "column"], ["value"], ["one"])
+    return ranked.select("column", "value", F.col("one_before").cast("int").alias("code"))
+
+
+def spare_codes(codes: DataFrame) -> dict[str, int]:
+    """The code after the last of each column: for values without one. One row
+    for each column comes to the driver."""
+    return {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def attach_codes(df: DataFrame, cols: list[str], codes: DataFrame, spare: dict[str, int]) -> DataFrame:
+    """df with ``<c>__code`` (double) for each text column c, by one join a
+    column: Spark broadcasts a vocabulary only where it is small, and AQE
+    splits the rows of a hot value."""
+    for c in cols:
+        own = codes.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+        df = df.join(own, F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)) == F.col("__value"), "left").withColumn(
+            f"{c}__code", F.coalesce(F.col("__code"), F.lit(spare.get(c, 0))).cast("double")).drop("__value", "__code")
+    return df
 
 
-def encode_labels(df: DataFrame, cols: list[str]) -> tuple[DataFrame, PipelineModel]:
-    """M3 applied: each text column replaced by its code (missing -> 'nan')."""
-    filled = df.select(*[F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c)
-                         if c in cols else col(c) for c in df.columns])
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__code", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in cols]
-    model = Pipeline(stages=stages).fit(filled)
-    out = model.transform(filled)
-    return out.select(*[F.col(f"{c}__code").cast("int").alias(c) if c in cols else col(c)
-                        for c in df.columns]), model
+def encode_labels(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """M3 applied: each text column replaced by its code (missing -> 'nan'),
+    and the codes."""
+    codes = written(df.sparkSession, label_codes(df, cols), "codes")
+    coded = attach_codes(df, cols, codes, spare_codes(codes))
+    return coded.select(*[col(f"{c}__code").cast("int").alias(c) if c in cols else col(c) for c in df.columns]), codes
 
 
 def impute_median(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
@@ -172,27 +186,30 @@ class Trained:
     text: list[str]
     medians: dict = field(default_factory=dict)
     metrics: dict = field(default_factory=dict)
+    spare: dict = field(default_factory=dict)
+    codes: DataFrame | None = None      # of the text features
+    data: DataFrame | None = None       # the prepared rows, of the session that fitted only
 
 
-def _prepare(df: DataFrame, target: str, features: list[str], medians: dict | None = None,
-             approx: bool = False, extra: list[str] | None = None
-             ) -> tuple[DataFrame, list[str], list[str], dict]:
-    types = _types(df)
-    numeric = [c for c in features if is_numeric_type(types[c]) or isinstance(types[c], T.BooleanType)]
-    text = [c for c in features if c not in numeric]
-    if medians is None:
-        meds = exact_quantiles(df, [finite(col(c).cast("double")) for c in numeric], [0.5], approx=approx)
-        medians = {c: (m[0] if m[0] is not None else 0.0) for c, m in zip(numeric, meds)}
-    out = df.select(
-        *[F.coalesce(finite(col(c).cast("double")), F.lit(medians[c])).alias(c) for c in numeric],
+NOT_IN_BUNDLE = ("model", "codes", "data")
+
+
+def _narrow(df: DataFrame, target: str, numeric: list[str], text: list[str], extra: list[str]) -> DataFrame:
+    return df.select(
+        *[finite(col(c).cast("double")).alias(c) for c in numeric],
         *[F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in text],
-        col(target).alias(target), *[col(c) for c in (extra or []) if c not in features])
-    return out, numeric, text, medians
+        col(target).alias(target), *[col(c) for c in extra if c not in numeric + text])
 
 
-def prepare_features(df: DataFrame, trained: Trained) -> DataFrame:
-    """Rows in the shape the fitted pipeline expects (training medians reused)."""
-    return _prepare(df, trained.target, trained.features, trained.medians)[0]
+def _filled(data: DataFrame, medians: dict) -> DataFrame:
+    return data.withColumns({c: F.coalesce(col(c), F.lit(m)) for c, m in medians.items()})
+
+
+def prepare_features(df: DataFrame, trained: Trained, keep: list[str] | None = None) -> DataFrame:
+    """Rows in the shape the fitted pipeline expects (training medians and
+    codes reused)."""
+    data = _narrow(df, trained.target, trained.numeric, trained.text, keep or [])
+    return _filled(attach_codes(data, trained.text, trained.codes, trained.spare), trained.medians)
 
 
 def fit_model(df: DataFrame, target: str, task: str | None = None, features: list[str] | None = None,
@@ -208,30 +225,36 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
     df = df.where(col(target).isNotNull())
     task = task or task_for(df, target, rule)
     features = features or feature_columns(df, target)
-    extra = [key] if key and key != target else []
-    data, numeric, text, medians = _prepare(df, target, features, extra=extra)
+    types = _types(df)
+    numeric = [c for c in features if is_numeric_type(types[c]) or isinstance(types[c], T.BooleanType)]
+    text = [c for c in features if c not in numeric]
+    spark = df.sparkSession
+    # The input is read once; all that follows reads these narrow tables.
+    data = written(spark, _narrow(df, target, numeric, text, [key] if key and key != target else []), "features")
+    codes, spare = None, {}
+    if text:
+        codes = written(spark, label_codes(data, text), "codes")
+        spare = spare_codes(codes)
+        data = written(spark, attach_codes(data, text, codes, spare), "coded")
+    meds = exact_quantiles(data, [col(c) for c in numeric], [0.5])
+    medians = {c: (m[0] if m[0] is not None else 0.0) for c, m in zip(numeric, meds)}
+    data = _filled(data, medians)
+    label_stage = []
     if task == "classification":
-        if not is_numeric_type(_types(data)[target]):
+        if not is_numeric_type(types[target]):
             label_stage = [StringIndexer(inputCol=target, outputCol="label",
                                          stringOrderType="alphabetAsc")]
-        else:
-            data = data.withColumn("label", col(target).cast("double"))
-            label_stage = []
         est = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed,
                                      labelCol="label", featuresCol="features")
     else:
-        data = data.withColumn("label", col(target).cast("double"))
-        label_stage = []
         est = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed,
                                     labelCol="label", featuresCol="features")
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__code", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in text]
-    # Codes are plain ordered numbers: the sum drops the indexers' nominal
-    # metadata, which would bound the number of values by the forest's maxBins.
-    plain = SQLTransformer(statement="SELECT *" + "".join(
-        f", `{c}__code` + 0D AS `{c}__number`" for c in text) + " FROM __THIS__")
-    asm = VectorAssembler(inputCols=numeric + [f"{c}__number" for c in text], outputCol="features")
-    pipe = Pipeline(stages=label_stage + idx + [plain, asm, est])
+    if not label_stage:
+        data = data.withColumn("label", col(target).cast("double"))
+    # Codes are plain ordered numbers, not nominal ones, which would bound
+    # their count by the forest's maxBins.
+    asm = VectorAssembler(inputCols=numeric + [f"{c}__code" for c in text], outputCol="features")
+    pipe = Pipeline(stages=label_stage + [asm, est])
     if stratify:
         if not key:
             raise ValueError("a stratified split needs a key column")
@@ -244,23 +267,22 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
         share = SMALL_TEST_SHARE if rule == "library" and data.limit(11).count() <= 10 else TEST_SHARE
         train, test = data.where(h >= share), data.where(h < share)
     model = pipe.fit(train)
-    scored = model.transform(test)
-    trained = Trained(model, task, target, numeric + text, numeric, text, medians)
-    trained.metrics = evaluate(scored, task)
+    scored = written(spark, model.transform(test).drop("features", "rawPrediction"), "scored")
+    trained = Trained(model, task, target, numeric + text, numeric, text, medians, evaluate(scored, task), spare, codes, data)
     return trained, scored
 
 
 def evaluate(scored: DataFrame, task: str) -> dict:
-    """M9: accuracy (classification) or R2 (regression); AUC when binary."""
+    """M9: accuracy (classification) or R2 (regression); the exact AUC when
+    binary."""
     if task == "classification":
-        acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
-        out = {"metric_name": "Accuracy Score", "metric_value": round(acc, 4)}
+        acc = accuracy(scored, "label", "prediction").first()["accuracy"]
+        out = {"metric_name": "Accuracy Score", "metric_value": round(acc or 0.0, 4)}
         if scored.select("label").distinct().limit(3).count() == 2:
-            out["auc"] = BinaryClassificationEvaluator(rawPredictionCol="probability",
-                                                       metricName="areaUnderROC").evaluate(scored)
+            out["auc"] = roc_auc(risk_scores(scored), "label", "risk_score").first()["auc"]
         return out
-    r2 = RegressionEvaluator(metricName="r2").evaluate(scored)
-    return {"metric_name": "R² Score", "metric_value": round(r2, 4)}
+    value = r2(scored, "label", "prediction").first()["r2"]
+    return {"metric_name": "R² Score", "metric_value": round(value or 0.0, 4)}
 
 
 def metrics_frame(spark, trained: Trained) -> DataFrame:
@@ -293,17 +315,21 @@ def r2(pred: DataFrame, label: str, prediction: str) -> DataFrame:
 # --------------------------------------------------------------------- K4 / M11
 
 def save_model(trained: Trained, path: str) -> None:
-    """K4: the pipeline (encoders included), and beside it what scoring needs:
-    features, task, target, medians and metrics."""
+    """K4: the pipeline, the codes of the text features, and what else scoring
+    needs: features, task, target, medians and metrics."""
     trained.model.write().overwrite().save(f"{path}/pipeline")
-    rest = {f.name: getattr(trained, f.name) for f in fields(Trained) if f.name != "model"}
+    rest = {f.name: getattr(trained, f.name) for f in fields(Trained) if f.name not in NOT_IN_BUNDLE}
     spark = SparkSession.active()
     spark.createDataFrame([(json.dumps(rest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
+    if trained.codes is not None:
+        trained.codes.write.mode("overwrite").parquet(f"{path}/codes")
 
 
 def load_model(path: str) -> Trained:
-    rest = json.loads(SparkSession.active().read.text(f"{path}/bundle").first()[0])
-    return Trained(model=PipelineModel.load(f"{path}/pipeline"), **rest)
+    spark = SparkSession.active()
+    rest = json.loads(spark.read.text(f"{path}/bundle").first()[0])
+    codes = spark.read.parquet(f"{path}/codes") if rest["text"] else None
+    return Trained(model=PipelineModel.load(f"{path}/pipeline"), codes=codes, **rest)
 
 
 def coerced(df: DataFrame, features: list[str], text: list[str] | None = None) -> list[Column]:
@@ -333,10 +359,10 @@ def coerce_features(df: DataFrame, features: list[str], keep: list[str] | None =
 
 
 def score_batch(trained: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Predict on rows after coercion; text features go through the
-    fitted encoders (unseen or missing text gets the spare code)."""
-    return trained.model.transform(
-        df.select(*[col(c) for c in (keep or [])], *coerced(df, trained.features, trained.text)))
+    """Predict on rows after coercion; text features get their codes
+    (unseen or missing text the spare one)."""
+    rows = df.select(*[col(c) for c in (keep or [])], *coerced(df, trained.features, trained.text))
+    return trained.model.transform(attach_codes(rows, trained.text, trained.codes, trained.spare))
 
 
 # --------------------------------------------------------------------- H3 / H11
@@ -346,29 +372,38 @@ def risk_scores(scored: DataFrame) -> DataFrame:
     return scored.withColumn("risk_score", vector_to_array("probability")[1])
 
 
-def risk_drivers(trained: Trained, data: DataFrame, buckets_of: int = 1000) -> DataFrame:
-    """H11 (re-aimed): permutation importance as Spark jobs. For each feature
-    the values are rotated by one place inside random buckets of about
-    ``buckets_of`` rows (a bounded window per bucket, never one global
-    order), then the AUC drop against the unpermuted rows is reported."""
-    spark = data.sparkSession
-    ev = BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC")
-    base_auc = ev.evaluate(trained.model.transform(data))
-    n = data.count()
-    nb = max(1, n // buckets_of)
-    # Places come from row numbers, not from the rows: equal rows are spread too.
-    keyed = (data.withColumn("__n", F.monotonically_increasing_id())
-             .withColumn("__b", F.pmod(F.xxhash64("__n", F.lit(SEED)), F.lit(nb)))
-             .withColumn("__o", F.xxhash64("__n", F.lit(SEED + 1))).drop("__n"))
-    w = Window.partitionBy("__b").orderBy("__o")
-    rows = []
-    for f in trained.features:
-        rotated = keyed.withColumn(
-            f, F.coalesce(F.lead(col(f)).over(w), F.first(col(f)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-        auc = ev.evaluate(trained.model.transform(rotated.drop("__b", "__o")))
-        rows.append((f, float(base_auc - auc)))
-    rows.sort(key=lambda r: -r[1])
-    return spark.createDataFrame(rows, "feature string, auc_drop double")
+def risk_drivers(trained: Trained, data: DataFrame, key: str, label: str, buckets_of: int = 1000,
+                 seed: int = SEED) -> DataFrame:
+    """H11 (re-aimed): permutation importance, (feature, auc_drop) descending.
+
+    Rows go to buckets of about ``buckets_of`` by a hash of their key and
+    values, whatever partition they lie in. Inside a bucket, in hash order,
+    every feature also gets the value of the next row. Each row then makes one
+    copy for each feature, with that feature's other value, and one unchanged;
+    all copies are scored in one pass, and the AUC of each feature's copies
+    comes from one grouped count. Equal rows share a bucket.
+
+    data: what ``prepare_features`` or ``Trained.data`` gives, with the key and
+    the label (1 for the class whose probability is the risk).
+    """
+    inputs = trained.model.stages[-2].getInputCols()
+    values = F.struct(col(key), *(col(c) for c in inputs), col(label))
+    nb = max(1, data.count() // buckets_of)
+    rows = data.select(col(label).cast("double").alias("__label"), *(col(c) for c in inputs),
+                       F.pmod(F.xxhash64(values, F.lit(seed)), F.lit(nb)).alias("__bucket"),
+                       F.xxhash64(values, F.lit(seed + 1)).alias("__order"))
+    w = Window.partitionBy("__bucket").orderBy("__order")
+    start = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{c}__other": F.coalesce(F.lead(col(c)).over(w), F.first(col(c)).over(start)) for c in inputs})
+    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(len(inputs)))))
+    copies = copies.select("__label", "__copy", *(
+        F.when(F.col("__copy") == i, col(f"{c}__other")).otherwise(col(c)).alias(c) for i, c in enumerate(inputs, 1)))
+    scored = risk_scores(trained.model.transform(copies))
+    # One row for each feature, and one.
+    found = {r["__copy"]: r["auc"] for r in roc_auc(scored, "__label", "risk_score", by=["__copy"]).collect()}
+    drops = [(f, None if found.get(i) is None else float(found[0] - found[i])) for i, f in enumerate(trained.features, 1)]
+    drops.sort(key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    return data.sparkSession.createDataFrame(drops, "feature string, auc_drop double")
 
 
 # --------------------------------------------------------------------- churn pipeline
@@ -386,7 +421,7 @@ def churn_pipeline(df: DataFrame, key: str, tiers: bool = True) -> tuple[Trained
     trained, _ = fit_model(data, target, task="classification", features=feats, key=key,
                            trees=CHURN_TREES, depth=CHURN_DEPTH, stratify=True)
     # Gaps are filled with the training medians, as they were for the fit.
-    rows = _prepare(data, target, trained.features, trained.medians, extra=[key])[0]
-    scored = risk_scores(trained.model.transform(rows)).select(key, target, "risk_score")
+    scored = risk_scores(trained.model.transform(trained.data)).select(key, target, "risk_score")
+    scored = written(df.sparkSession, scored, "risk-scores")
     # Tiers follow pandas qcut: repeated edges (many equal scores) are an error.
     return trained, (risk_tiers(scored) if tiers else scored)

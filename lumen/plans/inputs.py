@@ -219,3 +219,25 @@ def churn_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("spent", F.lit(0.0)).alias("spent"),
         F.when(F.col("last_order").isNull() | (F.col("last_order") < F.lit("1999-01-01").cast("timestamp_ntz")), 1)
          .otherwise(0).alias("churn"))
+
+
+def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """churn_customers with the days since the last order (to the latest order
+    of all), which decide churn; 9999 without any."""
+    o = table(spark, sf_dir, "orders")
+    latest = o.agg(F.max("o_orderdate").alias("d")).first()["d"]
+    last = o.groupBy("o_custkey").agg(F.datediff(F.lit(latest), F.max("o_orderdate")).alias("gap"))
+    c = churn_customers(spark, sf_dir)
+    return c.join(last, c["customer_id"] == last["o_custkey"], "left").select(
+        *c.columns, F.coalesce("gap", F.lit(9999)).alias("gap_days"))
+
+
+BUSY_ORDERS = 11
+BUSY_FEATURES = ["nation", "balance", "n_orders", "segment"]
+
+
+def busy_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers labelled busy from BUSY_ORDERS orders on, a rule that a forest
+    can learn without error."""
+    return churn_customers(spark, sf_dir).select(
+        "customer_id", *BUSY_FEATURES, "spent", F.when(F.col("n_orders") >= BUSY_ORDERS, 1).otherwise(0).alias("busy"))

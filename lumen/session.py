@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours should carry. AQE re-plans joins at run time
 # (broadcast only when the measured side is small, split skewed partitions)
@@ -78,3 +79,11 @@ def clear_scratch(spark: SparkSession) -> None:
     while _SCRATCH:
         path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table under the shared checkpoint folder: computed once,
+    and reread by whatever follows, also after an executor is lost."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
