@@ -77,16 +77,6 @@ def as_double(name: str, dt: T.DataType) -> Column:
     return finite(c.cast("double"))
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson r, null (not an error or float noise) when
-    either side is constant or fewer than two complete pairs exist."""
-    xa = F.when(b.isNotNull(), a)
-    xb = F.when(a.isNotNull(), b)
-    varies = (F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))
-    r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-    return F.when(varies, r)
-
-
 def fmt2(c: Column) -> Column:
     """Python ``f"{x:,.2f}"`` after half-up rounding (rule R5)."""
     return F.format_number(round_dp(c, 2), 2)

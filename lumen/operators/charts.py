@@ -30,6 +30,11 @@ IQR_FENCE = 1.5
 MISSING_CHART = ("missing_data_overview", "bar", "Missing Values by Column", "column",
                  "missing_percentage")
 EMPTY_MESSAGE = "Dataset is empty."
+HISTOGRAM_TITLE = "Distribution of {col}"
+BOXPLOT_TITLE = "{col} Summary (Box Plot Specs)"
+CATEGORY_TITLE = "Top Categories in {col}"
+SCATTER_TITLE = "Relationship: {a} vs {b} (Correlation: {r})"
+TREND_TITLE = "Trend of {value} over Time ({time})"
 
 
 def _types(df):
@@ -308,8 +313,8 @@ def chart_catalog(df: DataFrame, order_by: list[str] | None = None,
     for b in numeric_bounds(df, roles.numeric[:max_cols]):
         if b["distinct"] > 1:
             c = b["column"]
-            rows.append((f"hist_{c}", "histogram", f"Distribution of {c}"))
-            rows.append((f"boxplot_{c}", "boxplot", f"{c} Summary (Box Plot Specs)"))
+            rows.append((f"hist_{c}", "histogram", HISTOGRAM_TITLE.format(col=c)))
+            rows.append((f"boxplot_{c}", "boxplot", BOXPLOT_TITLE.format(col=c)))
     cats = roles.categorical[:max_cols]
     if cats:
         present = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cats)]).collect()[0]
@@ -320,15 +325,15 @@ def chart_catalog(df: DataFrame, order_by: list[str] | None = None,
                     vc_distinct = {r["column"]: r["d"] for r in value_counts(df, cats)
                                    .groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
                 kind = "donut" if min(vc_distinct[c], TOP_CATEGORIES) <= DONUT_MAX else "bar"
-                rows.append((f"cat_{c}", kind, f"Top Categories in {c}"))
+                rows.append((f"cat_{c}", kind, CATEGORY_TITLE.format(col=c)))
     if len(roles.numeric) >= 2:
         for a, b, score, _ in ranked_pairs(df, roles.numeric)[:SCATTER_PAIRS]:
             rows.append((f"scatter_{a}_vs_{b}", "scatter",
-                         f"Relationship: {a} vs {b} (Correlation: {round(score, 2)})"))
+                         SCATTER_TITLE.format(a=a, b=b, r=round(score, 2))))
     if roles.temporal and roles.numeric:
         if chart_trend(df, include=include).limit(1).count():
             t, v = roles.temporal[0], roles.numeric[0]
-            rows.append((f"line_trend_{t}", "line", f"Trend of {v} over Time ({t})"))
+            rows.append((f"line_trend_{t}", "line", TREND_TITLE.format(value=v, time=t)))
     return spark.createDataFrame([(i,) + r for i, r in enumerate(rows)], schema)
 
 

@@ -9,11 +9,14 @@ ever concentrating rows in one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import as_double, col, finite, fmt2, is_missing, number_text, round_dp, safe_corr
+from lumen.functions.exprs import as_double, col, finite, fmt2, is_missing, number_text, round_dp
+from lumen.functions.gram import pair_correlations
 from lumen.functions.quantiles import exact_quantiles
 from lumen.functions.roles import column_roles, is_numeric_type, plot_roles
 
@@ -50,6 +53,12 @@ def _text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def _worded(template: str, **parts: Column) -> Column:
+    """A fixed sentence with its {names} replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(parts[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces)))
+
+
 def _inline(row_df: DataFrame, structs: list[Column]) -> DataFrame:
     if not structs:
         return row_df.sparkSession.createDataFrame([], "c string").limit(0)
@@ -290,50 +299,24 @@ def column_summary(df: DataFrame, approx: bool = False) -> DataFrame:
 
 # --------------------------------------------------------------------- P14 / P15
 
-def _pairs(cols: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-
-
-def correlation_values(df: DataFrame, cols: list[str], chunk: int = 64, diagonal: bool = True) -> dict:
-    """Unrounded pairwise-complete r for every pair i<j (and each diagonal),
-    in one aggregate per ``chunk`` pairs (keeps generated code small)."""
-    xs = {c: _num(df, c) for c in cols}
-    jobs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
-    out = {}
-    for s in range(0, len(jobs), chunk):
-        part = jobs[s:s + chunk]
-        row = df.agg(*[safe_corr(xs[cols[i]], xs[cols[j]]).alias(f"r{k}")
-                       for k, (i, j) in enumerate(part)]).collect()[0]
-        for k, (i, j) in enumerate(part):
-            out[(i, j)] = row[f"r{k}"]
-    return out
-
-
-PAIRS_PER_AGG = 64
-
+def correlation_frame(df: DataFrame, cols: list[str], diagonal: bool = True) -> DataFrame:
+    """(i, j, col_a, col_b, r) for pairs i<=j as a relation (no collect):
+    pairwise-complete r (R4) of all pairs from one scan; null where fewer than
+    two complete rows exist or a side is constant over them."""
+    names = F.array(*(F.lit(c) for c in cols))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1)))
+    pairs = df.sparkSession.range(1).select(every.alias("i")).select("i", every.alias("j"))
+    pairs = pairs.where("i <= j" if diagonal else "i < j")
+    found = pair_correlations(df, [_num(df, c) for c in cols])
+    # Pairs without a complete row have a place too: one row for each pair.
+    return pairs.join(found, ["i", "j"], "left").select(
+        "i", "j", F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "r")
 
-def correlation_frame(df: DataFrame, cols: list[str], chunk: int = PAIRS_PER_AGG,
-                      diagonal: bool = True) -> DataFrame:
-    """(i, j, col_a, col_b, r) for pairs i<=j as a relation (no collect).
 
-    Pairs are split into aggregates of at most ``chunk`` pairs (each pair is
-    seven aggregate functions), so generated code and aggregation buffers
-    stay small however wide the table is; the chunks are unioned."""
-    xs = {c: _num(df, c) for c in cols}
-    jobs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
-    parts = []
-    for s in range(0, len(jobs), chunk):
-        part = jobs[s:s + chunk]
-        row = df.agg(*[safe_corr(xs[cols[i]], xs[cols[j]]).alias(f"r{k}")
-                       for k, (i, j) in enumerate(part)])
-        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                            F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(part)]
-        parts.append(_inline(row, structs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def correlation_values(df: DataFrame, cols: list[str], diagonal: bool = True) -> dict:
+    """Unrounded r of ``correlation_frame`` by (i, j), on the driver: one number
+    for each pair of columns."""
+    return {(r["i"], r["j"]): r["r"] for r in correlation_frame(df, cols, diagonal).collect()}
 
 
 def correlation_matrix(df: DataFrame, include: list[str] | None = None) -> DataFrame:
@@ -376,26 +359,21 @@ def insights(df: DataFrame) -> DataFrame:
         f = categorical_facts(df)
         parts.append(f.select(
             F.col("position").alias("seq"),
-            F.format_string(CATEGORICAL_SENTENCE.replace("{col}", "%s").replace("{n}", "%d")
-                            .replace("{mode}", "%s"), "column", "unique_count", "mode")
-            .alias("sentence")))
+            _worded(CATEGORICAL_SENTENCE, col=F.col("column"), n=F.col("unique_count"), mode=F.col("mode")).alias("sentence")))
     if roles.numeric:
         r = numeric_ranges(df)
         parts.append(r.select(
             (F.col("position") + ncat).alias("seq"),
-            F.concat(F.lit("For '"), F.col("column"), F.lit("': values range from "),
-                     fmt2(F.col("min")), F.lit(" to "), fmt2(F.col("max")),
-                     F.lit(" (Average: "), fmt2(F.col("avg")), F.lit(").")).alias("sentence")))
+            _worded(NUMERIC_SENTENCE, col=F.col("column"), min=fmt2(F.col("min")), max=fmt2(F.col("max")),
+                    avg=fmt2(F.col("avg"))).alias("sentence")))
     if len(roles.numeric) >= 2:
         base = ncat + len(roles.numeric)
         n = len(roles.numeric)
         c = correlation_insights(df)
         parts.append(c.select(
             (F.lit(base) + F.col("i") * n + F.col("j")).alias("seq"),
-            F.concat(F.lit("Detected a "), F.col("strength"), F.lit(" "), F.col("direction"),
-                     F.lit(" relationship ("), F.format_string("%.2f", round_dp("r", 2)),
-                     F.lit(") between '"), F.col("col_a"), F.lit("' and '"), F.col("col_b"),
-                     F.lit("'.")).alias("sentence")))
+            _worded(CORRELATION_SENTENCE, strength=F.col("strength"), direction=F.col("direction"),
+                    r=F.format_string("%.2f", round_dp("r", 2)), a=F.col("col_a"), b=F.col("col_b")).alias("sentence")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -416,36 +394,29 @@ def chart_recommendations(df: DataFrame) -> DataFrame:
         f = categorical_facts(df).where(F.col("unique_count") <= FEW_CATEGORIES)
         bar = f.select((F.col("position") * 2).alias("seq"), F.lit("bar").alias("type"),
                        F.col("column").alias("columns"),
-                       F.concat(F.lit(REASON_BAR.split("{col}")[0]), F.col("column"),
-                                F.lit(REASON_BAR.split("{col}")[1])).alias("reason"))
+                       _worded(REASON_BAR, col=F.col("column")).alias("reason"))
         pie = f.select((F.col("position") * 2 + 1).alias("seq"), F.lit("pie").alias("type"),
                        F.col("column").alias("columns"),
-                       F.concat(F.lit(REASON_PIE.split("{col}")[0]), F.col("column"),
-                                F.lit(REASON_PIE.split("{col}")[1])).alias("reason"))
+                       _worded(REASON_PIE, col=F.col("column")).alias("reason"))
         parts += [bar, pie]
     base = 2 * ncat
     if roles.numeric:
         r = numeric_ranges(df)
         parts.append(r.select((F.col("position") + base).alias("seq"),
                               F.lit("histogram").alias("type"), F.col("column").alias("columns"),
-                              F.concat(F.lit(REASON_HISTOGRAM.split("{col}")[0]), F.col("column"),
-                                       F.lit(REASON_HISTOGRAM.split("{col}")[1])).alias("reason")))
+                              _worded(REASON_HISTOGRAM, col=F.col("column")).alias("reason")))
     base += len(roles.numeric)
     n = len(roles.numeric)
     if n >= 2:
         c = correlation_insights(df)
-        a, rest = REASON_SCATTER.split("{a}")
-        mid, end = rest.split("{b}")
         parts.append(c.select((F.lit(base) + F.col("i") * n + F.col("j")).alias("seq"),
                               F.lit("scatter").alias("type"),
                               F.concat_ws(",", "col_a", "col_b").alias("columns"),
-                              F.concat(F.lit(a), F.col("col_a"), F.lit(mid), F.col("col_b"),
-                                       F.lit(end)).alias("reason")))
+                              _worded(REASON_SCATTER, a=F.col("col_a"), b=F.col("col_b")).alias("reason")))
     base += n * n
     if roles.temporal:
-        head, tail = REASON_LINE.split("{col}")
         parts.append(spark.createDataFrame(
-            [(base + k, "line", t, head + t + tail) for k, t in enumerate(roles.temporal)],
+            [(base + k, "line", t, REASON_LINE.format(col=t)) for k, t in enumerate(roles.temporal)],
             schema))
     if not parts:
         return spark.createDataFrame([], schema)
