@@ -2,163 +2,156 @@
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column in
 the one task that finishes a global aggregate; on a large column that task
-holds every distinct value. Instead we find the k-th smallest value by
-histogram refinement:
-
-1. one job: per series count/min/max (already known to most callers);
-2. one job per round: for every unresolved interval, a histogram (``bins``
-   buckets) of the rows inside it, with each bucket's count, min and max.
-   Buckets are of equal width, or of equal ratio where the values span many
-   orders of magnitude, so that a few rounds are enough for any doubles. They
-   are monotone in the value, so the bucket that holds rank k is found by a
-   running count on the driver (``bins`` x intervals rows, a bounded result)
-   and becomes the next interval [bucket min, bucket max];
-3. once an interval holds at most ``final_rows`` rows its values are sorted
-   inside one task (bounded by ``final_rows``) and the k-th is read off.
-
-A bucket whose min equals its max resolves at once, so a hot value holding a
-third of the rows costs nothing extra. Interpolation follows pandas/numpy
+holds every distinct value. Instead the k-th smallest value is found in two
+scans (three where the caller has counted already):
+
+1. one aggregate gives count, min, max and a mergeable sketch of each series,
+   combined in two steps, so that no task merges the sketches of all others.
+   The sketch brackets every wanted rank by two values of the series;
+2. one pass groups the rows: those inside a bracket by value, those between
+   brackets by the gap they lie in. The gaps' counts say which rank a
+   bracket's first row has, and running counts of its values lead to the
+   wanted one. Values of a bracket are sorted by one task where they are few,
+   else by ranges over all tasks.
+
+A sketch errs with a small probability. The exact counts show that, and the gap
+that does hold the rank is the bracket of another round, so results are always
+exact. A hot value is one row a task. Interpolation follows pandas/numpy
 ``linear``: h=(n-1)p, q = v[floor h] + (v[floor h + 1] - v[floor h]) * frac.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumen.functions.ranks import sums_before
+from lumen.session import written
 
-# From this ratio of an interval's ends on, buckets are of equal ratio.
-WIDE_RATIO = 1e6
+# Groups of tasks whose sketches are merged before all are.
+MERGERS = 64
 
 
-@dataclass
-class _Target:
-    series: int
-    rank: int            # 0-based rank among the series' non-null values
-    lo: float
-    hi: float
-    below: int           # rows of the series with value < lo
-    count: int           # rows of the series with lo <= value <= hi
-    value: float | None = None
-    rounds: int = 0
+def _margin(size: int) -> float:
+    """What a sketch of this size may be off, in shares of the rows, with room."""
+    return min(0.5, 4 * size ** -0.9)
 
 
-def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
-                     stats: list[tuple[int, float | None, float | None]],
-                     ranks: list[list[int]], *, bins: int = 1024,
-                     final_rows: int = 50_000) -> list[dict[int, float]]:
-    """k-th smallest values of several series in a few passes.
+def column_stats(df: DataFrame, exprs: list[Column]) -> list[tuple[int, float | None, float | None]]:
+    """(count, min, max) of several double expressions in one job."""
+    return [s[:3] for s in _sketched(df, exprs, [], 0)]
 
-    series: (double value expression, optional row condition) per series.
-    stats:  (non-null count, min, max) per series.
-    ranks:  0-based ranks wanted per series.
-    """
-    targets: list[_Target] = []
-    for s, (n, mn, mx) in enumerate(stats):
-        for r in sorted(set(ranks[s])):
-            if n == 0 or r < 0 or r >= n:
-                continue
-            t = _Target(s, r, mn, mx, 0, n)
-            if mn == mx:
-                t.value = mn
-            targets.append(t)
-
-    # Each round leaves at most about a 1,000th of an interval's width or log
-    # width, so that the 64 bits of a double are through after a few.
-    while pending := [t for t in targets if t.value is None]:
-        # Targets sharing an interval share the scan.
-        groups: dict[tuple, list[_Target]] = {}
-        for t in pending:
-            groups.setdefault((t.series, t.lo, t.hi), []).append(t)
-        wide = {k: g for k, g in groups.items() if g[0].count > final_rows}
-        small = {k: g for k, g in groups.items() if g[0].count <= final_rows}
-        if wide:
-            _histogram_round(df, series, wide, bins)
-        if small:
-            _final_round(df, series, small)
-    out: list[dict[int, float]] = [dict() for _ in series]
-    for t in targets:
-        out[t.series][t.rank] = t.value
+
+def _sketched(df: DataFrame, exprs: list[Column], shares: list[float], size: int) -> list[tuple]:
+    """(count, min, max, values at the shares by a sketch) in one job."""
+    if not exprs:
+        return []
+    first, then, out = [], [], []
+    for i, e in enumerate(exprs):
+        first += [F.count(e).alias(f"n{i}"), F.min(e).alias(f"a{i}"), F.max(e).alias(f"b{i}")]
+        then += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"a{i}").alias(f"a{i}"), F.max(f"b{i}").alias(f"b{i}")]
+        if shares:
+            first.append(F.kll_sketch_agg_double(e, F.lit(size)).alias(f"s{i}"))
+            then.append(F.kll_merge_agg_double(f"s{i}", F.lit(size)).alias(f"s{i}"))
+            at = F.kll_sketch_get_quantile_double(f"s{i}", F.array(*(F.lit(float(p)) for p in shares)))
+            out.append(F.when(F.col(f"n{i}") > 0, at).alias(f"q{i}"))
+    if not shares:
+        row = df.agg(*first).collect()[0]
+    else:
+        merged = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("part")).agg(*first).agg(*then)
+        row = merged.select(*(c for c in merged.columns if c[0] != "s"), *out).collect()[0]
+    return [(row[f"n{i}"] or 0, row[f"a{i}"], row[f"b{i}"], row[f"q{i}"] if shares else None) for i in range(len(exprs))]
+
+
+def _pieces(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets of one series in order, those that overlap as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(set(brackets)):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
     return out
 
 
-def _rows_in(df: DataFrame, series, keyed: dict, extra) -> DataFrame:
+def _grouped(df: DataFrame, series: list[tuple[Column, Column | None]], pieces: dict[int, list]) -> DataFrame:
+    """(s, m, x, n): rows of series s with value x inside its m-th bracket; x is
+    null for those below that bracket and above the one before."""
     structs = []
-    for j, ((s, lo, hi), _) in enumerate(keyed.items()):
+    for s, brackets in pieces.items():
         value, cond = series[s]
-        keep = value.isNotNull() & (value >= F.lit(lo)) & (value <= F.lit(hi))
-        if cond is not None:
-            keep = keep & cond
-        structs.append(F.when(keep, F.struct(F.lit(j).alias("j"), extra(value, lo, hi).alias("b"),
-                                             value.alias("x"))))
-    return df.select(F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
-
-
-def _histogram_round(df: DataFrame, series, wide: dict, bins: int) -> None:
-    """One pass: equal-width buckets inside every wide interval (plain hash
-    aggregate of count/min/max); each target moves into its bucket."""
-    split = {(lo, hi) for (_, lo, hi), g in wide.items() if g[0].rounds}
-
-    def bucket(value, lo, hi):
-        if lo <= 0 <= hi and ((lo, hi) in split or hi - lo == float("inf")):
-            return F.signum(value).cast("int")  # values of one sign have a ratio
-        low, high = (lo, hi) if lo >= 0 else (-hi, -lo)
-        if low > 0 and high / low > WIDE_RATIO:
-            part = (F.log(F.abs(value)) - F.lit(math.log(low))) / F.lit(math.log(high) - math.log(low))
-            part = part if lo > 0 else 1 - part
-        else:
-            part = (value - F.lit(lo)) / F.lit(hi - lo)
-        return F.greatest(F.least(F.floor(part * F.lit(bins)), F.lit(bins - 1)), F.lit(0)).cast("int")
-    rows = (_rows_in(df, series, wide, bucket).groupBy("j", "b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-            .collect())
-    by_j: dict[int, list] = {}
-    for row in rows:
-        by_j.setdefault(row["j"], []).append(row)
-    for j, (_, group) in enumerate(wide.items()):
-        buckets = sorted(by_j.get(j, []), key=lambda r: r["b"])
-        for t in group:
-            rel, cum = t.rank - t.below, 0
-            for row in buckets:
-                if cum + row["n"] > rel:
-                    t.below += cum
-                    t.lo, t.hi, t.count, t.rounds = row["mn"], row["mx"], row["n"], t.rounds + 1
-                    if row["mn"] == row["mx"]:
-                        t.value = row["mn"]
-                    break
-                cum += row["n"]
-
-
-def _final_round(df: DataFrame, series, small: dict) -> None:
-    """One pass: the (at most ``final_rows``) values of each small interval
-    are sorted inside one task and only the wanted positions come back."""
-    pos_map = []
-    for j, (_, group) in enumerate(small.items()):
-        rel = sorted({t.rank - t.below for t in group})
-        pos_map += [F.lit(j), F.array(*[F.lit(p) for p in rel])]
-    pos = F.element_at(F.create_map(*pos_map), F.col("j"))
-    rows = (_rows_in(df, series, small, lambda v, lo, hi: F.lit(0)).groupBy("j")
-            .agg(F.sort_array(F.collect_list("x")).alias("s"))
-            .select("j", pos.alias("p"), F.transform(pos, lambda p: F.element_at(F.col("s"), p + 1)).alias("v"))
-            .collect())
-    got = {row["j"]: dict(zip(row["p"], row["v"])) for row in rows}
-    for j, (_, group) in enumerate(small.items()):
-        for t in group:
-            t.value = got[j][t.rank - t.below]
+        e = None
+        for m, (lo, hi) in enumerate(brackets):
+            below = F.struct(F.lit(s).alias("s"), F.lit(m).alias("m"), F.lit(None).cast("double").alias("x"))
+            inside = F.struct(F.lit(s).alias("s"), F.lit(m).alias("m"), value.alias("x"))
+            e = (F if e is None else e).when(value < F.lit(lo), below).when(value <= F.lit(hi), inside)
+        structs.append(e if cond is None else F.when(cond, e))
+    rows = df.select(F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+    return rows.groupBy("s", "m", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_stats(df: DataFrame, exprs: list[Column]) -> list[tuple[int, float | None, float | None]]:
-    """(count, min, max) of several double expressions in one job."""
-    if not exprs:
-        return []
-    aggs = []
-    for i, e in enumerate(exprs):
-        aggs += [F.count(e).alias(f"n{i}"), F.min(e).alias(f"a{i}"), F.max(e).alias(f"b{i}")]
-    row = df.agg(*aggs).collect()[0]
-    return [(row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i in range(len(exprs))]
+def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
+                     brackets: list[dict[int, tuple[float, float]]], final_rows: int) -> list[dict[int, float]]:
+    """Values of the wanted ranks (0-based, nulls left out) of several series.
+
+    series: (double value expression, optional row condition) per series.
+    brackets: per series, for each wanted rank the values it should lie between.
+    """
+    found: list[dict[int, float]] = [dict() for _ in series]
+    todo = {(s, r): b for s, ranks in enumerate(brackets) for r, b in ranks.items()}
+    while todo:
+        pieces = {s: _pieces([b for (t, _), b in todo.items() if t == s]) for s in {s for s, _ in todo}}
+        grouped = written(df.sparkSession, _grouped(df, series, pieces), "brackets")
+        sizes = {(g["s"], g["m"]): g for g in grouped.groupBy("s", "m").agg(
+            F.sum(F.when(F.col("x").isNull(), F.col("n"))).alias("gap"), F.sum(F.when(F.col("x").isNotNull(), F.col("n"))).alias("rows"),
+            F.count("x").alias("values")).collect()}
+        places: dict[tuple[int, int], list[int]] = {}
+        again = {}
+        for (s, r) in todo:
+            before = 0
+            for m, (lo, hi) in enumerate(pieces[s]):
+                g = sizes.get((s, m))
+                gap, rows = (g["gap"] or 0, g["rows"] or 0) if g else (0, 0)
+                if r < before + gap:  # the sketch was off: the rank is in this gap
+                    again[s, r] = (pieces[s][m - 1][1] if m else -float("inf"), lo)
+                    break
+                before += gap
+                if r < before + rows:
+                    places.setdefault((s, m), []).append(r - before)
+                    todo[s, r] = (s, m, r - before)
+                    break
+                before += rows
+            else:
+                again[s, r] = (pieces[s][-1][1], float("inf"))
+        if places:
+            got = _picked(grouped, places, max(g["values"] for g in sizes.values()) > final_rows)
+            for (s, r), at in todo.items():
+                if (s, r) not in again:
+                    found[s][r] = got[at]
+        todo = again
+    return found
+
+
+def _picked(grouped: DataFrame, places: dict[tuple[int, int], list[int]], many: bool) -> dict[tuple[int, int, int], float]:
+    """The values at places (counting rows) of brackets (s, m)."""
+    values = grouped.where(F.col("x").isNotNull())
+    if many:
+        ranked = sums_before(values, ["s", "m"], ["x"], ["n"])
+    else:
+        before = Window.partitionBy("s", "m").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = values.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = reduce(or_, ((F.col("s") == s) & (F.col("m") == m) & (F.col("n_before") <= p) & (p < F.col("n_before") + F.col("n"))
+                          for (s, m), ps in places.items() for p in sorted(set(ps))))
+    out = {}
+    for r in ranked.where(wanted).collect():  # one row for each wanted place at most
+        for p in places[r["s"], r["m"]]:
+            if r["n_before"] <= p < r["n_before"] + r["n"]:
+                out[r["s"], r["m"], p] = r["x"]
+    return out
 
 
 def _interpolate(n: int, p: float, vals: dict[int, float]) -> float | None:
@@ -171,40 +164,49 @@ def _interpolate(n: int, p: float, vals: dict[int, float]) -> float | None:
     return a + (b - a) * (h - lo)
 
 
-def quantile_ranks(n: int, probs: list[float]) -> list[int]:
-    out = []
-    for p in probs:
-        if n == 0:
-            continue
-        h = (n - 1) * p
-        lo = int(math.floor(h))
-        out += [lo, min(lo + 1, n - 1)]
-    return out
-
-
 def exact_quantiles(df: DataFrame, exprs: list[Column], probs: list[float], *,
                     stats: list[tuple] | None = None, conds: list[Column | None] | None = None,
-                    approx: bool = False, **kw) -> list[list[float | None]]:
+                    approx: bool = False, bins: int = 1024, final_rows: int = 50_000) -> list[list[float | None]]:
     """Linear-interpolated quantiles of each double expression (nulls skipped).
 
     ``approx=True`` trades exactness for one pass (``percentile_approx``).
+    bins: size of the sketch; final_rows: values of a bracket that one task
+    may sort; stats: (count, min, max) where the caller knows them.
     """
     if not exprs:
         return []
     conds = conds or [None] * len(exprs)
+    values = [F.when(c, e) if c is not None else e for e, c in zip(exprs, conds)]
     if approx:
-        aggs = [F.percentile_approx(F.when(c, e) if c is not None else e,
-                                    list(probs), 10000).alias(f"q{i}")
-                for i, (e, c) in enumerate(zip(exprs, conds))]
-        row = df.agg(*aggs).collect()[0]
+        row = df.agg(*[F.percentile_approx(v, list(probs), 10000).alias(f"q{i}") for i, v in enumerate(values)]).collect()[0]
         return [list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i in range(len(exprs))]
-    if stats is None:
-        stats = column_stats(df, [F.when(c, e) if c is not None else e
-                                  for e, c in zip(exprs, conds)])
-    ranks = [quantile_ranks(n, probs) for (n, _, _) in stats]
-    found = order_statistics(df, list(zip(exprs, conds)), stats, ranks, **kw)
-    return [[_interpolate(stats[i][0], p, found[i]) for p in probs] for i in range(len(exprs))]
+    size = max(8, bins)
+    ends = [e for p in probs for e in (p - _margin(size), p + _margin(size))]
+    shares = sorted({min(1.0, max(0.0, e)) for e in ends})
+    # A series that one task may sort needs no sketch.
+    if stats is None or any(n > final_rows for n, _, _ in stats):
+        sketched = _sketched(df, values, shares, size)
+    else:
+        sketched = [(*s, None) for s in stats]
+    brackets: list[dict] = []
+    for n, least, most, at in sketched:
+        ranks: dict[int, tuple[float, float]] = {}
+        known = dict(zip(shares, at)) if at else {}
+        for p in probs if n else []:
+            lo = known[p - _margin(size)] if n > final_rows and p - _margin(size) > 0 else least
+            hi = known[p + _margin(size)] if n > final_rows and p + _margin(size) < 1 else most
+            low = int(math.floor((n - 1) * p))
+            for r in {low, min(low + 1, n - 1)}:
+                ranks[r] = (min(lo, ranks[r][0]), max(hi, ranks[r][1])) if r in ranks else (lo, hi)
+        brackets.append(ranks)
+    found: list[dict] = [dict() for _ in exprs]
+    for s, (n, least, most, _) in enumerate(sketched):
+        if n and least == most:
+            found[s], brackets[s] = {r: least for r in brackets[s]}, {}
+    for s, more in enumerate(order_statistics(df, list(zip(exprs, conds)), brackets, final_rows)):
+        found[s].update(more)
+    return [[_interpolate(n, p, found[i]) for p in probs] for i, (n, _, _, _) in enumerate(sketched)]
 
 
 def proving_rsd(cap: int) -> float:

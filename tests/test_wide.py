@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumen.functions import quantiles as Q
 from lumen.functions.gram import pair_correlations
+from lumen.functions.quantiles import exact_quantiles
 from lumen.operators import profile as P
 
 
@@ -61,3 +63,49 @@ def test_correlations_of_empty_and_tiny_tables(spark):
     two = spark.createDataFrame([(1.0, 5.0), (2.0, 4.0), (None, 3.0), (float("inf"), 9.0)], "a double, b double")
     assert {(r.col_a, r.col_b): r.r for r in P.correlation_matrix(two).collect()}["a", "b"] == -1.0
     assert pair_correlations(two.select("a"), [F.col("a")]).count() == 1
+
+
+def scans_of(spark, df, fn):
+    """fn(df), and how often the rows of df were produced."""
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+    rows = df.count()
+    out = fn(df.mapInArrow(counted, df.schema))
+    return out, n.value / rows
+
+
+@pytest.mark.parametrize(("final", "size"), [(50_000, 1024), (100, 1024), (100, 8), (20, 64)])
+def test_quantiles_take_three_scans_at_most(spark, final, size):
+    rng = np.random.default_rng(size)
+    pdf = pd.DataFrame({"a": rng.normal(size=8000), "b": np.exp(rng.normal(size=8000) * 40), "c": np.repeat(7.5, 8000),
+                        "d": np.where(rng.random(8000) < 0.4, 1.0, rng.random(8000)), "e": np.full(8000, np.nan)})
+    pdf.loc[::7, "a"] = np.nan
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    df = spark.createDataFrame(pdf).repartition(6)
+    got, scans = scans_of(spark, df, lambda d: exact_quantiles(
+        d, [F.when(~F.isnan(c), F.col(c)) for c in pdf.columns], probs, bins=size, final_rows=final))
+    for name, qs in zip(pdf.columns, got):
+        x = pdf[name].dropna()
+        assert qs == ([None] * len(probs) if x.empty else pytest.approx([x.quantile(p) for p in probs], rel=1e-9))
+    assert scans <= 3
+
+
+def test_quantiles_stay_exact_if_a_sketch_errs(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_margin", lambda size: 1e-6)  # brackets that hardly ever hold the rank
+    x = np.random.default_rng(3).normal(size=5000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = exact_quantiles(df, [F.col("x")], [0.1, 0.5, 0.9], bins=8, final_rows=10)[0]
+    assert got == pytest.approx([np.quantile(x, p) for p in (0.1, 0.5, 0.9)], rel=1e-12)
+
+
+def test_quantiles_with_conditions_and_known_counts(spark):
+    x = list(range(1000))
+    df = spark.createDataFrame([(float(v), v % 3) for v in x], "x double, k int")
+    cond = [F.col("k") == 0, F.col("k") == 5, None]
+    got = exact_quantiles(df, [F.col("x")] * 3, [0.5], conds=cond, final_rows=50)
+    assert got == [[pd.Series(x[::3]).median()], [None], [499.5]]
+    assert exact_quantiles(df, [F.col("x")], [0.5], stats=[(1000, 0.0, 999.0)]) == [[499.5]]
