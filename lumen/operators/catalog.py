@@ -7,9 +7,15 @@ from sales lines (item, order, quantity, day) and user events.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumen.functions.ranks import sums_before
+from lumen.session import checkpoint_dir, written
+
 # Fixed values from the reference's catalog page.
 TRENDING_N = 12
 SEARCH_N = 12
@@ -76,6 +82,85 @@ def recommendations(lines: DataFrame, targets: DataFrame, n: int = RECOMMEND_N)
             .select("target", F.col("rank").cast("int"), "item", F.col("orders").cast("long")))
 
 
+def _codes(values: DataFrame, name: str) -> DataFrame:
+    """(name, code): whole numbers from 0 in the order of the distinct values."""
+    ones = values.select(name).where(F.col(name).isNotNull()).distinct().withColumn("one", F.lit(1))
+    return written(values.sparkSession, sums_before(ones, [], [name], ["one"]).select(
+        name, F.col("one_before").cast("int").alias(f"{name}_code")), f"codes-{name}")
+
+
+def item_factors(lines: DataFrame, rank: int = 16, iterations: int = 8, reg: float = 0.05, alpha: float = 10.0,
+                 seed: int = 42) -> DataFrame:
+    """G3 at scale: (item, factor), what alternating least squares on (order,
+    item) pairs learns of each item; factors have length 1.
+
+    An order's lines are never joined with each other: the work is linear in
+    the pairs, however long an order is. Ids of any type are coded first;
+    orders and items may each be as many as an int can number. Items of length
+    0 (none with a finite fit) are left out."""
+    spark = lines.sparkSession
+    checkpoint_dir(spark)  # ALS cuts its lineage there
+    pairs = written(spark, lines.where(F.col("ord").isNotNull() & F.col("item").isNotNull()).groupBy("ord", "item").agg(
+        F.count(F.lit(1)).cast("float").alias("bought")), "bought")
+    orders, items = _codes(pairs, "ord"), _codes(pairs, "item")
+    coded = written(spark, pairs.join(orders, "ord").join(items, "item").select("ord_code", "item_code", "bought"), "coded-pairs")
+    if coded.isEmpty():
+        return spark.createDataFrame([], lines.select("item").schema).withColumn("factor", F.array().cast("array<double>"))
+    als = ALS(userCol="ord_code", itemCol="item_code", ratingCol="bought", implicitPrefs=True, rank=rank, maxIter=iterations,
+              regParam=reg, alpha=alpha, seed=seed, checkpointInterval=4)
+    found = als.fit(coded).itemFactors.select(
+        F.col("id").alias("item_code"), F.transform("features", lambda x: x.cast("double")).alias("raw"))
+    size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+    unit = found.withColumn("size", size).where("size > 0").select(
+        "item_code", F.transform("raw", lambda x: x / F.col("size")).alias("factor"))
+    return written(spark, unit.join(items, "item_code").select("item", "factor"), "factors")
+
+
+# Targets whose factors are on the driver, and broadcast, at a time.
+TARGETS_AT_ONCE = 2048
+
+
+def similar_items(factors: DataFrame, targets: DataFrame, n: int = RECOMMEND_N,
+                  at_once: int = TARGETS_AT_ONCE) -> DataFrame:
+    """(target, rank, item, similarity): for each target the n other items whose
+    factors are nearest by cosine, ties by item.
+
+    Blocks of targets stream past all factors; a task returns n rows for each
+    target and Arrow batch, which are ranked per target."""
+    spark = factors.sparkSession
+    ones = targets.select("item").distinct().join(factors, "item").withColumn("one", F.lit(1))
+    queries = written(spark, sums_before(ones, [], ["item"], ["one"]).select(
+        "item", "factor", F.floor(F.col("one_before") / at_once).cast("int").alias("block")), "targets")
+    kind = factors.schema["item"].dataType.simpleString()
+    blocks = queries.agg(F.max("block")).first()[0]
+    w = Window.partitionBy("target").orderBy(F.desc("similarity"), F.asc("item"))
+    out = None
+    for b in range(0 if blocks is None else blocks + 1):
+        rows = queries.where(F.col("block") == b).select("item", "factor").collect()  # at_once at most
+        shared = spark.sparkContext.broadcast(([r["item"] for r in rows], np.array([r["factor"] for r in rows])))
+
+        def nearest(batches, shared=shared):
+            names, wanted = shared.value
+            for batch in batches:
+                items = batch["item"].to_numpy()
+                order = np.argsort(items, kind="stable")
+                items, have = items[order], np.stack(batch["factor"].to_numpy()[order])
+                scores = np.round(wanted @ have.T, 12)
+                # A target is not its own neighbour, so one more is kept.
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :n + 1]
+                for row, (t, at) in enumerate(zip(names, best, strict=True)):
+                    at = at[items[at] != t][:n]
+                    yield pd.DataFrame({"target": [t] * len(at), "item": items[at], "similarity": scores[row, at]})
+
+        found = factors.mapInPandas(nearest, f"target {kind}, item {kind}, similarity double")
+        found = written(spark, found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n), "similar")
+        shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"target {kind}, rank int, item {kind}, similarity double")
+    return out.select("target", F.col("rank").cast("int"), "item", "similarity")
+
+
 def _event_key() -> Column:
     return F.struct(F.col("ts").alias("ts"), F.col("id").alias("id"))
 

@@ -150,6 +150,17 @@ def best_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sold.join(items, "item").groupBy("p_brand").agg(first.alias("first")).select("first.item")
 
 
+TWINS_OF = 10
+
+
+def lines_with_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sales_lines where every TWINS_OF-th item has a twin, its negative key,
+    in all of its orders."""
+    lines = sales_lines(spark, sf_dir).select("item", "ord")
+    twins = lines.where((F.col("item") > 0) & (F.col("item") % TWINS_OF == 0))
+    return lines.unionAll(twins.select((-F.col("item")).alias("item"), "ord"))
+
+
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as catalog actions: click toggles, error removes, view rates."""
     e = table(spark, sf_dir, "events")

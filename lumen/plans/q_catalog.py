@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lumen.operators import catalog as G
 from lumen.operators import exposure as X
 from lumen.operators import search as N
@@ -54,6 +56,20 @@ SELECT target, CAST(rank AS INTEGER) AS rank, item, CAST(orders AS BIGINT) AS or
 WHERE rank <= 6""")(
     lambda spark, d: G.recommendations(I.sales_lines(spark, d), I.best_sellers(spark, d)))
 
+
+def _twins(spark, d):
+    lines = I.lines_with_twins(spark, d)
+    twins = lines.where(F.col("item") < 0).select("item").distinct()
+    found = G.similar_items(G.item_factors(lines), twins, n=1)
+    return found.select(F.col("target").alias("twin"), "rank", "item")
+
+
+# Items that are always bought together have the same factor, so each twin's
+# nearest item is the one it was made from.
+register("similar_items", f"""
+SELECT DISTINCT -l_partkey AS twin, CAST(1 AS INTEGER) AS rank, l_partkey AS item
+FROM lineitem WHERE l_partkey > 0 AND l_partkey % {I.TWINS_OF} = 0""")(_twins)
+
 register("watchlist", USER_EVENTS + """
 SELECT user_id, item_id, CAST(count(*) AS BIGINT) AS toggles
 FROM ue t
