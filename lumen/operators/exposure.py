@@ -32,10 +32,11 @@ def hash_corpus(df: DataFrame, c: str) -> DataFrame:
 
 
 def write_hash_corpus(corpus: DataFrame, path: str) -> None:
-    """Persist the range table partitioned by the first two hex digits, so a
-    lookup for a few secrets reads a few directories (partition pruning)."""
-    (corpus.withColumn("p2", F.substring("prefix", 1, 2))
-     .hint("rebalance", "p2").write.mode("overwrite").partitionBy("p2").parquet(path))
+    """Persist the range table partitioned by the first two hex digits and
+    sorted by prefix, so that a lookup for a few secrets reads a few
+    directories and, in their files, a few row groups."""
+    (corpus.withColumn("p2", F.substring("prefix", 1, 2)).hint("rebalance", "p2")
+     .sortWithinPartitions("p2", "prefix").write.mode("overwrite").partitionBy("p2").parquet(path))
 
 
 def read_hash_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -44,22 +45,37 @@ def read_hash_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("prefix string, suffix string, count long, p2 string").parquet(path)
 
 
+# Prefixes that go into the scan of the range table as literals.
+PUSHED_PREFIXES = 1000
+
+
+def _asked_ranges(keyed: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The part of a partitioned range table that the secrets can hit: the
+    directories of their first two digits (256 at most), and within them the
+    ranges of their prefixes where these are few.
+
+    A join does not do this: Spark prunes partitions at run time for a side it
+    broadcasts, and of a left join it can only broadcast the range table."""
+    few = [r["prefix"] for r in keyed.select("prefix").distinct().limit(PUSHED_PREFIXES + 1).collect() if r["prefix"]]
+    if len(few) <= PUSHED_PREFIXES:
+        return corpus.where(F.col("p2").isin(sorted({p[:2] for p in few})) & F.col("prefix").isin(sorted(few)))
+    digits = [r["p2"] for r in keyed.select(F.substring("prefix", 1, 2).alias("p2")).distinct().collect() if r["p2"]]
+    return corpus.where(F.col("p2").isin(sorted(digits)))
+
+
 def secret_exposure(secrets: DataFrame, corpus: DataFrame, c: str = "secret") -> DataFrame:
-    """Breached flag and count per secret; an empty or null secret is an error."""
+    """Breached flag and count per secret; an empty or null secret is an
+    error. Of a range table written by ``write_hash_corpus`` only the ranges
+    of the secrets are read."""
     s = F.col(c)
     h = sha1_upper(s)
     keyed = secrets.select(
         F.when(s.isNull() | (s == ""), F.raise_error(F.lit("Password cannot be empty"))).otherwise(s).alias(c),
         F.substring(h, 1, PREFIX_LEN).alias("prefix"),
         F.substring(h, PREFIX_LEN + 1, SUFFIX_LEN).alias("suffix"))
-    keys = ["prefix", "suffix"]
     if "p2" in corpus.columns:
-        # A range table written by write_hash_corpus: joining on its partition
-        # column lets dynamic partition pruning skip directories whenever the
-        # secret side is filtered (Spark only prunes behind a selective side).
-        keyed = keyed.withColumn("p2", F.substring("prefix", 1, 2))
-        keys.append("p2")
-    hit = keyed.join(corpus, keys, "left")
+        corpus = _asked_ranges(keyed, corpus).drop("p2")
+    hit = keyed.join(corpus, ["prefix", "suffix"], "left")
     n = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     return hit.select(c, (n > 0).alias("breached"), n.alias("count"))
 

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.exprs import NUMBER_PATTERN, col, finite
-from lumen.functions.quantiles import exact_quantiles
+from lumen.functions.exprs import FLOAT_TYPES, NUMBER_PATTERN, col, finite
+from lumen.functions.quantiles import distinct_upto, exact_quantiles
 from lumen.functions.ranks import roc_auc, sums_before
 from lumen.functions.roles import feature_columns, is_numeric_type
 from lumen.operators.profile import value_counts
@@ -36,6 +36,7 @@ CHURN_DEPTH = 10
 SERVICE_DEPTH = 10          # the reference grows trees without a depth limit; Spark needs one
 TEST_SHARE = 0.2
 SMALL_TEST_SHARE = 0.4      # library rule for tables of at most 10 rows
+DISTINCT_CAP = 11           # more than the service rule's classes
 SERVICE_CLASS_MAX = 10      # service rule: <= 10 distinct target values is classification
 MISSING_CATEGORY = "nan"    # R7: missing text gets its own code instead of dropping the row
 HASH_BUCKETS = 2 ** 16      # of the hash space, for the ranks of the stratified split
@@ -48,30 +49,33 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 
 # --------------------------------------------------------------------- M1
 
-def detect_task(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def detect_task(df: DataFrame, columns: list[str] | None = None, upto: int | None = None) -> DataFrame:
     """M1 for every candidate target: (column, n_distinct, library_task,
     service_task). Library: numeric with > 2 distinct values is regression.
     Service: text or <= 10 distinct values is classification. Nulls are
-    dropped first; distinct counts come from one grouped count."""
+    dropped first. Exact distinct counts come from one grouped count; ``upto``
+    stops them there (DISTINCT_CAP is all the rules ask), and then only columns
+    with few values are grouped at all."""
     types = _types(df)
     cols = columns or [c for c in df.columns if c in types]
-    vc = value_counts(df, cols).groupBy("position", "column").agg(F.count(F.lit(1)).alias("d"))
-    meta = df.sparkSession.createDataFrame(
-        [(i, c, is_numeric_type(types[c]), isinstance(types[c], T.StringType)) for i, c in enumerate(cols)],
-        "position int, column string, numeric boolean, text boolean")
-    d = F.coalesce(F.col("d"), F.lit(0))
-    return (F.broadcast(meta).join(vc, ["position", "column"], "left")
-            .select("column", d.cast("long").alias("n_distinct"),
-                    F.when(F.col("numeric") & (d > 2), "regression").otherwise("classification")
-                    .alias("library_task"),
-                    F.when(F.col("text") | (d <= SERVICE_CLASS_MAX), "classification")
-                    .otherwise("regression").alias("service_task")))
+    if upto is None:
+        found = {r["column"]: r["d"] for r in value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        counts = [found.get(c, 0) for c in cols]
+    else:
+        values = [(finite(col(c)) + 0.0 if isinstance(types[c], FLOAT_TYPES) else col(c)).cast("string") for c in cols]
+        counts = distinct_upto(df, values, upto)
+    rows = []
+    for c, d in zip(cols, counts):
+        library = "regression" if is_numeric_type(types[c]) and d > 2 else "classification"
+        service = "classification" if isinstance(types[c], T.StringType) or d <= SERVICE_CLASS_MAX else "regression"
+        rows.append((c, d, library, service))
+    return df.sparkSession.createDataFrame(rows, "column string, n_distinct long, library_task string, service_task string")
 
 
 def task_for(df: DataFrame, target: str, rule: str = "service") -> str:
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found.")
-    row = detect_task(df, [target]).collect()[0]
+    row = detect_task(df, [target], upto=DISTINCT_CAP).collect()[0]
     return row["service_task"] if rule == "service" else row["library_task"]
 
 

@@ -7,7 +7,7 @@ produce come back as scalars and feed text as literals, never as a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.exprs import col, round_dp
@@ -18,6 +18,8 @@ from lumen.functions.quantiles import column_stats, exact_quantiles
 TIERS = ("Low Risk", "Medium Risk", "High Risk")
 HIGH = TIERS[2]
 REVENUE_PER_ACCOUNT = 450
+ID_COLUMNS = ("customer_id", "customerid")
+ID_PREFIX, FIRST_ID = "CUST-", 1001
 FINANCIAL_WORDS = ("financial", "revenue", "cost")
 DRIVER_WORDS = ("driver", "shap", "why")
 DRIVERS_TEXT = ("Key Churn Drivers (SHAP Analysis):<br>1. <strong>Low Recent Activity</strong>"
@@ -85,6 +87,21 @@ def top_risk(df: DataFrame, n: int = 10, key: str | None = None) -> DataFrame:
     return df.where(col("risk_tier") == HIGH).orderBy(*order).limit(n)
 
 
+def risk_cards(df: DataFrame, n: int = 10, key: str | None = None) -> DataFrame:
+    """H8 as shown: (place, id, risk_tier, score) of ``top_risk``: the id is the
+    customer's, or a number by place where there is none (or it is empty or
+    zero), the score a percentage with one decimal."""
+    ids = [c for c in ID_COLUMNS if c in df.columns]
+    order = [F.desc("risk_score")] + ([F.asc("__key")] if key else [])
+    top = top_risk(df, n, key).select(col("risk_score").alias("risk_score"), col("risk_tier").alias("risk_tier"),
+                                      *([col(key).alias("__key")] if key else []), *(col(c).cast("string").alias(c) for c in ids))
+    place = F.row_number().over(Window.orderBy(*order))  # n rows
+    shown = [F.when(~col(c).isin("", "0"), col(c)) for c in ids]
+    return top.withColumn("place", place).select(
+        "place", F.coalesce(*shown, F.concat(F.lit(ID_PREFIX), (F.col("place") + FIRST_ID - 1).cast("string"))).alias("id"), "risk_tier",
+        F.concat(F.format_string("%.1f", round_dp(F.col("risk_score") * 100, 1)), F.lit("%")).alias("score"))
+
+
 def _high_and_total(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count_if(col("risk_tier") == HIGH).alias("h"),
                  F.count(F.lit(1)).alias("n")).collect()[0]

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lumen.plans import inputs as I
 from lumen.plans import sqlparts as S
+from lumen.plans.q_profile import rounded
 from lumen.plans.q_risk import RISK, predictions
 from lumen.plans.registry import register
 from lumen.session import scratch_path
 from lumen.sources import sinks as K
 from lumen.sources.csv import read_csv_table
+from lumen.sources.tables import scan_table
 from lumen.streaming.submissions import append_submissions, read_log
 
 
@@ -48,6 +50,20 @@ def _stream(spark, d):
     return read_log(spark, sink)
 
 
+def _folder_of_csv(spark, d):
+    """Two folders' files under one, their columns in different orders, and one
+    without a column."""
+    path = _scratch(spark, "mixed-csv")
+    people = I.people(spark, d)
+    K.export_csv(people.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), f"{path}/even")
+    K.export_csv(people.where("c_custkey % 2 = 1").select("c_acctbal", "c_name", "c_custkey"), f"{path}/odd")
+    return read_csv_table(spark, path, recursiveFileLookup=True)
+
+
+register("csv_by_header", S.with_(S.PEOPLE) + """
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS c_nationkey, c_acctbal
+FROM people""")(_folder_of_csv)
+
 register("append_submissions", """
 SELECT 'user' || CAST(conv_id AS VARCHAR) || '@example.com' AS email,
        role || ' turn ' || CAST(turn AS VARCHAR) AS subject, text AS message
@@ -55,12 +71,18 @@ FROM conversations""")(_stream)
 
 
 def _saved_predictions(spark, d):
-    path = _scratch(spark, "customer_predictions")
-    K.save_table(predictions(spark, d), "customer_predictions", path=path)
-    return spark.read.parquet(path).select("c_custkey", "c_name", "c_mktsegment", "churn", "risk_tier")
-
-
-register("save_table", RISK + "SELECT c_custkey, c_name, c_mktsegment, churn, risk_tier FROM pred")(_saved_predictions)
+    """Written as a table of the catalog, then replaced by a copy of itself
+    while the first version is still to be read."""
+    name, folder = f"customer_predictions_{uuid.uuid4().hex[:8]}", _scratch(spark, "tables")
+    K.save_table(predictions(spark, d).withColumn("risk_tier", F.lit("old")), name, folder)
+    old = scan_table(spark, name)
+    K.save_table(old.drop("risk_tier").join(predictions(spark, d).select("c_custkey", "risk_tier"), "c_custkey"), name, folder)
+    assert old.where("risk_tier <> 'old'").isEmpty()
+    return rounded(scan_table(spark, name).select("c_custkey", "c_name", "c_mktsegment", "risk_score", "churn", "risk_tier"))
+
+
+register("save_table", RISK + """
+SELECT c_custkey, c_name, c_mktsegment, round(risk_score, 6) AS risk_score, churn, risk_tier FROM pred""")(_saved_predictions)
 
 
 def _view(spark, d):

@@ -115,6 +115,15 @@ register("describe_categorical", W_PEOPLE + _union([
 FROM people""" for c in PEOPLE_TEXT]))(
     lambda spark, d: P.describe_categorical(I.people(spark, d)))
 
+register("describe_temporal", """
+WITH t AS (SELECT o_orderdate AS t, epoch_us(o_orderdate) AS u FROM orders),
+q AS (SELECT count(t) AS n, avg(u) AS m, min(u) AS a, max(u) AS b, quantile_cont(CAST(u AS DOUBLE), [0.25, 0.5, 0.75]) AS p FROM t)
+SELECT 'o_orderdate' AS "column", CAST(n AS BIGINT) AS count, make_timestamp(CAST(floor(m) AS BIGINT)) AS mean,
+       make_timestamp(a) AS min, make_timestamp(CAST(floor(p[1]) AS BIGINT)) AS p25,
+       make_timestamp(CAST(floor(p[2]) AS BIGINT)) AS p50, make_timestamp(CAST(floor(p[3]) AS BIGINT)) AS p75,
+       make_timestamp(b) AS max
+FROM q""")(lambda spark, d: P.describe_temporal(I.table(spark, d, "orders")))
+
 register("categorical_facts", W_PEOPLE + _union([
     f"""SELECT {i} AS position, '{c}' AS "column", CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count,
        coalesce({_mode_parts('people', c)}, 'N/A') AS mode

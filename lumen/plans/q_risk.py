@@ -54,6 +54,15 @@ SELECT c_custkey, c_name, c_mktsegment, round(risk_score, 6) AS risk_score, chur
 FROM pred WHERE risk_tier = 'High Risk' ORDER BY risk_score DESC, c_custkey LIMIT 10""")(
     lambda spark, d: rounded(H.top_risk(predictions(spark, d), 10, key="c_custkey")))
 
+register("risk_cards", RISK + """,
+top AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, c_custkey) AS place FROM pred WHERE risk_tier = 'High Risk')
+SELECT CAST(place AS INTEGER) AS place, CASE WHEN c_custkey % 2 = 0 AND c_custkey <> 0 THEN CAST(c_custkey AS VARCHAR)
+         ELSE 'CUST-' || CAST(place + 1000 AS VARCHAR) END AS id, risk_tier,
+       printf('%.1f', round(risk_score * 100, 1)) || '%' AS score
+FROM top WHERE place <= 10""")(
+    lambda spark, d: H.risk_cards(predictions(spark, d).withColumn(
+        "customer_id", F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey"))), 10, key="c_custkey"))
+
 register("answer_prompts", RISK + """
 SELECT conv_id, turn, text AS prompt,
   CASE WHEN contains(lower(text), 'financial') OR contains(lower(text), 'revenue')

@@ -11,7 +11,7 @@ timestamps), so the file is read as text and typed in two steps:
    column is double and therefore numeric).
 
 Header names follow pandas: a blank header is ``Unnamed: i`` and a repeated
-one ``a.1``, ``a.2``. The raw header line is the one row read to the driver.
+one ``a.1``, ``a.2``. Of each file the header line is read to the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,19 @@ def pandas_header(raw: list[str]) -> list[str]:
     return out
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    first = spark.read.text(path).limit(1).collect()
-    return first[0][0] if first else None
+def _headers(spark: SparkSession, path: str, nested: bool) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it, by file name; one line for
+    each file comes to the driver, which has listed the files anyway.
+
+    The first line of a file is the first one of its first block, which one
+    task reads in order; ``first`` of a grouped aggregate keeps it."""
+    meta = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", nested).text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"))
+    found = lines.where("start = 0").groupBy("file").agg(F.first("value").alias("line")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["file"]):
+        out.setdefault(r["line"], []).append(unquote(r["file"]))
+    return out
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -100,14 +111,30 @@ def read_csv_table(spark: SparkSession, path: str, infer: bool = True, multi_lin
 
     Files are split among tasks; with ``multi_line``, for quoted values that
     hold line breaks, each file is one task's. A row with more values than the
-    header is an error, one with fewer ends in missing values."""
+    header is an error, one with fewer ends in missing values.
+
+    Files of a folder may differ in their headers: columns are matched by name,
+    in the order of the first file (by name), then of those that add some; a
+    column that a file lacks is missing in its rows."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext and ext not in SUPPORTED and not _is_folder(spark, path):
         raise ValueError("Unsupported file format. Please upload a CSV or Excel file.")
-    line = _first_line(spark, path)
-    if line is None:
+    headers = _headers(spark, path, bool(options.get("recursiveFileLookup")))
+    if not headers:
         return spark.createDataFrame([], "_empty string").limit(0)
-    names = pandas_header(next(csv.reader(io.StringIO(line))))
+    parts = [_read_files(spark, [path] if len(headers) == 1 else files, next(csv.reader(io.StringIO(line))), multi_line, options)
+             for line, files in headers.items()]
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p, allowMissingColumns=True)
+    text = raw.select(*[F.when(col(c).isin(*MISSING_TOKENS), F.lit(None)).otherwise(col(c)).alias(c)
+                        for c in raw.columns])
+    return infer_types(text) if infer else text
+
+
+def _read_files(spark: SparkSession, files: list[str], header: list[str], multi_line: bool, options: dict) -> DataFrame:
+    """Files that share a header, as text columns named by it."""
+    names = pandas_header(header)
     surplus = "surplus"
     while surplus in names:
         surplus += "_"
@@ -117,7 +144,4 @@ def read_csv_table(spark: SparkSession, path: str, infer: bool = True, multi_lin
     for k, v in options.items():
         reader = reader.option(k, v)
     too_long = F.raise_error(F.lit(f"a row has more than {len(names)} values"))
-    raw = reader.csv(path).where(F.when(col(surplus).isNull(), True).otherwise(too_long)).drop(surplus)
-    text = raw.select(*[F.when(col(c).isin(*MISSING_TOKENS), F.lit(None)).otherwise(col(c)).alias(c)
-                        for c in raw.columns])
-    return infer_types(text) if infer else text
+    return reader.csv(files).where(F.when(col(surplus).isNull(), True).otherwise(too_long)).drop(surplus)

@@ -3,6 +3,8 @@ K5, K6). K3 is a stream (lumen.streaming), K4 lives with the models."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,33 @@ SNIPPET_DEFAULTS = {"title": "Untitled", "code": "", "tags": "", "is_favorite":
 SNIPPET_REQUIRED = ("title", "code")
 
 
-def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
-    """K1: replace a table (by catalog name, or a parquet path when given)."""
-    if path:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, folder: str | None = None) -> str:
+    """K1: replace a table of the catalog; returns the version's own name.
+
+    Each version is a table of its own (under ``folder`` if given, else in the
+    warehouse), and ``name`` is a view that moves to it once it is complete.
+    So a failed write changes nothing, rows may come from the table itself, and
+    whoever reads the old version reads it to the end; ``drop_old_versions``
+    removes those that are no longer needed. A plain table of that name becomes
+    the first version."""
+    spark = df.sparkSession
+    version = f"{name}__v{uuid.uuid4().hex[:12]}"
+    writer = df.write.format("parquet")
+    if folder:
+        writer = writer.option("path", f"{folder}/{version}")
+    writer.saveAsTable(version)
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__v0")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    return version
+
+
+def drop_old_versions(spark: SparkSession, name: str, keep: str) -> list[str]:
+    """Drops all versions of a table but one, and returns their names."""
+    old = [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}__v") and t.name != keep]
+    for t in old:
+        spark.sql(f"DROP TABLE {t}")
+    return old
 
 
 def export_csv(df: DataFrame, path: str) -> None:
