@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.functions.exprs import as_double, col, number_text, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
+from lumen.functions.exprs import as_double, col, is_missing, number_text, round_dp, sanitize  # noqa: F401  (C8 lives in exprs)
 from lumen.functions.quantiles import distinct_upto, exact_quantiles, proving_rsd
 from lumen.functions.roles import plot_roles
 from lumen.operators.profile import correlation_values, missing_profile, value_counts
@@ -295,60 +295,109 @@ def chart_trend(df: DataFrame, time_col: str | None = None, value_col: str | Non
 
 # --------------------------------------------------------------------- C7
 
+def _facts_of_charts(df: DataFrame, roles, shown: list[str], max_cols: int) -> dict:
+    """Rows, gaps and what decides on each chart, from one aggregate; a second
+    job counts the values of those categories of which a sketch cannot say
+    that they have more than DONUT_MAX."""
+    types = _types(df)
+    numbers, cats = roles.numeric[:max_cols], roles.categorical[:max_cols]
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.max(F.greatest(*(is_missing(c, types[c]).cast("int") for c in shown), F.lit(0))), F.lit(0)).alias("gaps")]
+    for i, c in enumerate(numbers):
+        aggs += [F.min(_x(df, c)).alias(f"lo{i}"), F.max(_x(df, c)).alias(f"hi{i}")]
+    rsd = proving_rsd(DONUT_MAX)
+    for i, c in enumerate(cats):
+        aggs += [F.count(col(c)).alias(f"n{i}"), F.approx_count_distinct(col(c).cast("string"), rsd).alias(f"e{i}")]
+    if roles.temporal and roles.numeric:
+        both = col(roles.temporal[0]).isNotNull() & _x(df, roles.numeric[0]).isNotNull()
+        aggs.append(F.count_if(both).alias("trend"))
+    row = df.agg(*aggs).first().asDict()
+    present = [i for i, _ in enumerate(cats) if row[f"n{i}"]]
+    counts = distinct_upto(df, [col(cats[i]).cast("string") for i in present], DONUT_MAX + 1,
+                           estimates=[row[f"e{i}"] if row[f"e{i}"] > DONUT_MAX + 1 else 0 for i in present])
+    return {"rows": row["rows"], "gaps": row["gaps"] > 0, "trend": row.get("trend", 0) > 0,
+            "varied": [c for i, c in enumerate(numbers) if row[f"lo{i}"] is not None and row[f"lo{i}"] < row[f"hi{i}"]],
+            "categories": [(cats[i], "donut" if n <= DONUT_MAX else "bar") for i, n in zip(present, counts)]}
+
+
+def _listed(df: DataFrame, include: list[str] | None, max_cols: int) -> tuple[dict, list[tuple[str, str, str]]]:
+    """Those facts, and (chart_id, chart_type, title) of each chart in order."""
+    roles = plot_roles(df, include)
+    shown = [c for c in include or [] if c in df.columns] or df.columns
+    facts = _facts_of_charts(df, roles, shown, max_cols)
+    charts: list[tuple[str, str, str]] = [MISSING_CHART[:3]] if facts["gaps"] else []
+    for c in facts["varied"]:
+        charts.append((f"hist_{c}", "histogram", HISTOGRAM_TITLE.format(col=c)))
+        charts.append((f"boxplot_{c}", "boxplot", BOXPLOT_TITLE.format(col=c)))
+    charts += [(f"cat_{c}", kind, CATEGORY_TITLE.format(col=c)) for c, kind in facts["categories"]]
+    if facts["rows"] and len(roles.numeric) >= 2:
+        for a, b, score, _ in ranked_pairs(df, roles.numeric)[:SCATTER_PAIRS]:
+            charts.append((f"scatter_{a}_vs_{b}", "scatter", SCATTER_TITLE.format(a=a, b=b, r=round(score, 2))))
+    if facts["trend"]:
+        t, v = roles.temporal[0], roles.numeric[0]
+        charts.append((f"line_trend_{t}", "line", TREND_TITLE.format(value=v, time=t)))
+    return facts, charts if facts["rows"] else []
+
+
 def chart_catalog(df: DataFrame, order_by: list[str] | None = None,
                   include: list[str] | None = None, max_cols: int = MAX_COLS) -> DataFrame:
     """The list of charts the data supports, in the reference's order:
-    missing, histogram + box per numeric column, categories, scatter, trend."""
-    spark = df.sparkSession
+    missing, histogram + box per numeric column, categories, scatter, trend.
+    Three jobs at most: all facts, small categories, correlations."""
     schema = "seq int, chart_id string, chart_type string, title string"
-    if not df.columns or df.limit(1).count() == 0:
-        return spark.createDataFrame([], schema)
-    roles = plot_roles(df, include)
-    target = df.select(*[col(c) for c in (include and [c for c in include if c in df.columns]
-                                          or df.columns)])
-    rows = []
-    miss = missing_profile(target).where("missing_count > 0").limit(1).count()
-    if miss:
-        rows.append((MISSING_CHART[0], MISSING_CHART[1], MISSING_CHART[2]))
-    for b in numeric_bounds(df, roles.numeric[:max_cols]):
-        if b["distinct"] > 1:
-            c = b["column"]
-            rows.append((f"hist_{c}", "histogram", HISTOGRAM_TITLE.format(col=c)))
-            rows.append((f"boxplot_{c}", "boxplot", BOXPLOT_TITLE.format(col=c)))
-    cats = roles.categorical[:max_cols]
-    if cats:
-        present = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cats)]).collect()[0]
-        vc_distinct = None
-        for i, c in enumerate(cats):
-            if present[f"c{i}"] > 0:
-                if vc_distinct is None:
-                    vc_distinct = {r["column"]: r["d"] for r in value_counts(df, cats)
-                                   .groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-                kind = "donut" if min(vc_distinct[c], TOP_CATEGORIES) <= DONUT_MAX else "bar"
-                rows.append((f"cat_{c}", kind, CATEGORY_TITLE.format(col=c)))
-    if len(roles.numeric) >= 2:
-        for a, b, score, _ in ranked_pairs(df, roles.numeric)[:SCATTER_PAIRS]:
-            rows.append((f"scatter_{a}_vs_{b}", "scatter",
-                         SCATTER_TITLE.format(a=a, b=b, r=round(score, 2))))
-    if roles.temporal and roles.numeric:
-        if chart_trend(df, include=include).limit(1).count():
-            t, v = roles.temporal[0], roles.numeric[0]
-            rows.append((f"line_trend_{t}", "line", TREND_TITLE.format(value=v, time=t)))
-    return spark.createDataFrame([(i,) + r for i, r in enumerate(rows)], schema)
+    charts = _listed(df, include, max_cols)[1] if df.columns else []
+    return df.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(charts)], schema)
 
 
 def chart_summary(df: DataFrame, include: list[str] | None = None) -> DataFrame:
     """C7 totals: charts, numeric, categorical, datetime, has_missing; an
     empty table gives zero charts and a message."""
-    spark = df.sparkSession
     schema = ("total_charts long, numeric_features long, categorical_features long, "
               "datetime_features long, has_missing_data boolean, message string")
-    if not df.columns or df.limit(1).count() == 0:
-        return spark.createDataFrame([(0, None, None, None, None, EMPTY_MESSAGE)], schema)
+    facts, charts = _listed(df, include, MAX_COLS) if df.columns else ({"rows": 0}, [])
+    if not facts["rows"]:
+        return df.sparkSession.createDataFrame([(0, None, None, None, None, EMPTY_MESSAGE)], schema)
     roles = plot_roles(df, include)
-    charts = chart_catalog(df, include=include)
-    n = charts.count()
-    has_missing = charts.where(F.col("chart_id") == MISSING_CHART[0]).limit(1).count() > 0
-    return spark.createDataFrame(
-        [(n, len(roles.numeric), len(roles.categorical), len(roles.temporal), has_missing, None)],
-        schema)
+    return df.sparkSession.createDataFrame(
+        [(len(charts), len(roles.numeric), len(roles.categorical), len(roles.temporal), facts["gaps"], None)], schema)
+
+
+BOX_PARTS = ("min", "q1", "median", "q3", "max", "outliers_count")
+
+
+def chart_payload(df: DataFrame, order_by: list[str], include: list[str] | None = None) -> DataFrame:
+    """C7 whole: the points of every chart of the catalog in one relation
+    (chart_id, point, label, x, y). Bars, bins and lines have a label and y,
+    scatter points x and y; box plots have one point for each of BOX_PARTS.
+    Points count from 0 in the order in which they are drawn."""
+    spark = df.sparkSession
+    none = F.lit(None).cast("double").alias("x")
+    rows: list[DataFrame] = []
+
+    def add(part: DataFrame, chart_id: Column, point: Column, label: Column, x: Column, y: Column) -> None:
+        rows.append(part.select(chart_id.cast("string").alias("chart_id"), point.cast("int").alias("point"),
+                                label.cast("string").alias("label"), x, y.cast("double").alias("y")))
+
+    if df.columns:
+        shown = [c for c in include or [] if c in df.columns] or df.columns
+        gaps = missing_profile(df.select(*(col(c) for c in shown))).where("missing_count > 0")
+        add(gaps, F.lit(MISSING_CHART[0]), F.row_number().over(Window.orderBy("position")) - 1, F.col("column"), none, F.col("missing_pct"))
+        add(chart_histogram(df, include), F.concat(F.lit("hist_"), "column"), F.col("bin"), F.col("range"), none, F.col("count"))
+        box = chart_boxplot(df, include).select("column", F.posexplode(F.array(*(
+            F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("value")) for p in BOX_PARTS))).alias("k", "e"))
+        add(box, F.concat(F.lit("boxplot_"), "column"), F.col("k"), F.col("e.part"), none, F.col("e.value"))
+        add(chart_categories(df, include), F.concat(F.lit("cat_"), "column"), F.col("rank") - 1, F.col("category"), none, F.col("count"))
+        scatter = chart_scatter(df, order_by, include)
+        keys = [f"k{i}" for i in range(len(order_by))]
+        place = F.row_number().over(Window.partitionBy("pair").orderBy(*keys)) - 1  # SCATTER_POINTS rows
+        add(scatter, F.concat(F.lit("scatter_"), "x_col", F.lit("_vs_"), "y_col"), place, F.lit(None), F.col("x"), F.col("y"))
+        roles = plot_roles(df, include)
+        if roles.temporal and roles.numeric:
+            place = F.row_number().over(Window.orderBy("date")) - 1  # TREND_BUCKETS rows at most
+            add(chart_trend(df, include=include), F.lit(f"line_trend_{roles.temporal[0]}"), place, F.col("date"), none, F.col("value"))
+    if not rows:
+        return spark.createDataFrame([], "chart_id string, point int, label string, x double, y double")
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -360,6 +360,36 @@ SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS seq, chart_id, c
 
 register("chart_catalog", _catalog_sql())(lambda spark, d: C.chart_catalog(I.table(spark, d, "orders")))
 
+def _payload_sql():
+    pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
+    box = _union([f"""SELECT 'boxplot_{c}' AS chart_id, unnest(range(6)) AS point,
+        unnest(['min', 'q1', 'median', 'q3', 'max', 'outliers_count']) AS label,
+        unnest([min({c}), round(q[1], 2), round(q[2], 2), round(q[3], 2), max({c}),
+                count(*) FILTER ({c} < q[1] - 1.5 * (q[3] - q[1]) OR {c} > q[3] + 1.5 * (q[3] - q[1]))]) AS y
+      FROM orders, (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM orders) GROUP BY q""" for c in ORD_NUM])
+    cats = _union([f"""SELECT * FROM (WITH n AS (SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS r
+        FROM orders WHERE {c} IS NOT NULL GROUP BY {c})
+      SELECT 'cat_{c}' AS chart_id, least(r, 8) - 1 AS point, CASE WHEN r > 7 THEN 'Other' ELSE v END AS label, sum(n) AS y
+      FROM n GROUP BY ALL)""" for c in ORD_CAT])
+    scores = _union([f"""SELECT {k} AS k, '{ORD_NUM[i]}' AS a, '{ORD_NUM[j]}' AS b,
+        coalesce(abs({_corr(ORD_NUM[i], ORD_NUM[j])}), 0.0) AS s FROM orders""" for k, (i, j) in enumerate(pairs)])
+    points = _union([f"""SELECT {k} AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS point,
+        CAST({ORD_NUM[i]} AS DOUBLE) AS x, CAST({ORD_NUM[j]} AS DOUBLE) AS y FROM orders
+        WHERE {ORD_NUM[i]} IS NOT NULL AND {ORD_NUM[j]} IS NOT NULL QUALIFY point < 150""" for k, (i, j) in enumerate(pairs)])
+    parts = [f"""SELECT 'hist_' || "column" AS chart_id, bin AS point, "range" AS label, NULL AS x, "count" AS y
+               FROM ({S.histogram_sql("orders", ORD_NUM)})""",
+             f"SELECT chart_id, point, label, NULL, y FROM ({box})", f"SELECT chart_id, point, label, NULL, y FROM ({cats})",
+             f"""SELECT 'scatter_' || a || '_vs_' || b, point, NULL, x, y FROM
+               (SELECT *, row_number() OVER (ORDER BY s DESC, k) AS place FROM ({scores})) JOIN ({points}) USING (k) WHERE place <= 2""",
+             f"""SELECT 'line_trend_o_orderdate', row_number() OVER (ORDER BY date) - 1, date, NULL, value
+               FROM ({_trend_sql("SELECT * FROM orders", "o_orderdate", "o_orderkey")})"""]
+    return ("SELECT chart_id, CAST(point AS INTEGER) AS point, label, round(CAST(x AS DOUBLE), 6) AS x, "
+            f"round(CAST(y AS DOUBLE), 6) AS y FROM ({_union(parts)})")
+
+
+register("chart_payload", _payload_sql())(
+    lambda spark, d: rounded(C.chart_payload(I.table(spark, d, "orders"), ["o_orderkey"])))
+
 register("sanitize", S.with_(S.ODD_FLOATS) + """
 SELECT l_orderkey, l_linenumber,
        CASE WHEN isnan(l_discount) OR isinf(l_discount) THEN NULL ELSE l_discount END AS l_discount,

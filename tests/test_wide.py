@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumen.functions import quantiles as Q
 from lumen.functions.gram import pair_correlations
 from lumen.functions.quantiles import exact_quantiles
+from lumen.operators import charts as C
 from lumen.operators import profile as P
 
 
@@ -109,3 +110,25 @@ def test_quantiles_with_conditions_and_known_counts(spark):
     got = exact_quantiles(df, [F.col("x")] * 3, [0.5], conds=cond, final_rows=50)
     assert got == [[pd.Series(x[::3]).median()], [None], [499.5]]
     assert exact_quantiles(df, [F.col("x")], [0.5], stats=[(1000, 0.0, 999.0)]) == [[499.5]]
+
+
+def test_catalog_takes_three_scans_and_names_the_payload(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    pdf = pd.DataFrame({"key": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n), "same": 1.5, "five": rng.integers(0, 5, n).astype(str),
+                        "six": rng.integers(0, 6, n).astype(str), "when": pd.date_range("2024-01-01", periods=n, freq="h")})
+    pdf.loc[3, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumns({"void": F.lit(None).cast("string"), "when": F.col("when").cast("timestamp_ntz"),
+                                                 "a": F.when(~F.isnan("a"), F.col("a"))})
+    rows, scans = scans_of(spark, df, lambda d: C.chart_catalog(d).collect())
+    assert scans <= 3
+    kinds = {r.chart_id: r.chart_type for r in rows}
+    assert kinds["cat_five"] == "donut" and kinds["cat_six"] == "bar" and "cat_void" not in kinds and "hist_same" not in kinds
+    assert kinds["missing_data_overview"] == "bar" and "line_trend_when" in kinds
+    points = C.chart_payload(df, ["key"]).collect()
+    assert {r.chart_id for r in points} == set(kinds)
+    for c in kinds:
+        own = sorted(r.point for r in points if r.chart_id == c)
+        assert own == list(range(len(own))) or c == "missing_data_overview"
+    assert C.chart_catalog(df.limit(0)).count() == 0 and C.chart_payload(df.limit(0), ["key"]).count() == 0
+    assert C.chart_summary(df.limit(0)).first().total_charts == 0
