@@ -3,11 +3,13 @@
 Markup is stripped to lines, one for each block of text. A line inside what
 is no text of the article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, comments of readers) has length zero, as have lines
-outside of the article where the page marks one, and lines of links. What an
-article element holds is kept. Elsewhere lengths are summed over windows of
-``WINDOW`` lines: text is where the sum surges, all lines between the surge and
-the dive are kept, but for short lines at either end (menu entries, copyright)
-that are no sentence, and headings stay with the text that follows them.
+outside of the article where the page marks one, and lines of links. In an
+article element, paragraphs, list items, cells and sentences count as
+``SURGE`` characters at least, for there a short one is text as well; other
+lines count as long as they are. Lengths are summed over windows of ``WINDOW`` lines: text is where
+the sum surges, all lines between the surge and the dive are kept, but for
+short lines at either end (menu entries, copyright) that are no sentence, and
+headings stay with the text that follows them.
 
 Blocks are what block elements delimit; a line break inside one is white
 space. White space in a block becomes one space.
@@ -66,6 +68,8 @@ ABOUT = frozenset("category format has hide is no not show tag tagged topic with
 ARTICLE = frozenset("article story post entry content main".split())
 ARTICLE_PARTS = frozenset("area body container inner text wrap wrapper".split()) | ARTICLE
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Elements for text, other than paragraphs.
+TEXTS = ("li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption")
 # Elements that end an open one of the same kind without an end tag.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "option": ("select",)}
 
@@ -73,7 +77,8 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)",
     re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
+# Ends like a sentence, with quotes, brackets or other signs after it.
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]\W*$")
 _PIECE = re.compile(r"[a-z0-9]+")
 
 
@@ -113,7 +118,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, boo
     return none, marks, named
 
 
-def _overruled(lines: list[tuple[str, int, int, bool, int]], above: list[int]) -> set[int]:
+def _overruled(lines: list[tuple[str, int, int, bool, int, int]], above: list[int]) -> set[int]:
     """The named elements that hold the article for all their names: without
     them no line is marked, and they have marked lines or most of the text.
 
@@ -121,7 +126,7 @@ def _overruled(lines: list[tuple[str, int, int, bool, int]], above: list[int]) -
     the named element around each.
     """
     chars, mark = [0] * len(above), [0] * len(above)
-    for line, links, rank, _, element in lines:
+    for line, links, rank, _, _, element in lines:
         chars[element] += len(line) - links if line else 0
         mark[element] = max(mark[element], rank)
     own = list(mark)
@@ -140,10 +145,11 @@ def _overruled(lines: list[tuple[str, int, int, bool, int]], above: list[int]) -
     return found
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters of links, rank of the article mark, is a heading) of
-    each line; an element without text of the article leaves WINDOW empty lines."""
-    lines: list[tuple[str, int, int, bool, int]] = []
+def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters of links, rank of the article mark, is a heading, 2 in
+    a paragraph and 1 in another of TEXTS) of each line; an element without text of the article leaves
+    WINDOW empty lines."""
+    lines: list[tuple[str, int, int, bool, int, int]] = []
     text: list[str] = []
     links = 0
     # Open elements: name, holds no text, mark (2: article, 1: other, 0: none),
@@ -161,7 +167,8 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0, any(count[h] for h in HEADINGS), inner))
+                lines.append((line, links, 2 if marks[2] else 1 if marks[1] else 0, any(count[h] for h in HEADINGS),
+                              2 if count["p"] else int(any(count[t] for t in TEXTS)), inner))
             text.clear()
         links = 0
 
@@ -223,7 +230,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
         if (none or named) and not hidden:
             if name in BLOCKS:
                 end_line()
-            lines.extend([("", 0, 0, False, inner)] * WINDOW)
+            lines.extend([("", 0, 0, False, 0, inner)] * WINDOW)
         mark = (2 if name == "article" else 1) if article else 0
         open_.append((name, none, mark, named))
         if named:
@@ -235,7 +242,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
         marks[mark] += 1
     end_line()
     shown = _overruled(lines, above)
-    return [x[:4] for x in lines if x[4] in shown]
+    return [x[:5] for x in lines if x[5] in shown]
 
 
 def surges(lengths: list[int], headings: list[bool], sentences: list[bool]) -> list[bool]:
@@ -266,18 +273,24 @@ def surges(lengths: list[int], headings: list[bool], sentences: list[bool]) -> l
     return kept
 
 
+def _weights(lines: list[tuple[str, int, int, bool, int]], sentences: list[bool]) -> list[int]:
+    """What each line counts in the sums."""
+    best = max((mark for line, _, mark, _, _ in lines if line), default=0)
+    out = []
+    for (line, links, mark, heading, kind), sentence in zip(lines, sentences, strict=True):
+        listed = links > LINK_SHARE * len(line) and not (mark and (heading or kind == 2))
+        if mark < best or listed:
+            out.append(0)
+        else:
+            out.append(max(len(line), SURGE) if mark == 2 and line and (kind or sentence) else len(line))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     lines = lines_of(html) if html else []
-    best = max((mark for line, _, mark, _ in lines if line), default=0)
-    lengths = []
-    for line, links, mark, _ in lines:
-        listed = not mark and links > LINK_SHARE * len(line)
-        lengths.append(0 if mark < best or listed else len(line))
-    if best == 2:
-        kept = [length > 0 for length in lengths]
-    else:
-        kept = surges(lengths, [x[3] for x in lines], [bool(_SENTENCE.search(x[0])) for x in lines])
+    sentences = [bool(_SENTENCE.search(x[0])) for x in lines]
+    kept = surges(_weights(lines, sentences), [x[3] for x in lines], sentences)
     return "\n\n".join(x[0] for x, keep in zip(lines, kept, strict=True) if keep)
 
 

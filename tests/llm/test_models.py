@@ -150,6 +150,52 @@ def test_distribution_decides_without_marks():
     assert H.main_text(f"<article><p>Short</p><p>{long}</p><p>End</p></article>") == f"Short\n\n{text}\n\nEnd"
 
 
+def plain_surges(lengths, headings, sentences):
+    """The rule of the line blocks, each line for itself."""
+    n = len(lengths)
+    windows = [range(i, i + H.WINDOW) for i in range(max(1, n - H.WINDOW + 1))]
+    total = [sum(lengths[k] for k in w if k < n) for w in windows]
+    least = min(H.SURGE, max(total) / 2) if n else 0
+    near = [any(k in w and t and t >= least for w, t in zip(windows, total)) for k in range(n)]
+    strong = [near[k] and lengths[k] > 0 and (lengths[k] * H.WINDOW >= least or sentences[k]) for k in range(n)]
+
+    def linked(k, step):
+        """A strong line, or a heading with one after it, on that side of the stretch."""
+        while 0 <= k < n and near[k]:
+            if strong[k] or step < 0 and headings[k] and lengths[k]:
+                return True
+            k += step
+        return False
+    stretch_has = [near[k] and (linked(k, 1) and any(strong[j] for j in range(k, n) if all(near[k:j + 1]))) for k in range(n)]
+    kept = [lengths[k] > 0 and stretch_has[k] and linked(k, -1) for k in range(n)]
+    for k in range(n - 1, -1, -1):
+        after = next((j for j in range(k + 1, n) if lengths[j]), None)
+        kept[k] = kept[k] or bool(lengths[k] and headings[k] and after is not None and kept[after])
+    return kept
+
+
+def test_surges_match_the_plain_rule():
+    rng = random.Random(11)
+    for _ in range(2000):
+        n = rng.randint(0, 14)
+        lengths = [rng.choice([0, 0, 3, 8, 20, 40, 90, 200]) for _ in range(n)]
+        headings = [rng.random() < 0.2 for _ in range(n)]
+        sentences = [rng.random() < 0.3 for _ in range(n)]
+        assert H.surges(lengths, headings, sentences) == plain_surges(lengths, headings, sentences), (lengths, headings, sentences)
+
+
+def test_distribution_decides_inside_an_article_too(monkeypatch):
+    long = "A sentence of the article that is as long as such sentences usually are, with a comma. " * 2
+    menu = "".join(f"<div>{w}</div>" for w in ("Home", "News", "Sport", "Weather", "Contact", "Archive"))
+    links = "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "News", "Sport"))
+    page = (f"<article><ul>{links}</ul><h1>Title</h1><p>Short</p><p>{long}</p>{menu}<p>{long}</p><ul><li>one egg</li><li>salt</li></ul>"
+            f"<p>Done</p><div>Buy now</div><div>\u00a9 2020 Example</div></article>")
+    text = long.strip()
+    assert H.main_text(page) == "\n\n".join(["Title", "Short", text, text, "one egg", "salt", "Done"])
+    monkeypatch.setattr(H, "surges", lambda lengths, headings, sentences: [x > 0 for x in lengths])
+    assert "Weather" in H.main_text(page) and "2020" in H.main_text(page)
+
+
 def test_names_of_wrappers_keep_their_text():
     text = "A sentence of the article that is long enough to be text by itself, and so it is."
     for open_, close in (("<div class='content has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"),
