@@ -20,6 +20,8 @@ have any name but ``out``.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,19 @@ UNIT = 1 << 20
 # n-gram vectors that a worker remembers (4 KB each).
 REMEMBERED = 8_192
 
-_WORD = re.compile(r"[^\W\d_]+")
+def _class(wanted) -> str:
+    """The code points that are wanted, as the inside of a character class."""
+    codes = [c for c in range(sys.maxunicode + 1) if wanted(chr(c))]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+# Letters, and the marks (vowel signs, accents) that stand with them. What
+# counts as a word character and is neither letter nor digit (\u00b2, \u00bd, \u2460) is none.
+_LETTER = rf"[^\W\d_{_class(lambda c: c.isalnum() and not c.isalpha() and not c.isdecimal())}]"
+_WORD = re.compile(rf"{_LETTER}+(?:[{_class(lambda c: unicodedata.category(c)[0] == 'M')}]+{_LETTER}*)*")
+_ASCII_WORD = re.compile("[a-z]+")
 
 
 class Profiles:
@@ -66,7 +80,8 @@ class Profiles:
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         """The text's vector of length one; None without letters."""
-        words = _WORD.findall(text.lower()) if text else None
+        text = (text or "").lower()
+        words = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
         if not words:
             return None
         codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)

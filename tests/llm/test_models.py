@@ -1,6 +1,7 @@
 """Learned and fitted operators, pages and neighbours."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -124,6 +125,20 @@ PAGES = [
 ]
 
 
+def test_what_is_no_letter_gives_no_language(spark):
+    assert [L._WORD.findall(t) for t in ("\u00b2", "\u00bd \u2460", "a\u00b2b", "\u2167", "12 \u0663")] == [[], [], ["a", "b"], [], []]
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940 \u092e\u0947\u0902"  # with vowel signs between and after the letters
+    assert L._WORD.findall(hindi) == hindi.split() and L._WORD.findall("\u0301e\u0301t\u00e9") == ["e\u0301t\u00e9"]
+    rng = random.Random(2)
+    marks = {c: None for c in range(0x3000) if unicodedata.category(chr(c))[0] == "M"}
+    for _ in range(300):
+        text = "".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0x3000)])) for _ in range(30))
+        assert "".join(L._WORD.findall(text)).translate(marks) == "".join(c for c in text if c.isalpha())
+    docs = spark.createDataFrame([(1, "\u00b2"), (2, "\u00bd \u2460"), (3, "the cat")], "doc_id long, text string")
+    protos = L.learn(spark.createDataFrame([("en", "the cat sat")], "lang string, text string"))
+    assert [r.language.lang for r in L.identify(docs, protos).orderBy("doc_id").collect()] == ["und", "und", "en"]
+
+
 def test_pages(spark):
     assert [H.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     pages = spark.createDataFrame([(i, h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, html string, text int")
