@@ -1,6 +1,7 @@
 """Near-duplicates and repeated passages against brute force."""
 
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -152,23 +153,139 @@ def test_planted_passages(spark, monkeypatch):
     assert {(102, 0, n, 1), (103, 0, n, 1)} <= whole
 
 
-def test_heads_across_batches(monkeypatch):
-    rng = np.random.default_rng(3)
-    rows = sorted({(int(h), int(i), int(p)) for h, i, p in zip(rng.integers(0, 5, 200), rng.integers(0, 9, 200), rng.integers(0, 90, 200))})
-    whole = pd.DataFrame(rows, columns=["hash", "id", "place"]).astype({"place": "int32"})
+def plain_links(rows):
+    """Pairs (id, x, head, y) of seeds (hash, id, place), document by document."""
+    out, runs = [], {}
+    for h, i, p in sorted(rows):
+        runs.setdefault(h, {}).setdefault(i, []).append(p)
+    for docs in runs.values():
+        order = sorted(docs)
+        for n, i in enumerate(order[1:], 1):
+            for other in {order[0], order[n - 1]}:
+                out += [(i, x, other, docs[other][min(k, len(docs[other]) - 1)]) for k, x in enumerate(docs[i])]
+    return sorted(out)
+
+
+def test_links_match_python():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 40, 300):
+        rows = sorted({(rng.randrange(6), rng.randrange(8), rng.randrange(50)) for _ in range(n)})
+        h, ids, at = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        if n:
+            assert sorted(zip(*(c.tolist() for c in S._links(h, ids, at)))) == plain_links(rows)
+
+
+@pytest.mark.parametrize(("ranges", "local"), [(1, 16), (4, 16), (8, 3), (2, 1)])
+def test_blocks_and_ranges_lose_no_seed(monkeypatch, ranges, local):
+    """Blocks link documents beyond the first ones of a hash by themselves."""
+    monkeypatch.setattr(S, "BLOCK_WORDS", 900)
+    monkeypatch.setattr(S, "LOCAL", local)
+    rng = random.Random(ranges)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [(rng.randrange(-10**12, 10**15), " ".join([f"w{rng.randrange(10**4)}" for _ in range(30)] + (passage if k % 2 else ["q"] * 20)))
+             for k in range(60)]
+    frames = [pd.DataFrame(texts[k:k + 7], columns=["id", "text"]) for k in range(0, 60, 7)]
+    packed = pd.concat(S._block_rows(ranges)(iter(frames)))
+    assert set(packed.part) <= set(range(ranges))
+    got = set()
+    for _, part in packed.groupby("part"):
+        t = S._range_pairs(pa.Table.from_pandas(part, preserve_index=False)).to_pydict()
+        got |= set(zip(t["id"], t["x"], t["head"], t["y"]))
+    read, rows = S.Words(), set()
+    for i, text in texts:
+        words = read(text)
+        for at, h in (S.seeds(words), S.seeds(words, S.LONG, S.LONG_W), S.strobes(words)):
+            rows |= {(x, i, p) for x, p in zip(h.tolist(), at.tolist())} if len(words) >= S.MIN_WORDS else set()
+    if local == 16 and max(Counter(h for h, _ in {(h, i) for h, i, _ in rows}).values()) <= 16:
+        assert got == set(plain_links(rows))
+    # Every document with an earlier holder of a seed has a partner for it.
+    first = {}
+    for h, i, _ in rows:
+        first[h] = min(first.get(h, i), i)
+    assert {(i, p) for h, i, p in rows if i != first[h]} == {(i, x) for i, x, _, _ in got}
+    assert all(head < i for i, _, head, _ in got)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(0)
+    for kind in (np.uint32, np.int32, np.uint64):
+        for n in (0, 1, 1000):
+            x = rng.integers(0, np.iinfo(kind).max, n, dtype=kind)
+            assert (S._unpacked(S._packed(x), kind) == x).all()
+
+
+def edited(rng, words, share):
+    """A copy with that share of the words replaced, left out or doubled."""
+    out = []
+    for w in words:
+        r = rng.random()
+        out += [w] if r >= share else [[f"e{rng.randrange(10**6)}"], [], [w, f"e{rng.randrange(10**6)}"]][int(r / share * 3)]
+    return out
+
+
+@pytest.mark.parametrize(("length", "quotes", "words"), [(60, 6, 14), (200, 20, 18)])
+def test_quotes_do_not_hide_a_changed_copy(spark, length, quotes, words):
+    rng = random.Random(length)
 
-    def run(size):
-        monkeypatch.setattr(S._larger, "__defaults__", (size,))
-        batches = (pa.RecordBatch.from_pandas(whole.iloc[a:a + size], preserve_index=False) for a in range(0, len(whole), size))
-        out = pa.Table.from_batches(S._heads(batches)).to_pandas()
-        return out[~out.border].reset_index(drop=True), set(map(tuple, out[out.border].values))
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(length)
+    copy = list(passage)
+    for p in rng.sample(range(length), round(length * 0.075)):
+        copy[p] = f"changed{p}"
+    rows = []
+    for i in range(quotes):
+        at = rng.randrange(length - words)
+        rows.append((i, " ".join(prose(60) + passage[at:at + words] + prose(60))))
+    rows += [(100, " ".join(prose(70) + passage + prose(70))), (101, " ".join(prose(50) + copy + prose(50)))]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc, r.partner) for r in found if r.equal >= 0.85 * length} == {(101, 100)}
 
-    expected, borders = run(1000)
-    assert len(expected) == sum(1 for h, i, _ in rows if i != min(x[1] for x in rows if x[0] == h))
-    for size in (1, 3, 50):
-        found, ends = run(size)
-        assert found.equals(expected) and ends == borders
-    assert list(S._heads(iter([]))) == []
+
+def test_recall_of_changed_passages(spark):
+    """Against every pair of documents that were given a copy of one passage,
+    as a brute-force alignment finds them."""
+    rng = random.Random(21)
+
+    def prose(n):
+        return [f"w{int(rng.paretovariate(0.9)) % 5000}" for _ in range(n)]
+    rows, copies = [], []
+    for p in range(40):
+        passage = prose(rng.randint(50, 150))
+        for k in range(2):
+            copy = edited(rng, passage, rng.choice([0, 0.05, 0.1, 0.15])) if k else passage
+            before = prose(rng.randint(20, 150))
+            copies.append((p, len(rows), before, copy))
+            rows.append((len(rows), " ".join(before + copy + prose(rng.randint(20, 150)))))
+        for _ in range(3):  # quotes of parts
+            at = rng.randrange(len(passage) - 12)
+            rows.append((len(rows), " ".join(prose(60) + passage[at:at + 12] + prose(60))))
+    rng.shuffle(rows)
+    ids = {old: new for new, (old, _) in enumerate(rows)}
+    found = S.repeated_passages(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(5)).collect()
+    got = {(r.doc, r.partner) for r in found}
+    read, wanted = S.Words(), []
+    for (p, i, _, a), (q, j, _, b) in zip(copies[::2], copies[1::2], strict=True):
+        assert p == q
+        same = S.equal_words(read(" ".join(a)), read(" ".join(b)))
+        if same >= S.IDENTITY * max(len(a), len(b)) and min(len(a), len(b)) >= S.MIN_WORDS:
+            wanted.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    assert len(wanted) >= 35
+    assert sum(w in got for w in wanted) >= 0.95 * len(wanted)
+    assert all(r.equal >= S.IDENTITY * max(r.end - r.start, r.partner_end - r.partner_start) for r in found)
+
+
+def test_passages_grow_to_their_ends(spark):
+    """Also where only the middle of a long passage has seeds of this pair."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(900)]
+    around = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(6)]
+    # Earlier documents hold both ends, so that these have other heads.
+    rows = [(1, " ".join(passage[:430])), (2, " ".join(passage[470:])), (3, " ".join(around[0] + passage + around[1])),
+            (4, " ".join(passage[:430] + around[2])), (5, " ".join(passage[470:] + around[3])),
+            (6, " ".join(around[4] + passage + around[5]))]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (6, 3, 40, 940, 40, 940, 900) in {(r.doc, r.partner, r.start, r.end, r.partner_start, r.partner_end, r.equal) for r in found}
 
 
 def test_one_head_for_a_run_in_many_partitions(spark):
