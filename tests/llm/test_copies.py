@@ -190,7 +190,7 @@ def test_blocks_and_ranges_lose_no_seed(monkeypatch, ranges, local):
     got = set()
     for _, part in packed.groupby("part"):
         t = S._range_pairs(pa.Table.from_pandas(part, preserve_index=False)).to_pydict()
-        got |= set(zip(t["id"], t["x"], t["head"], t["y"]))
+        got |= {(i, at >> 32, head, at & 0xFFFFFFFF) for i, head, at in zip(t["id"], t["head"], t["at"])}
     read, rows = S.Words(), set()
     for i, text in texts:
         words = read(text)
