@@ -8,7 +8,8 @@ words it covers are hit.
 
 The automaton is built on the driver from at most ``BLOCK_WORDS`` benchmark
 words at a time and broadcast (at most two states a word); a larger benchmark
-takes one pass over the documents per block, and the spans are merged.
+takes one pass over the documents per block, whose spans are written and
+merged at the end.
 
 Defined cases: null, empty and word-free texts have no words and no hits;
 null or word-free items have no windows; items with a null id hit words but
@@ -21,12 +22,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.common import fresh, small_batches
+from lumen.llm.common import fresh, small_batches, written
 
 WINDOW = 10
 # Benchmark words in one automaton (about 0.5 KB each in a worker).
@@ -182,24 +184,38 @@ def without(text: str, spans: list) -> str:
 
 
 def _hits_udf(spark, items: list, window: int, cut: bool):
-    """Column function of a text and what other blocks of items have hit."""
+    """Column function of a text."""
     shared = spark.sparkContext.broadcast(build(items, window))
 
-    def hits(text, longest, flat, names):
+    def hits(text):
         words = words_of(text)
         run, spans, found = stream(words, shared.value, window)
-        if len(flat):
-            spans = _merged(spans, list(zip(flat[::2], flat[1::2], strict=True)))
-        found = sorted(found.difference([None]).union(names))
-        n_hit = sum(e - s for s, e in spans)
         left = (without(text, spans) if spans else text) if cut else None
-        return len(words), max(run, longest), [x for span in spans for x in span], found, n_hit, left
+        return (len(words), run, [x for span in spans for x in span], sorted(found.difference([None])),
+                sum(e - s for s, e in spans), left)
+
+    @F.pandas_udf(HITS)
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([hits(t) for t in texts], columns=["n_words", "longest", "spans", "items", "n_hit", "left"])
+
+    return udf
+
+
+def _merged_udf(cut: bool):
+    """Column function of a text and the spans of all blocks."""
+    def hits(text, longest, flat, items):
+        n = len(words_of(text))
+        spans = [] if flat is None else _merged(list(zip(flat[::2], flat[1::2], strict=True)))
+        left = (without(text, spans) if spans else text) if cut else None
+        return (n, 0 if pd.isna(longest) else int(longest), [x for span in spans for x in span], [] if items is None else list(items),
+                sum(e - s for s, e in spans), left)
 
     @F.pandas_udf(HITS)
     def udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [hits(*row) for row in zip(*b, strict=True)]
-            yield pd.DataFrame(rows, columns=["n_words", "longest", "spans", "items", "n_hit", "left"])
+            yield pd.DataFrame([hits(*row) for row in zip(*b, strict=True)],
+                               columns=["n_words", "longest", "spans", "items", "n_hit", "left"])
 
     return udf
 
@@ -209,17 +225,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """docs with the struct column ``out``: n_words, longest (longest run of
     words that occurs in an item), spans (start and end of the hit spans, in
     words, by start), items (ids as strings, sorted), n_hit (words) and, if
-    cut, left (the text without the spans)."""
+    cut, left (the text without the spans).
+
+    One block of items takes one pass. Of several, each pass reads the texts
+    from a table of numbered rows and writes what it has found, so that a task
+    holds one automaton, whatever the number of blocks.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    longest, spans, items = F.lit(0), F.array().cast("array<int>"), F.array().cast("array<string>")
-    part = None
-    for block in _blocks(benchmark, item, item_text):
-        before, part = part, fresh(docs, out if part is None else f"{out}_")
-        docs = docs.withColumn(part, _hits_udf(spark, block, window, cut)(F.col(text), longest, spans, items))
-        docs = docs if before is None else docs.drop(before)
-        longest, spans, items = F.col(part)["longest"], F.col(part)["spans"], F.col(part)["items"]
-    return docs.withColumnRenamed(part, out)
+    blocks = _blocks(benchmark, item, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.withColumn(out, _hits_udf(spark, first, window, cut)(F.col(text)))
+    row = fresh(docs, "row")
+    docs = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    found = None
+    for block in chain((first, second), blocks):
+        hit = docs.select(F.col(row).alias("row"), _hits_udf(spark, block, window, False)(F.col(text)).alias("h")).where(
+            F.col("h.longest") > 0).select("row", "h.longest", "h.spans", "h.items")
+        hit = written(spark, hit, "hits")
+        found = hit if found is None else found.unionByName(hit)
+    merged = found.groupBy(F.col("row").alias("_row")).agg(
+        F.max("longest").alias("_longest"), F.flatten(F.collect_list("spans")).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    names = {c: fresh(docs, c) for c in ("_row", "_longest", "_spans", "_items")}
+    merged = merged.select(*(F.col(c).alias(n) for c, n in names.items()))
+    both = docs.join(merged, docs[row] == merged[names["_row"]], "left")
+    whole = _merged_udf(cut)(F.col(text), *(F.col(names[c]) for c in ("_longest", "_spans", "_items")))
+    return both.withColumn(out, whole).drop(row, *names.values())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",

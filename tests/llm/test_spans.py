@@ -149,3 +149,16 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     assert sorted(r.doc_id or 0 for r in D.decontaminate(odd_docs, bench).collect()) == [1, 2, 3, 5, 6]
     assert D.decontaminate(odd_docs, bench.limit(0)).count() == n
     assert D.decontaminate(odd_docs, bench).columns == columns
+
+
+def test_blocks_of_items_are_one_python_node(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 5)
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "c d e x", 8), (2, "c d e x", 8), (3, None, 9)], "doc_id long, text string, row int")
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a b c", "c d e", "d e f", "x y z", "b c d", "p q r", "s t u", "e x"])],
+                                  "item_id string, text string")
+    found = D.find_hits(docs, items, window=3, cut=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2  # the node, once more in the adaptive plan's first form
+    assert found.columns == [*docs.columns, "hits"]
+    got = {r.doc_id: (r.row, r.hits.n_words, r.hits.longest, r.hits.spans, r.hits["items"], r.hits.n_hit, r.hits.left) for r in found.collect()}
+    assert got == {1: (7, 6, 3, [0, 6], ["0", "1", "2", "4"], 6, ""), 2: (8, 4, 3, [0, 4], ["1", "7"], 4, ""), 3: (9, 0, 0, [], [], 0, None)}
