@@ -145,7 +145,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[st
     targets: shares for each of dims; by default the tempered ones.
     """
     spark = docs.sparkSession
-    known = with_topics(docs.drop("weight", "probability", "sampled"), text)
+    # Written: the cells and the draw both read the topics.
+    known = written(spark, with_topics(docs.drop("weight", "probability", "sampled"), text), "topics")
     cells = written(spark, known.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: tempered(cells, d, TEMPER) for d in dims}
