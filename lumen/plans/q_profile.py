@@ -66,6 +66,14 @@ register("missing_profile", W_PEOPLE + _union([
 FROM people""" for i, c in enumerate(PEOPLE_ALL)]))(
     lambda spark, d: P.missing_profile(I.people(spark, d)))
 
+PEOPLE_TYPES = ["bigint", "string", "int", "double", "string"]
+register("column_details", W_PEOPLE + _union([
+    f"""SELECT {i} AS position, '{c}' AS name, '{t}' AS type,
+       CAST(count(*) FILTER (WHERE {_missing(c)}) AS BIGINT) AS missing_count,
+       round(CAST(count(*) FILTER (WHERE {_missing(c)}) AS DOUBLE) * 100.0 / count(*), 2) AS missing_percentage
+FROM people""" for i, (c, t) in enumerate(zip(PEOPLE_ALL, PEOPLE_TYPES))]))(
+    lambda spark, d: P.column_details(I.people(spark, d)))
+
 register("chart_missing", W_PEOPLE + "SELECT * FROM (" + _union([
     f"""SELECT '{c}' AS "column",
        CAST(count(*) FILTER (WHERE {_missing(c)}) AS BIGINT) AS missing_count,
