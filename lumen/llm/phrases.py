@@ -55,6 +55,8 @@ ABSORBED = 100
 STEP = 8
 CHUNK = 4_000_000
 TABLE_BITS = 27
+# Parts of a language that are ranked apart before all of it is.
+PARTS = 32
 UNKNOWN = "und"
 
 _BREAK = b"."
@@ -313,7 +315,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     frequent = bit_table(spark, words)
     state = written(spark, every.groupBy("lang").agg(F.sum("f").alias("n")).withColumn(
         "limit", F.lit(STEP * min_count).cast("long")), "languages")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    order, parted = Window.partitionBy("lang").orderBy(*best), Window.partitionBy("lang", "part").orderBy(*best)
     done = None
     while True:
         here = texts.join(state.select("lang"), "lang", "left_semi")
@@ -333,7 +336,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
         short = mine.select("lang", "phrase", "f").unionByName(pairs)
         scored = _scored(found.drop("end"), *(short.unionByName(longer.where(F.col("ahead") == a).drop("ahead"))
                                               for a in (True, False)), state.select("lang", "n"))
-        ranked = _not_absorbed(scored, longer, absorbed).withColumn("rank", F.row_number().over(order).cast("long"))
+        # First within parts of a language, so that no task sees more than some
+        # parts' best of it.
+        kept = _not_absorbed(scored, longer, absorbed).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        kept = kept.withColumn("place", F.row_number().over(parted)).where(F.col("place") <= top).drop("part", "place")
+        ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
         first = written(spark, ranked.where(F.col("rank") <= top), "phrases")
 
         # What the words not open yet could still reach.
