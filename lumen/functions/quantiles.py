@@ -2,12 +2,13 @@
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column in
 the one task that finishes a global aggregate; on a large column that task
-holds every distinct value. Instead the k-th smallest value is found in two
-scans (three where the caller has counted already):
+holds every distinct value. Instead the k-th smallest value is found in three
+scans (two for a short column):
 
-1. one aggregate gives count, min, max and a mergeable sketch of each series,
-   combined in two steps, so that no task merges the sketches of all others.
-   The sketch brackets every wanted rank by two values of the series;
+1. one aggregate gives count, min and max; for series that one task may not
+   sort, another gives a mergeable sketch, combined in two steps, so that no
+   task merges the sketches of all others. The sketch brackets every wanted
+   rank by two values of the series;
 2. one pass groups the rows: those inside a bracket by value, those between
    brackets by the gap they lie in. The gaps' counts say which rank a
    bracket's first row has, and running counts of its values lead to the
@@ -43,28 +44,23 @@ def _margin(size: int) -> float:
 
 def column_stats(df: DataFrame, exprs: list[Column]) -> list[tuple[int, float | None, float | None]]:
     """(count, min, max) of several double expressions in one job."""
-    return [s[:3] for s in _sketched(df, exprs, [], 0)]
-
-
-def _sketched(df: DataFrame, exprs: list[Column], shares: list[float], size: int) -> list[tuple]:
-    """(count, min, max, values at the shares by a sketch) in one job."""
     if not exprs:
         return []
-    first, then, out = [], [], []
+    aggs = []
     for i, e in enumerate(exprs):
-        first += [F.count(e).alias(f"n{i}"), F.min(e).alias(f"a{i}"), F.max(e).alias(f"b{i}")]
-        then += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"a{i}").alias(f"a{i}"), F.max(f"b{i}").alias(f"b{i}")]
-        if shares:
-            first.append(F.kll_sketch_agg_double(e, F.lit(size)).alias(f"s{i}"))
-            then.append(F.kll_merge_agg_double(f"s{i}", F.lit(size)).alias(f"s{i}"))
-            at = F.kll_sketch_get_quantile_double(f"s{i}", F.array(*(F.lit(float(p)) for p in shares)))
-            out.append(F.when(F.col(f"n{i}") > 0, at).alias(f"q{i}"))
-    if not shares:
-        row = df.agg(*first).collect()[0]
-    else:
-        merged = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("part")).agg(*first).agg(*then)
-        row = merged.select(*(c for c in merged.columns if c[0] != "s"), *out).collect()[0]
-    return [(row[f"n{i}"] or 0, row[f"a{i}"], row[f"b{i}"], row[f"q{i}"] if shares else None) for i in range(len(exprs))]
+        aggs += [F.count(e).alias(f"n{i}"), F.min(e).alias(f"a{i}"), F.max(e).alias(f"b{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return [(row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i in range(len(exprs))]
+
+
+def _sketched(df: DataFrame, exprs: list[Column], shares: list[float], size: int) -> list[list[float]]:
+    """Values at the shares of each expression by a sketch, in one job; none may
+    be without values."""
+    at = F.array(*(F.lit(float(p)) for p in shares))
+    parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("part")).agg(
+        *(F.kll_sketch_agg_double(e, F.lit(size)).alias(f"s{i}") for i, e in enumerate(exprs)))
+    merged = parts.agg(*(F.kll_merge_agg_double(f"s{i}", F.lit(size)).alias(f"s{i}") for i in range(len(exprs))))
+    return list(merged.select(*(F.kll_sketch_get_quantile_double(f"s{i}", at).alias(f"q{i}") for i in range(len(exprs)))).first())
 
 
 def _pieces(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -181,32 +177,38 @@ def exact_quantiles(df: DataFrame, exprs: list[Column], probs: list[float], *,
         row = df.agg(*[F.percentile_approx(v, list(probs), 10000).alias(f"q{i}") for i, v in enumerate(values)]).collect()[0]
         return [list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i in range(len(exprs))]
+    if stats is None:
+        stats = column_stats(df, values)
     size = max(8, bins)
-    ends = [e for p in probs for e in (p - _margin(size), p + _margin(size))]
-    shares = sorted({min(1.0, max(0.0, e)) for e in ends})
-    # A series that one task may sort needs no sketch.
-    if stats is None or any(n > final_rows for n, _, _ in stats):
-        sketched = _sketched(df, values, shares, size)
-    else:
-        sketched = [(*s, None) for s in stats]
-    brackets: list[dict] = []
-    for n, least, most, at in sketched:
-        ranks: dict[int, tuple[float, float]] = {}
-        known = dict(zip(shares, at)) if at else {}
+    margin = _margin(size)
+    shares = sorted({min(1.0, max(0.0, e)) for p in probs for e in (p - margin, p + margin)})
+    long = [i for i, (n, least, most) in enumerate(stats) if n > final_rows and least < most]
+    known = {i: dict(zip(shares, at)) for i, at in zip(long, _sketched(df, [values[i] for i in long], shares, size) if long else [])}
+    found: list[dict] = [dict() for _ in exprs]
+    brackets: list[dict] = [dict() for _ in exprs]
+    whole: dict[int, list[int]] = {}
+    for i, (n, least, most) in enumerate(stats):
         for p in probs if n else []:
-            lo = known[p - _margin(size)] if n > final_rows and p - _margin(size) > 0 else least
-            hi = known[p + _margin(size)] if n > final_rows and p + _margin(size) < 1 else most
             low = int(math.floor((n - 1) * p))
             for r in {low, min(low + 1, n - 1)}:
-                ranks[r] = (min(lo, ranks[r][0]), max(hi, ranks[r][1])) if r in ranks else (lo, hi)
-        brackets.append(ranks)
-    found: list[dict] = [dict() for _ in exprs]
-    for s, (n, least, most, _) in enumerate(sketched):
-        if n and least == most:
-            found[s], brackets[s] = {r: least for r in brackets[s]}, {}
-    for s, more in enumerate(order_statistics(df, list(zip(exprs, conds)), brackets, final_rows)):
-        found[s].update(more)
-    return [[_interpolate(n, p, found[i]) for p in probs] for i, (n, _, _, _) in enumerate(sketched)]
+                if least == most:
+                    found[i][r] = least
+                elif i not in known:
+                    whole.setdefault(i, []).append(r)
+                else:
+                    lo = known[i][p - margin] if p - margin > 0 else least
+                    hi = known[i][p + margin] if p + margin < 1 else most
+                    before = brackets[i].get(r, (lo, hi))
+                    brackets[i][r] = (min(lo, before[0]), max(hi, before[1]))
+    series = list(zip(exprs, conds))
+    if whole:
+        # Short series are one bracket each, whose first row has rank 0.
+        grouped = _grouped(df, series, {i: [stats[i][1:]] for i in whole})
+        for (i, _, r), x in _picked(grouped, {(i, 0): sorted(set(rs)) for i, rs in whole.items()}, False).items():
+            found[i][r] = x
+    for i, more in enumerate(order_statistics(df, series, brackets, final_rows)):
+        found[i].update(more)
+    return [[_interpolate(n, p, found[i]) for p in probs] for i, (n, _, _) in enumerate(stats)]
 
 
 def proving_rsd(cap: int) -> float:
