@@ -38,6 +38,8 @@ SEED = 20_111
 UNIT = 1 << 20
 # n-gram vectors that a worker remembers (4 KB each).
 REMEMBERED = 8_192
+# Texts that are bundled together.
+TOGETHER = 64
 
 def _class(wanted) -> str:
     """The code points that are wanted, as the inside of a character class."""
@@ -78,8 +80,8 @@ class Profiles:
             v *= np.roll(self.letter(key >> 21 * place & 0x1FFFFF), place)
         return v
 
-    def __call__(self, text: str | None) -> np.ndarray | None:
-        """The text's vector of length one; None without letters."""
+    def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(n-grams, how often each occurs) of a text; None without letters."""
         text = (text or "").lower()
         words = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
         if not words:
@@ -88,19 +90,45 @@ class Profiles:
         keys = codes[self.gram - 1:].copy()
         for place in range(1, self.gram):
             keys |= codes[self.gram - 1 - place:-place] << 21 * place
-        keys, counts = np.unique(keys, return_counts=True)
-        total = np.zeros(self.d, np.float64)
-        for at in range(0, len(keys), REMEMBERED):
-            part = keys[at:at + REMEMBERED].tolist()
-            if len(self.rows) + len(part) > REMEMBERED:
-                self.rows.clear()
-            for key in part:
-                if key not in self.rows:
-                    self.table[len(self.rows)] = self.bound(key)
-                    self.rows[key] = len(self.rows)
-            total += counts[at:at + REMEMBERED].astype(np.float32) @ self.table[[self.rows[k] for k in part]]
-        norm = np.sqrt(total @ total)
-        return total / norm if norm else total
+        return np.unique(keys, return_counts=True)
+
+    def places(self, keys: np.ndarray) -> list[int]:
+        """Where the table has the vectors of so many n-grams as it holds."""
+        keys = keys.tolist()
+        if len(self.rows) + sum(k not in self.rows for k in keys) > REMEMBERED:
+            self.rows.clear()
+        for key in keys:
+            if key not in self.rows:
+                self.table[len(self.rows)] = self.bound(key)
+                self.rows[key] = len(self.rows)
+        return [self.rows[k] for k in keys]
+
+    def __call__(self, text: str | None) -> np.ndarray | None:
+        """The text's vector of length one; None without letters."""
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Each text's vector of length one; None without letters. Texts are
+        bundled together: n-grams that they share are read once."""
+        found = [self.grams(t) for t in texts]
+        some = [i for i, f in enumerate(found) if f is not None]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for at in range(0, len(some), TOGETHER):
+            part = some[at:at + TOGETHER]
+            every = np.unique(np.concatenate([found[i][0] for i in part]))
+            total = np.zeros((len(part), self.d), np.float64)
+            for start in range(0, len(every), REMEMBERED):
+                known = every[start:start + REMEMBERED]
+                counts = np.zeros((len(part), len(known)), np.float32)
+                for row, i in zip(counts, part, strict=True):
+                    keys, n = found[i]
+                    here = (keys >= known[0]) & (keys <= known[-1])
+                    row[np.searchsorted(known, keys[here])] = n[here]
+                total += counts @ self.table[self.places(known)]
+            for i, v in zip(part, total, strict=True):
+                norm = np.sqrt(v @ v)
+                out[i] = v / norm if norm else v
+        return out
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None) -> dict[str, list[int]]:
@@ -112,8 +140,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Colu
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profile, sums = Profiles(), {}
         for b in batches:
-            for name, t in zip(b["lang"], b["text"], strict=True):
-                v = profile(t)
+            for name, v in zip(b["lang"], profile.many(b["text"].tolist()), strict=True):
                 if v is not None:
                     sums[name] = sums.get(name, 0) + np.rint(v * UNIT).astype(np.int64)
         if sums:
@@ -140,8 +167,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text: str = "tex
         names, matrix = shared.value
         profile = Profiles()
 
-        def best(t):
-            v = profile(t) if names else None
+        def best(v):
             if v is None:
                 return "und", 0.0
             cosines = matrix @ v
@@ -149,6 +175,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text: str = "tex
             return names[k], float(min(max(cosines[k], 0.0), 1.0))
 
         for texts in batches:
-            yield pd.DataFrame([best(t) for t in texts], columns=["lang", "score"])
+            vectors = profile.many(texts.tolist()) if names else [None] * len(texts)
+            yield pd.DataFrame([best(v) for v in vectors], columns=["lang", "score"])
 
     return docs.withColumn(out, run(F.col(text)))

@@ -326,3 +326,14 @@ def test_mixing_draws_by_probability(spark, odd_docs, no_docs):
     odd = M.mix(odd_docs)
     assert odd.count() == odd_docs.count() and M.mix(no_docs).collect() == []
     assert {r.topic for r in odd.where("doc_id < 4").collect()} == {-1}
+
+
+def test_texts_bundled_together_are_each_bundled_alone(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "12", *("".join(rng.choice("abcdefgh é一") for _ in range(rng.randint(1, 400))) for _ in range(40))]
+    alone = [L.Profiles(128)(t) for t in texts]
+    for together, remembered in ((64, 8192), (7, 8192), (64, 50), (3, 20)):
+        monkeypatch.setattr(L, "TOGETHER", together)
+        monkeypatch.setattr(L, "REMEMBERED", remembered)
+        for a, b in zip(alone, L.Profiles(128).many(texts), strict=True):
+            assert (a is None and b is None) or np.array_equal(a, b)
