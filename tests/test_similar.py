@@ -54,3 +54,44 @@ def test_similar_items_of_empty_tables(spark):
     assert G.similar_items(factors, lines.select("item").limit(0)).count() == 0
     strangers = spark.createDataFrame([("unknown",)], "item string")
     assert G.similar_items(factors, strangers).count() == 0
+
+
+def test_cells_find_what_brute_force_finds(spark):
+    """Factors in clusters, alone, repeated, and not of length 1."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 5)), np.repeat(rng.normal(size=(12, 5)), 60, axis=0)
+                        + rng.normal(size=(720, 5)) * np.repeat([0, 1e-7, 1e-3], 240)[:, None]])
+    x[:1500] /= np.linalg.norm(x[:1500], axis=1)[:, None]
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, factor array<double>").repartition(7)
+    wanted = [i for i in range(len(x)) if i % 9 == 0]
+    targets = spark.createDataFrame([(i,) for i in wanted] * 2 + [(None,), (-5,)], "item long")
+    for n, at_once in ((1, 50), (4, 1000)):
+        got = {}
+        for r in G.similar_items(factors, targets, n=n, at_once=at_once).collect():
+            got.setdefault(r.target, []).append((r.rank, r.item, r.similarity))
+        scores = np.round(x @ x.T, 12)
+        assert sorted(got) == wanted
+        for t in wanted:
+            want = sorted((-scores[t, i], i) for i in range(len(x)) if i != t)[:n]
+            assert [(i, -s) for s, i in want] == [(i, s) for _, i, s in sorted(got[t])]
+
+
+def test_most_factors_are_not_compared(spark, monkeypatch):
+    """Jobs do not grow with the targets, nor the scores with targets times items."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(1500, 8)), 2, axis=0)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, factor array<double>").repartition(4)
+    jobs, scored, inner = [], spark.sparkContext.accumulator(0), G._best
+
+    def counted(scores, floors, n):
+        scored.add(scores.size)
+        return inner(scores, floors, n)
+    monkeypatch.setattr(G, "_best", counted)
+    for few in (10, 3000):
+        spark.sparkContext.setJobGroup(f"similar-{few}", f"similar-{few}")
+        found = G.similar_items(factors, factors.where(f"item < {few}").select("item"), n=1).collect()
+        assert all(r.item == r.target ^ 1 for r in found) and len(found) == few
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"similar-{few}")))
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert abs(jobs[0] - jobs[1]) <= 2 and 0 < scored.value < 0.3 * 3000 * 3000
