@@ -26,7 +26,7 @@ from lumen.functions.quantiles import distinct_upto, exact_quantiles
 from lumen.functions.ranks import roc_auc, sums_before
 from lumen.functions.roles import feature_columns, is_numeric_type
 from lumen.operators.profile import value_counts
-from lumen.session import written
+from lumen.session import tasks_for, written
 
 # Fixed values from the reference's training code.
 SEED = 42
@@ -235,11 +235,15 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
     spark = df.sparkSession
     # The input is read once; all that follows reads these narrow tables.
     data = written(spark, _narrow(df, target, numeric, text, [key] if key and key != target else []), "features")
+    tasks = tasks_for(data)
     codes, spare = None, {}
     if text:
         codes = written(spark, label_codes(data, text), "codes")
         spare = spare_codes(codes)
-        data = written(spark, attach_codes(data, text, codes, spare), "coded")
+        data = attach_codes(data, text, codes, spare)
+    # Narrow rows are few bytes, but a forest works long on each: they are
+    # spread over all cores, for the fit as for scoring.
+    data = written(spark, data.repartition(tasks), "spread")
     meds = exact_quantiles(data, [col(c) for c in numeric], [0.5])
     medians = {c: (m[0] if m[0] is not None else 0.0) for c, m in zip(numeric, meds)}
     data = _filled(data, medians)
@@ -270,8 +274,8 @@ def fit_model(df: DataFrame, target: str, task: str | None = None, features: lis
         h = F.pmod(F.xxhash64(hkey, F.lit(seed)), F.lit(HASH_SPACE)).cast("double") / float(HASH_SPACE)
         share = SMALL_TEST_SHARE if rule == "library" and data.limit(11).count() <= 10 else TEST_SHARE
         train, test = data.where(h >= share), data.where(h < share)
-    model = pipe.fit(train)
-    scored = written(spark, model.transform(test).drop("features", "rawPrediction"), "scored")
+    model = pipe.fit(train.repartition(tasks))
+    scored = written(spark, model.transform(test.repartition(tasks)).drop("features", "rawPrediction"), "scored")
     trained = Trained(model, task, target, numeric + text, numeric, text, medians, evaluate(scored, task), spare, codes, data)
     return trained, scored
 
@@ -396,6 +400,8 @@ def risk_drivers(trained: Trained, data: DataFrame, key: str, label: str, bucket
     rows = data.select(col(label).cast("double").alias("__label"), *(col(c) for c in inputs),
                        F.pmod(F.xxhash64(values, F.lit(seed)), F.lit(nb)).alias("__bucket"),
                        F.xxhash64(values, F.lit(seed + 1)).alias("__order"))
+    # Copies are scored where their bucket lies.
+    rows = rows.repartition(tasks_for(data), "__bucket")
     w = Window.partitionBy("__bucket").orderBy("__order")
     start = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"{c}__other": F.coalesce(F.lead(col(c)).over(w), F.first(col(c)).over(start)) for c in inputs})

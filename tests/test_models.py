@@ -113,3 +113,14 @@ def test_drivers_take_one_job_series(spark):
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag)))
         spark.sparkContext.setJobGroup("rest", "rest")
     assert counts[0] == counts[1]
+
+
+def test_forests_use_every_core(spark):
+    """Rows of a few bytes lay in one task, for the fit and for the scores."""
+    df = churners(spark, 500).coalesce(1)
+    trained, _ = M.fit_model(df, "churn", task="classification", features=["noise", "text", "driver"], key="k", trees=3, depth=3,
+                             stratify=True)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and trained.data.rdd.getNumPartitions() >= cores
+    sizes = [len(p) for p in trained.data.rdd.glom().collect()]
+    assert sum(sizes) == 500 and max(sizes) <= 2 * 500 / cores
