@@ -369,3 +369,36 @@ def test_chains_without_inner_anchors_align_alike():
             whole, less = S.align(chain, a, b), S.align(thin, a, b)
             assert set(thin) <= set(chain) and whole[:2] == less[:2]
             assert [sum(p[n] for p in whole[2]) for n in range(3)] == [sum(p[n] for p in less[2]) for n in range(3)]
+
+
+def test_plain_copies_need_no_chaining_and_batches_do_not_matter(monkeypatch):
+    """Anchors close ahead of each other are one chain without a search; others
+    give the chains that the search in both texts finds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lumen.llm import substrings as S
+    rng = random.Random(9)
+    rows, want = [], []
+    for pair in range(300):
+        at = [(rng.randrange(90), rng.randrange(90)) for _ in range(6)] if pair % 3 == 0 else []
+        x, y = rng.randrange(50), rng.randrange(50)
+        for _ in range(rng.randrange(1, 30)):
+            x, y = x + rng.randrange(1, (4, 20, 70)[pair % 3]), y + rng.randrange(1, (4, 20, 70)[pair % 3])
+            at.append((x, y))
+        at = sorted(at + at[:1])
+        rows += [(pair // 2, pair % 2, x << 32 | y) for x, y in at]
+        want += [(pair // 2, pair % 2, S._without_inner(part)) for chain in S.chains(*zip(*at))
+                 for part in S.split_at_gaps(chain) if part[-1][0] - part[0][0] >= S.K]
+
+    def found(taken, size):
+        columns = np.array(taken, np.int64)
+        parts = (pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns[s:s + size].T], schema=S._ANCHORS)
+                 for s in range(0, len(columns), size))
+        return sorted((r["id"], r["head"], list(zip(r["xs"], r["ys"]))) for b in S._chain_rows(parts) for r in b.to_pylist())
+    for least, size in ((1, 7), (50, 13), (10 ** 6, 100)):
+        monkeypatch.setattr(S, "CHAINED", least, raising=False)
+        assert found(rows, size) == sorted(want)
+    monkeypatch.delattr(S, "chains")
+    copies = [(i, 0, x << 32 | x + 3) for i in range(40) for x in range(0, 60, 3)]
+    assert found(copies, 11) == [(i, 0, S._without_inner([(x, x + 3) for x in range(0, 60, 3)])) for i in range(40)]
