@@ -374,10 +374,6 @@ def test_chains_without_inner_anchors_align_alike():
 def test_plain_copies_need_no_chaining_and_batches_do_not_matter(monkeypatch):
     """Anchors close ahead of each other are one chain without a search; others
     give the chains that the search in both texts finds."""
-    import numpy as np
-    import pyarrow as pa
-
-    from lumen.llm import substrings as S
     rng = random.Random(9)
     rows, want = [], []
     for pair in range(300):
