@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -214,6 +215,38 @@ def test_packed_numbers_come_back():
             assert (S._unpacked(S._packed(x), kind) == x).all()
 
 
+def test_words_of_texts_read_together():
+    """As the pattern finds and zlib hashes them, whatever lies in one array."""
+    rng = random.Random(2)
+    parts = ["Ab_9", "\u00c4\u00d6", "\u0130x", "\u03a3", "\u5b57\u5b57", "\U0001d538", "\u0301", "\U0001f600", "'", " ", "\n", "-", "\x00", "\u00a0", "x" * 40, "\u00fc" * 20]
+    texts = [None, "", " ", "\u03a3", "a" * 33, "end", "\u00e9", ""]
+    texts += ["".join(rng.choices(parts if k % 2 else ["Ab", " ", "c_1", "."], k=rng.randrange(60))) for k in range(200)]
+    plain = [[zlib.crc32(w.encode()) for w in re.findall(r"\w+", (t or "").lower())] for t in texts]
+    for size in (1, 50, 10 ** 6):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(S, "READ_CHARS", size)
+            assert [w.tolist() for w in S.Words().each(texts)] == plain
+    assert [S.Words()(t).tolist() for t in texts[:40]] == plain[:40]
+    known = S.Words().known
+    assert all(bool(re.match(r"\w", chr(c))) == known[c] for c in range(0, 0x110000, 7))
+
+
+def test_seeds_of_several_documents():
+    """Those of each document alone: no seed reaches over its ends."""
+    rng = np.random.default_rng(6)
+    for few in (3, 10 ** 9):
+        docs = [rng.integers(0, few, n).astype(np.uint32) for n in [*range(S.MIN_WORDS, S.MIN_WORDS + 12), 300, S.MIN_WORDS, 90]]
+        for some in (docs, docs[:1], docs[5:6], docs[-3:]):
+            number, at, h = S.seeds_of(some)
+            got = sorted(zip(number.tolist(), at.tolist(), h.view(np.int64).tolist()))
+            assert got == sorted((n, x, y) for n, d in enumerate(some) for xs, ys in S.all_seeds(d) for x, y in zip(xs.tolist(), ys.tolist()))
+            # Within a hash: documents in order, places in order.
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            key = number[order] * 10 ** 6 + at[order]
+            assert (np.diff(key)[same] >= 0).all()
+
+
 def edited(rng, words, share):
     """A copy with that share of the words replaced, left out or doubled."""
     out = []
