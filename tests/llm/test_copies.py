@@ -431,3 +431,22 @@ def test_plain_copies_need_no_chaining_and_batches_do_not_matter(monkeypatch):
     monkeypatch.delattr(S, "chains")
     copies = [(i, 0, x << 32 | x + 3) for i in range(40) for x in range(0, 60, 3)]
     assert found(copies, 11) == [(i, 0, S._without_inner([(x, x + 3) for x in range(0, 60, 3)])) for i in range(40)]
+
+
+def test_pairs_of_one_number_are_chained_apart(spark, monkeypatch):
+    """Large ids may share a number: their rows then come mixed, over batches."""
+    far = 1 << 32
+    pairs = [(1, 5), (0, 5 ^ far), (2, 1), (2, -far), (-3, -9), (far + 1, 7), (far * 9, far * 8)]
+    ids, heads = (np.array(c, np.int64) for c in zip(*pairs))
+    numbers = S._pair_number(ids, heads)
+    assert numbers[0] == numbers[1] and len(set(numbers.tolist())) == len(pairs) - 1
+    rows = spark.createDataFrame(pairs, "id long, head long").select("id", "head", S._pair_key().alias("n")).collect()
+    assert {(r.id, r.head): r.n for r in rows} == dict(zip(pairs, numbers.view(np.int64).tolist()))
+    anchors = [(i, head, x << 32 | x + 3 + n) for n, (i, head) in enumerate(pairs) for x in range(0, 60, 3)]
+    random.Random(1).shuffle(anchors)
+    columns = np.array(sorted(anchors, key=lambda a: S._pair_number(*(np.array([v], np.int64) for v in a[:2]))[0]), np.int64)
+    monkeypatch.setattr(S, "CHAINED", 10)
+    parts = (pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns[s:s + 7].T], schema=S._ANCHORS)
+             for s in range(0, len(columns), 7))
+    got = sorted((r["id"], r["head"], list(zip(r["xs"], r["ys"]))) for b in S._chain_rows(parts) for r in b.to_pylist())
+    assert got == sorted((i, head, S._without_inner([(x, x + 3 + n) for x in range(0, 60, 3)])) for n, (i, head) in enumerate(pairs))
