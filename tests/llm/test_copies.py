@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -450,3 +451,43 @@ def test_pairs_of_one_number_are_chained_apart(spark, monkeypatch):
              for s in range(0, len(columns), 7))
     got = sorted((r["id"], r["head"], list(zip(r["xs"], r["ys"]))) for b in S._chain_rows(parts) for r in b.to_pylist())
     assert got == sorted((i, head, S._without_inner([(x, x + 3 + n) for x in range(0, 60, 3)])) for n, (i, head) in enumerate(pairs))
+
+
+def test_a_range_unpacks_little():
+    """Of hashes held once only the hash is unpacked, and pairs are sent in small batches."""
+    rng = np.random.default_rng(8)
+    rows, wanted = [], []
+    for b in range(50):
+        h = np.sort(rng.choice(1 << 31, 20_000, replace=False).astype(np.uint32) * 2 + 1)
+        ids = np.sort(rng.integers(0, 100, len(h))) + b * 100
+        at = rng.integers(0, 20_000, len(h)).astype(np.int32)
+        h[:2_000] = np.arange(2_000) * 2  # these every block holds, once each
+        order = np.argsort(h, kind="stable")
+        h, ids, at = h[order], ids[order], at[order]
+        wanted += zip(h.tolist(), ids.tolist(), at.tolist())
+        rows.append((0, b * 100, S._packed(np.diff(h, prepend=np.uint32(0))), S._packed((ids - b * 100).astype(np.uint64)), S._packed(at), None))
+    table = pa.Table.from_pandas(pd.DataFrame(rows, columns=["part", "base", "hash", "id", "place", "head"]), preserve_index=False)
+    seeds = len(wanted)
+    tracemalloc.start()
+    try:
+        got = S._range_pairs(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 28 * seeds  # 16 bytes are a seed's hash, id and place
+    assert max(map(len, got.to_batches())) <= S.SENT_ROWS < len(got)
+    t = got.to_pydict()
+    assert sorted(zip(t["id"], (a >> 32 for a in t["at"]), t["head"], (a & 0xFFFFFFFF for a in t["at"]))) == plain_links(wanted)
+
+
+def test_workers_get_few_bytes_at_a_time(spark):
+    """Rows of long texts and packed seeds are many bytes each."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(5_000))) for i in range(600)]
+    S.repeated_passages(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [int(b["text"].str.len().sum())]})
+    assert max(r.n for r in docs.mapInPandas(run, "n long").collect()) <= S.BATCH_BYTES + 50_000
