@@ -491,3 +491,67 @@ def test_workers_get_few_bytes_at_a_time(spark):
         for b in batches:
             yield pd.DataFrame({"n": [int(b["text"].str.len().sum())]})
     assert max(r.n for r in docs.mapInPandas(run, "n long").collect()) <= S.BATCH_BYTES + 50_000
+
+
+def every_pair(docs):
+    """Pairs (id, head) with a passage, all seeds of all pairs chained."""
+    read, out = S.Words(), set()
+    words = {i: read(t) for i, t in docs}
+    found = {i: S.seeds(w) for i, w in words.items()}
+    for i, (at, h) in found.items():
+        for head, (places, other) in found.items():
+            anchors = [(int(x), int(y)) for x, v in zip(at, h) for y in places[other == v]] if head < i else []
+            for chain in S.chains(*zip(*anchors)) if anchors else ():
+                for part in S.split_at_gaps(chain):
+                    if part[-1][0] - part[0][0] >= S.K and S.passages(*S.align(part, words[i], words[head], margin=10 ** 4)):
+                        out.add((i, head))
+    return out
+
+
+def test_quotes_on_both_sides_hide_no_pair(spark):
+    """Every seed and strobe that 10 and 100 share has another document as first
+    of its run and another before 100."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(60)
+    copy = [f"changed{p}" if p % 10 == 9 else w for p, w in enumerate(passage)]
+    rows = [(10, prose(70) + passage + prose(70)), (100, prose(50) + copy + prose(50))]
+    for k, at in enumerate(range(0, 21, 3)):
+        rows += [(k, prose(60) + passage[at:at + 40] + prose(60)), (50 + k, prose(60) + copy[at:at + 40] + prose(60))]
+    docs = [(i, " ".join(w)) for i, w in rows]
+    assert every_pair(docs) == {(100, 10)}
+    found = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc, r.partner) for r in found} == {(100, 10)}
+    assert max(r.equal for r in found) >= 53
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_link_of_common_lines_is_lost(spark, monkeypatch, seed):
+    """Documents of the same few lines, with other words between: each line is
+    in most of them, and pairs of them share passages that no third one has.
+    Whom any pair's passage links is in one class, and nobody else."""
+    monkeypatch.setattr(S, "BLOCK_WORDS", 3_000)
+    monkeypatch.setattr(S, "LOCAL", 4)
+    rng = random.Random(seed)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines, docs = [prose(rng.randint(8, 24)) for _ in range(11)], []
+    for i in rng.sample(range(-500, 500), 90):
+        words = prose(rng.randint(0, 30))
+        for line in rng.sample(lines, 5):
+            words += edited(rng, line, rng.choice([0, 0, 0.1])) + prose(rng.choice([0, 0, 1, 2, 3, 25]))
+        docs.append((i, " ".join(words + prose(50))))
+    wanted = every_pair(docs)
+    found = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).persist()
+    got = {(r.doc, r.partner) for r in found.collect()}
+    index = {i: n for n, i in enumerate(sorted(i for i, _ in docs))}
+    root = roots(len(docs), [(index[a], index[b]) for a, b in got])
+    assert len(wanted) >= 5
+    assert [p for p in wanted if root[index[p[0]]] != root[index[p[1]]]] == []
+    assert all(r.equal >= S.IDENTITY * max(r.end - r.start, r.partner_end - r.partner_start) for r in found.collect())
+    order = sorted(index)
+    assert {(r["doc"], r["class"]) for r in S.passage_classes(found).collect()} == {
+        (i, order[root[index[i]]]) for p in got for i in p}
