@@ -152,7 +152,9 @@ def _links(nodes: DataFrame, max_bits: int) -> DataFrame:
             within &= F.bit_count(F.shiftrightunsigned(around, 64 - sum(lengths[:n]))) <= n * max_bits // m
         chain |= within
     # Turning one bit leads from either of a pair to the other: l < r loses none.
-    return (left.join(right, (F.col("l.start") == F.col("r.start")) & (F.col("l.key") == F.col("r.key")) & chain & keep)
+    # Spark sizes both sides as nodes, though they list each node up to 75
+    # times: without a hint it may broadcast them.
+    return (left.join(right.hint("merge"), (F.col("l.start") == F.col("r.start")) & (F.col("l.key") == F.col("r.key")) & chain & keep)
             .select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")))
 
 

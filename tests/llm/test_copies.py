@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lumen.llm import simhash as H
 from lumen.llm import substrings as S
@@ -73,6 +74,13 @@ def test_links_without_contraction(spark, monkeypatch):
     test_links_match_brute_force(spark, 4)
 
 
+def test_the_link_join_broadcasts_nothing(spark):
+    """Its sides list each node many times, but are sized as the nodes."""
+    nodes = spark.range(1000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("comp"))
+    plan = H._links(nodes, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(5)
     names = rng.sample(range(1000), 300)
