@@ -535,6 +535,26 @@ def test_quotes_on_both_sides_hide_no_pair(spark):
     assert max(r.equal for r in found) >= 53
 
 
+def test_a_class_hides_no_other_passage(spark):
+    """As before, but 10 and 100 share another passage too and so are in one
+    class: the one that others' quotes hide is listed as well."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, plain = prose(60), prose(80)
+    copy = [f"changed{p}" if p % 10 == 9 else w for p, w in enumerate(passage)]
+    rows = [(10, prose(70) + passage + prose(70) + plain), (100, plain + prose(50) + copy + prose(50))]
+    for k, at in enumerate(range(0, 21, 3)):
+        rows += [(k, prose(60) + passage[at:at + 40] + prose(60)), (50 + k, prose(60) + copy[at:at + 40] + prose(60))]
+    docs = [(i, " ".join(w)) for i, w in rows]
+    for every in (docs, docs + [(100, " ".join(prose(70) + plain))]):
+        found = S.repeated_passages(spark.createDataFrame(every, "doc_id long, text string").repartition(3)).collect()
+        assert {(r.doc, r.partner) for r in found} == {(100, 10)}
+        assert {(r.partner_start, r.equal) for r in found if r.start < 40} == {(200, 80)}
+        assert [r for r in found if r.start <= 135 and r.end >= 185 and abs(r.partner_start - 70) <= 5 and r.equal >= 53]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_no_link_of_common_lines_is_lost(spark, monkeypatch, seed):
     """Documents of the same few lines, with other words between: each line is
