@@ -1,6 +1,7 @@
 """Factors of items and their nearest neighbours."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -46,6 +47,35 @@ def test_planted_twin_and_groups(spark):
     assert np.mean(same) > 0.9
 
 
+def test_blocks_of_the_fit_grow_with_the_pairs(spark, monkeypatch):
+    """A block held a tenth of all pairs, however many; so few pairs stay in ten."""
+    asked, inner = [], G.ALS
+
+    def seen(**kw):
+        asked.append((kw["numUserBlocks"], kw["numItemBlocks"]))
+        return inner(**kw)
+    monkeypatch.setattr(G, "ALS", seen)
+    few = bought(spark, orders=40)
+    G.item_factors(few, rank=2, iterations=1)
+    monkeypatch.setattr(G, "PAIRS_A_BLOCK", 15)
+    pairs = few.dropna().distinct().count()
+    factors = G.item_factors(few)
+    assert asked == [(10, 10), (-(-pairs // 15),) * 2] and pairs > 150
+    assert factors.count() == 25
+
+
+def test_rows_meet_all_cells_in_little_memory():
+    rng = np.random.default_rng(2)
+    x, centers = rng.normal(size=(5000, 4)), rng.normal(size=(2000, 4))
+    tracemalloc.start()
+    cell, far = G._nearest_cells(x, centers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    apart = np.sqrt(((x[:300, None] - centers) ** 2).sum(axis=2))
+    assert (cell[:300] == apart.argmin(axis=1)).all() and np.allclose(far[:300], apart.min(axis=1))
+    assert peak < 20e6
+
+
 def test_similar_items_of_empty_tables(spark):
     lines = bought(spark, orders=10)
     none = G.item_factors(lines.limit(0))
