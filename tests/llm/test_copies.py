@@ -535,6 +535,35 @@ def test_quotes_on_both_sides_hide_no_pair(spark):
     assert max(r.equal for r in found) >= 53
 
 
+def test_events_are_sent_packed():
+    """Some 20 bytes an event instead of 50; what comes back of a range are the
+    events that documents have with other words between."""
+    class Shared:
+        def __init__(self, *value):
+            self.value = value
+    rng = np.random.default_rng(6)
+    lines = [rng.integers(0, 2**32, 20, dtype=np.uint32) for _ in range(6)]
+    docs = [(7 * i + 2**40, np.concatenate([p for k in rng.permutation(6)[:4] for p in (
+        lines[k], rng.integers(0, 2**32, rng.integers(1, 4), dtype=np.uint32))] + [rng.integers(0, 2**32, 1000, dtype=np.uint32)]))
+        for i in range(60)]
+    none = np.zeros(0, np.int64)
+    b = S._Block(docs, Shared(16, np.full(1 << 10, ~np.uint64(0))), 32, Shared(none, none, none))
+    sides = b.outer(*[np.ones(len(b.h), bool)] * 2)
+    sent = pa.Table.from_batches(S._event_rows(b, *sides, 4))
+    assert sorted(sent["part"].to_pylist()) == [0, 1, 2, 3]
+    held = [S._unpacked(v, S._EVENT) for v in sent["events"].to_pylist()]
+    assert sent["events"].nbytes < 24 * sum(map(len, held))
+    wanted = set()
+    for rows in held:
+        events = pd.DataFrame({"key": np.cumsum(rows["key"], dtype=np.uint64).view(np.int64), "between": rows["between"], "id": rows["id"]})
+        several = events.groupby("key").agg({"between": "nunique", "id": "nunique"})
+        wanted |= set(several.index[(several["between"] > 1) & (several["id"] > 1)])
+    found = pa.concat_tables([S._meeting(Shared(none, none))(sent.slice(i, 1)) for i in range(4)]).to_pandas()
+    assert set(found["key"]) == wanted and len(wanted) > 10
+    size = dict(docs)
+    assert all(i in size and 0 <= x <= x2 < len(size[i]) for i, x, x2 in zip(found["id"], found["x"], found["x2"], strict=True))
+
+
 def test_a_class_hides_no_other_passage(spark):
     """As before, but 10 and 100 share another passage too and so are in one
     class: the one that others' quotes hide is listed as well."""
